@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The white space of the data model: ASCII white space, no-break space and the
 # Unicode separators.
 BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SOLID = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
 ELLIPSIS = "…"
 
@@ -115,8 +116,9 @@ def drawable(value: Column) -> Column:
     mapped = F.translate(mapped, "‘’“”–—", "''\"\"--")
     mapped = F.replace(mapped, F.lit(ELLIPSIS), F.lit("..."))
     mapped = F.regexp_replace(mapped, r"[^\n\r -~\u00a0-ÿ]", "?")
-    # Most text needs nothing mapped; one look decides.
-    return F.when(value.rlike(r"[^\n\r -~\u00a0-ÿ]"), mapped).otherwise(value)
+    # Most text needs nothing mapped; one anchored look decides (a positive class
+    # is several times faster than searching for its complement).
+    return F.when(value.rlike(r"\A[\n\r -~\u00a0-ÿ]*\z"), value).otherwise(mapped)
 
 
 def drawable_line(value: Column) -> Column:
@@ -170,7 +172,7 @@ def filled_template(template: Column | str, tokens: dict[str, Column]) -> Column
 
 def tokens_with_offsets(value: Column) -> Column:
     """``array<struct<text,start>>`` of the runs of non-blank characters."""
-    pieces = F.regexp_extract_all(value, F.lit(f"{BLANK}*[^\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"), F.lit(0))
+    pieces = F.regexp_extract_all(value, F.lit(f"{BLANK}*{SOLID}+"), F.lit(0))
     return F.aggregate(
         pieces,
         F.struct(
