@@ -26,12 +26,18 @@ def quoted_column(needle: Column) -> Column:
     )
 
 
+# The same characters as a set, for trimming.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
+    chr(code) for code in range(0x2000, 0x200B)
+)
+
+
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def trimmed_end(value: Column) -> Column:
-    return F.regexp_replace(value, f"{BLANK}+$", "")
+    return F.rtrim(value, F.lit(BLANKS))
 
 
 def collapsed(value: Column) -> Column:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Building large expressions is slow while call sites are recorded.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
