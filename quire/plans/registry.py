@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import settle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 COVERS: dict[str, str] = {}
@@ -27,7 +29,7 @@ def query(name: str, covers: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return _plain(fn(spark, folder))
+            return _plain(fn(settle(spark), folder))
 
         run.module = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = run
