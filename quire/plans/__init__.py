@@ -1,4 +1,4 @@
 """Queries over the sample tables, one per capability."""
 
-from quire.plans import geometry, layout, pages, scalars, search  # noqa: F401
+from quire.plans import compare, forms, geometry, layout, pages, scalars, search  # noqa: F401
 from quire.plans.registry import COVERS, QUERIES, SQL  # noqa: F401
