@@ -78,3 +78,87 @@ SELECT phrase_id, doc_id, page, start, start + length(phrase) AS "end",
 )
 def search_phrases_query(spark, folder):
     return s.search_phrases(pages_of(spark, folder), benchmark_lines(spark, folder))
+
+
+def hits_of(spark, folder):
+    return s.search_pages(pages_of(spark, folder), "Que le", case_sensitive=False)
+
+
+_HIT = f"""hit AS (SELECT doc_id, page, unnest({q.starts("lower(text)", "'que le'")}) AS start FROM page_text WHERE contains(lower(text), 'que le')),
+rect AS (SELECT h.doc_id, h.page, h.start, i.seq, i.x + (greatest(h.start, i."offset") - i."offset") * 6.6::DOUBLE AS x, i.y, (least(h.start + 6, i."offset" + length(i.str)) - greatest(h.start, i."offset")) * 6.6::DOUBLE AS width, i.height
+  FROM hit h JOIN text_items i ON i.doc_id = h.doc_id AND i.page = h.page AND i."offset" < h.start + 6 AND i."offset" + length(i.str) > h.start)"""
+
+
+@query(
+    "hit_rects",
+    "J11",
+    f"""WITH {q.PAGES}, {_HIT} SELECT doc_id, page, start, seq, round(x, 4) AS x, round(y, 4) AS y, round(width, 4) AS width, height FROM rect""",
+)
+def hit_rects(spark, folder):
+    items = text_items(pages_of(spark, folder))
+    found = s.rects_by_item_join(hits_of(spark, folder).select("doc_id", "page", "start", "end"), items)
+    return found.select(
+        "doc_id", "page", "start", "seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"),
+        F.round("width", 4).alias("width"), "height",
+    )
+
+
+@query(
+    "highlights_by_page",
+    "Q2 J11",
+    f"""WITH {q.PAGES}, {_HIT}, f AS (SELECT *, start = min(start) OVER (PARTITION BY doc_id, page) AS current FROM rect)
+    SELECT doc_id, page, start, current, row_number() OVER (PARTITION BY doc_id, page ORDER BY current, start, seq) AS draw_order, round(x, 4) AS x, round(width, 4) AS width FROM f""",
+)
+def highlights_by_page(spark, folder):
+    from pyspark.sql import Window
+
+    hits = hits_of(spark, folder)
+    first = F.min("start").over(Window.partitionBy("doc_id", "page"))
+    marked = hits.withColumn("current", F.col("start") == first)
+    return s.highlights_by_page(marked, F.col("current")).select(
+        "doc_id", "page", "start", "current", "draw_order", F.round("x", 4).alias("x"), F.round("width", 4).alias("width")
+    )
+
+
+@query(
+    "search_summary",
+    "A17",
+    f"""WITH {q.PAGES}, {_HIT}, h AS (SELECT doc_id, count(*) AS hits, count(DISTINCT page) AS pages_hit FROM hit GROUP BY 1)
+    SELECT p.doc_id, count(*) AS scanned, count(*) FILTER (WHERE trim(text) = '') AS without_text, coalesce(any_value(hits), 0) AS hits, coalesce(any_value(pages_hit), 0) AS pages_hit FROM page_text p LEFT JOIN h USING (doc_id) GROUP BY 1""",
+)
+def search_summary(spark, folder):
+    return s.search_summary(pages_of(spark, folder).select("doc_id", "page", "text"), hits_of(spark, folder))
+
+
+@query(
+    "capped_hits",
+    "T3 Q1",
+    f"""WITH {q.PAGES}, {_HIT} SELECT doc_id, page, start FROM hit ORDER BY doc_id, page, start LIMIT 200""",
+)
+def capped_hits(spark, folder):
+    return s.search_pages(pages_of(spark, folder), "que le", cap=200).select("doc_id", "page", "start")
+
+
+@query(
+    "hit_steps",
+    "W15",
+    f"""WITH {q.PAGES}, {_HIT}, k AS (SELECT *, page * 1000000 + start AS hit FROM hit)
+    SELECT doc_id, hit, coalesce(lead(hit) OVER w, first_value(hit) OVER w) AS next_hit, coalesce(lag(hit) OVER w, last_value(hit) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_hit FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY hit)""",
+)
+def hit_steps(spark, folder):
+    hits = hits_of(spark, folder).withColumn("hit", F.col("page").cast("bigint") * 1000000 + F.col("start"))
+    return s.hit_neighbours(hits, ["doc_id"], ["hit"], "hit")
+
+
+@query(
+    "initial_hits",
+    "W16",
+    f"""WITH {q.PAGES}, {_HIT}, g AS (SELECT d.source, h.doc_id, h.page, h.start, CASE WHEN h.doc_id = o.doc AND h.page >= 2 THEN 0 WHEN h.doc_id = o.doc THEN 1 ELSE 2 END AS priority
+      FROM hit h JOIN documents d USING (doc_id) JOIN (SELECT source, max(doc_id) AS doc FROM documents GROUP BY 1) o USING (source))
+    SELECT source, priority::BIGINT AS priority, doc_id, page, start FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY priority, doc_id, page, start) = 1""",
+)
+def initial_hits(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "source")
+    current = documents.groupBy("source").agg(F.max("doc_id").alias("open_doc"))
+    hits = hits_of(spark, folder).join(documents, "doc_id").join(current, "source")
+    return s.initial_hit(hits, "source", F.col("open_doc"), F.lit(2), ["doc_id", "page", "start"])

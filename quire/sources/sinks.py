@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.numbers import half_up_to, plain_number
 from quire.functions.text import html_escaped
 
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 PAGE_BREAK = "\n\f\n"
 
 
