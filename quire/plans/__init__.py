@@ -1,4 +1,4 @@
 """Queries over the sample tables, one per capability."""
 
-from quire.plans import compare, forms, geometry, layout, notes, pages, redact, scalars, search, trees  # noqa: F401
+from quire.plans import compare, forms, geometry, layout, notes, pages, redact, scalars, search, sessions, trees  # noqa: F401
 from quire.plans.registry import COVERS, QUERIES, SQL  # noqa: F401

@@ -95,7 +95,8 @@ def redacted_items(spark, folder):
 @query(
     "left_under_marks",
     "Q5",
-    "SELECT 0::BIGINT AS glyphs_left",
+    f"""WITH {_MARKED}, kept AS (SELECT * FROM ov WHERE (doc_id, run, glyph) NOT IN (SELECT (doc_id, run, glyph) FROM hit))
+    SELECT count(*) AS glyphs_left FROM kept WHERE (x + w / 2 BETWEEN mx AND mx + mw AND y + h / 2 BETWEEN my AND my + mh) OR shared / (w * h) >= 0.3""",
 )
 def left_under_marks(spark, folder):
     items = ops.redacted_items(pages_of(spark, folder), marks_of(spark, folder))
