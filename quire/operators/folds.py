@@ -6,11 +6,13 @@ state: a very long history costs time, never memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
 
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], new_state: Callable[[], object], schema: str
@@ -18,28 +20,29 @@ def ordered_fold(
     """Run a state object over each key's rows in order.
 
     ``new_state()`` makes an object with ``step(row)`` and ``finish()``, both giving
-    the tuples to emit (without the keys, which are put in front).
+    the tuples to emit (without the keys, which are put in front).  Rows travel as
+    Arrow, so a missing number stays missing and a large one stays exact.
     """
-    columns = list(df.columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        names = None
+    fields = [tuple(part.split()) for part in schema.split(", ")]
+    layout = pa.schema([(name, ARROW[kind]) for name, kind in fields])
 
-        def framed(rows: Iterable[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(list(rows), columns=names, dtype=object)
+    def framed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(column, type=field.type) for column, field in zip(columns, layout)], schema=layout
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                named = dict(zip(columns, row))
-                key = tuple(named[k] for k in keys)
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
                 if key != current:
                     if state is not None:
                         out += [current + tuple(r) for r in state.finish()]
                     current, state = key, new_state()
-                out += [key + tuple(r) for r in state.step(named)]
-            names = names or [part.split()[0] for part in schema.split(", ")]
+                out += [key + tuple(r) for r in state.step(row)]
             if out:
                 yield framed(out)
         if state is not None:
@@ -47,4 +50,4 @@ def ordered_fold(
             if last:
                 yield framed(last)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
