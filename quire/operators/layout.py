@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import let
 from quire.functions.numbers import cell_number, half_up
-from quire.functions.text import collapsed, is_blank, trimmed, trimmed_end
+from quire.functions.text import BLANKS, collapsed, is_blank, trimmed, trimmed_end
 
 PAGE = ["doc_id", "page"]
 # Fixed values of the reading rules.
@@ -19,34 +19,32 @@ COLUMN_GAP, COLUMN_MINIMUM, COLUMN_GRID, COLUMN_SLACK = 0.9, 6.0, 4, 4
 COLUMN_SHARE = 0.6
 
 
-def _line_numbers(sorted_items: Column) -> Column:
-    """Fold items sorted downwards: an item joins the open line when it is near
-    the line's *first* item, else it opens a line."""
+def _tolerance(height: Column) -> Column:
+    return F.greatest(F.lit(LINE_MINIMUM), height * LINE_SHARE)
+
+
+def _line_anchors(sorted_items: Column) -> Column:
+    """The baseline of each item's line, for items sorted downwards.
+
+    An ordered fold: an item joins the open line when it is near the line's
+    *first* item, else it opens a line of its own.
+    """
+    open_line = lambda out: F.try_element_at(out, F.lit(-1))
     return F.aggregate(
         sorted_items,
-        F.struct(
-            F.lit(None).cast("double").alias("anchor"),
-            F.lit(-1).alias("line"),
-            F.array().cast("array<int>").alias("out"),
-        ),
-        lambda state, item: let(
-            F.coalesce(
-                F.abs(state["anchor"] - item["y"])
-                <= F.greatest(F.lit(LINE_MINIMUM), item["height"] * LINE_SHARE),
-                F.lit(False),
-            ),
-            lambda joins: F.struct(
-                F.when(joins, state["anchor"]).otherwise(item["y"]).alias("anchor"),
-                (state["line"] + F.when(joins, 0).otherwise(1)).alias("line"),
-                F.array_append(
-                    state["out"], (state["line"] + F.when(joins, 0).otherwise(1))
-                ).alias("out"),
-            ),
+        F.array().cast("array<double>"),
+        lambda out, item: F.array_append(
+            out,
+            F.when(F.abs(open_line(out) - item["y"]) <= _tolerance(item["height"]), open_line(out)).otherwise(item["y"]),
         ),
-        lambda state: state["out"],
     )
 
 
+def _ends_blank(text: Column, side: str) -> Column:
+    edge = F.right(text, F.lit(1)) if side == "right" else F.left(text, F.lit(1))
+    return F.instr(F.lit(BLANKS), edge) > 0
+
+
 def _joined(items: Column) -> Column:
     """The words of a line; a gap wider than a space is one."""
     pieces = F.transform(
@@ -60,8 +58,8 @@ def _joined(items: Column) -> Column:
                         item["x"] - (before["x"] + before["width"])
                         > F.greatest(F.lit(1.0), F.least(before["height"], item["height"])) * WORD_GAP
                     )
-                    & ~before["str"].rlike(r"\s$")
-                    & ~item["str"].rlike(r"^\s"),
+                    & ~_ends_blank(before["str"], "right")
+                    & ~_ends_blank(item["str"], "left"),
                     F.concat(F.lit(" "), item["str"]),
                 ).otherwise(item["str"]),
             ),
@@ -79,7 +77,7 @@ def lines(items: DataFrame) -> DataFrame:
     stretches, not over whole pages.
     """
     down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "seq")
-    tolerance = F.greatest(F.lit(LINE_MINIMUM), F.col("height") * LINE_SHARE)
+    tolerance = _tolerance(F.col("height"))
     stretches = (
         items.where(~is_blank(F.col("str")))
         .withColumn("cut", F.coalesce((F.lag("y").over(down) - F.col("y") > tolerance).cast("int"), F.lit(1)))
@@ -90,18 +88,21 @@ def lines(items: DataFrame) -> DataFrame:
                 F.collect_list(
                     F.struct((-F.col("y")).alias("down"), "x", "seq", "y", "str", "width", "height")
                 )
-            ).alias("items")
+            ).alias("items"),
+            # A stretch no higher than its smallest tolerance is one line.
+            (F.max("y") - F.min("y") <= F.min(tolerance)).alias("flat"),
         )
-        .withColumn("ids", _line_numbers(F.col("items")))
     )
-    per_line = stretches.select(
+    per_line = stretches.withColumn(
+        "anchors", F.when(~F.col("flat"), _line_anchors(F.col("items")))
+    ).select(
         *PAGE,
         F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.array_max("ids")),
-                lambda n: F.filter(
-                    "items", lambda _, i: F.element_at("ids", i + 1) == n
-                ),
+            F.when(F.col("flat"), F.array("items")).otherwise(
+                F.transform(
+                    F.array_distinct("anchors"),
+                    lambda anchor: F.filter("items", lambda _, i: F.element_at("anchors", i + 1) == anchor),
+                )
             )
         ).alias("members"),
     )

@@ -88,7 +88,7 @@ def paired_pages(spark, folder, pairs):
 
 
 def differences(spark, folder):
-    pairs = revision_pairs(spark, folder)
+    pairs = revision_pairs(spark, folder).withColumn("offset", F.lit(0))
     pages = paired_pages(spark, folder, pairs)
     return ops.compare_documents(pairs, pages, page_sizes(pages))
 

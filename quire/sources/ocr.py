@@ -18,26 +18,34 @@ def words(rows: DataFrame) -> DataFrame:
     5 and at least twelve columns; the line number counts changes of block,
     paragraph and line, and moves on before a word is dropped for a bad box.
     """
-    parts = F.split("row", "\t")
-    text = trimmed(F.array_join(F.slice(parts, 12, F.greatest(F.size(parts) - 11, F.lit(0))), "\t"))
-    cut = rows.where((F.col("row") != "") & ~F.startswith("row", F.lit("level"))).select("doc_id", "page", "ord", parts.alias("p"), text.alias("text"))
-    spoken = cut.where(
-        (F.size("p") >= 12) & (parsed_number(trimmed(F.col("p")[0])) == 5) & (F.col("text") != "")
-    ).withColumn("key", F.concat_ws(":", F.col("p")[2], F.col("p")[3], F.col("p")[4]))
+    # One split per row; the twelfth part keeps any further tabs.  Generating the
+    # parts keeps later filters from splitting the row again.
+    parts = F.transform(
+        F.array(F.split("row", "\t", 12)),
+        lambda p: F.struct(
+            F.size(p).alias("columns"),
+            parsed_number(trimmed(F.get(p, F.lit(0)))).alias("level"),
+            F.concat_ws(":", F.get(p, F.lit(2)), F.get(p, F.lit(3)), F.get(p, F.lit(4))).alias("key"),
+            *[F.get(p, F.lit(i)).alias(n) for i, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height"), (10, "conf"))],
+            trimmed(F.get(p, F.lit(11))).alias("text"),
+        ),
+    )
+    cut = rows.where((F.col("row") != "") & ~F.startswith("row", F.lit("level"))).select("doc_id", "page", "ord", F.inline(parts))
+    spoken = cut.where((F.col("columns") == 12) & (F.col("level") == 5) & (F.col("text") != ""))
     order = Window.partitionBy("doc_id", "page").orderBy("ord")
     changed = F.coalesce((F.lag("key").over(order) != F.col("key")).cast("int"), F.lit(1))
     numbered = spoken.withColumn("changed", changed).withColumn(
         "line", (F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
     )
 
-    def number(i: int) -> Column:
+    def number(name: str) -> Column:
         # A blank cell counts as zero.
-        cell = trimmed(F.col("p")[i])
+        cell = trimmed(F.col(name))
         return F.when(cell == "", F.lit(0.0)).otherwise(parsed_number(cell))
 
     boxed = numbered.select(
         "doc_id", "page", F.col("ord").alias("seq"), "text", "line",
-        *[number(i).alias(n) for i, n in zip((6, 7, 8, 9, 10), ("left", "top", "width", "height", "conf"))],
+        *[number(n).alias(n) for n in ("left", "top", "width", "height", "conf")],
     ).where("left is not null and top is not null and width is not null and height is not null")
     whole = [F.greatest(F.lit(0), half_up(F.col(n))).cast("int").alias(n) for n in ("left", "top", "width", "height")]
     return boxed.select("doc_id", "page", "seq", "text", *whole, F.coalesce("conf", F.lit(-1.0)).alias("confidence"), "line")
