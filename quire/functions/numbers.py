@@ -18,7 +18,7 @@ def half_up_to(value: Column, places: int) -> Column:
     return half_up(value * scale) / scale
 
 
-NUMERAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMERAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def parsed_number(value: Column) -> Column:

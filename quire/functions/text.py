@@ -177,27 +177,38 @@ def filled_template(template: Column | str, tokens: dict[str, Column]) -> Column
 
 
 def tokens_with_offsets(value: Column) -> Column:
-    """``array<struct<text,start>>`` of the runs of non-blank characters."""
+    """``array<struct<text,start>>`` of the runs of non-blank characters.
+
+    Text with single spaces only, which is nearly all of it, is cut at the spaces;
+    other blanks take the general expression.
+    """
+
+    def running(lengths: Column, gap: int) -> Column:
+        return F.aggregate(
+            lengths,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda state, n: F.struct(
+                (state["at"] + n + gap).alias("at"), F.array_append(state["out"], state["at"]).alias("out")
+            ),
+            lambda state: state["out"],
+        )
+
+    def plain(words: Column) -> Column:
+        return F.zip_with(
+            words, running(F.transform(words, F.length), 1), lambda w, at: F.struct(w.alias("text"), at.alias("start"))
+        )
+
+    def ragged(pieces: Column) -> Column:
+        return F.zip_with(
+            pieces,
+            running(F.transform(pieces, F.length), 0),
+            lambda p, at: F.struct(
+                F.ltrim(p, F.lit(BLANKS)).alias("text"),
+                (at + F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))).alias("start"),
+            ),
+        )
+
+    odd = value.rlike(r"[\t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]|  |^ | $") | (value == "")
     pieces = F.regexp_extract_all(value, F.lit(f"{BLANK}*{SOLID}+"), F.lit(0))
-    return F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<text:string,start:int>>").alias("out"),
-        ),
-        lambda state, piece: F.struct(
-            (state["at"] + F.length(piece)).alias("at"),
-            F.array_append(
-                state["out"],
-                F.struct(
-                    F.regexp_replace(piece, f"^{BLANK}+", "").alias("text"),
-                    (
-                        state["at"]
-                        + F.length(piece)
-                        - F.length(F.regexp_replace(piece, f"^{BLANK}+", ""))
-                    ).alias("start"),
-                ),
-            ).alias("out"),
-        ),
-        lambda state: state["out"],
-    )
+    bound = lambda array, body: F.flatten(F.transform(F.array(array), body))
+    return F.when(odd, bound(pieces, ragged)).otherwise(bound(F.split(value, " "), plain))

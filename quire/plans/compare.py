@@ -8,7 +8,7 @@ from quire.operators import compare as ops
 from quire.plans import shared_sql as q
 from quire.plans.registry import query
 from quire.plans.search import pages_of
-from quire.session import spread, table
+from quire.session import cut_lineage, spread, table
 from quire.sources.paginate import paginate
 
 
@@ -81,10 +81,11 @@ def page_size_differences(spark, folder):
 
 
 def paired_pages(spark, folder, pairs):
-    """Only documents with a counterpart are laid out."""
+    """Only documents with a counterpart are laid out, and once: pairing, sizes and
+    both sides' words all read the same pages."""
     ids = pairs.select(F.col("original").alias("doc_id")).unionByName(pairs.select(F.col("revised").alias("doc_id")))
     documents = table(spark, folder, "documents").select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
-    return paginate(spread(documents, "doc_id"))
+    return cut_lineage(paginate(spread(documents, "doc_id")))
 
 
 def differences(spark, folder):

@@ -24,7 +24,7 @@ def words(rows: DataFrame) -> DataFrame:
         F.array(F.split("row", "\t", 12)),
         lambda p: F.struct(
             F.size(p).alias("columns"),
-            parsed_number(trimmed(F.get(p, F.lit(0)))).alias("level"),
+            parsed_number(F.get(p, F.lit(0))).alias("level"),
             F.concat_ws(":", F.get(p, F.lit(2)), F.get(p, F.lit(3)), F.get(p, F.lit(4))).alias("key"),
             *[F.get(p, F.lit(i)).alias(n) for i, n in ((6, "left"), (7, "top"), (8, "width"), (9, "height"), (10, "conf"))],
             trimmed(F.get(p, F.lit(11))).alias("text"),
@@ -40,8 +40,7 @@ def words(rows: DataFrame) -> DataFrame:
 
     def number(name: str) -> Column:
         # A blank cell counts as zero.
-        cell = trimmed(F.col(name))
-        return F.when(cell == "", F.lit(0.0)).otherwise(parsed_number(cell))
+        return F.coalesce(parsed_number(F.col(name)), F.when(trimmed(F.col(name)) == "", 0.0))
 
     boxed = numbered.select(
         "doc_id", "page", F.col("ord").alias("seq"), "text", "line",

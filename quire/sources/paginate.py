@@ -140,8 +140,10 @@ def wrapped_text(text: Column, columns: int) -> Column:
             F.split(text, r"\r\n|\r|\n", -1), lambda p: _wrapped_carefully(p, columns)
         )
     )
-    return F.when(text.rlike(rf"(?m)^{SPACE}|{SPACE}$"), careful).otherwise(
-        F.concat(plain, last_break)
+    return (
+        F.when(text == "", F.array(F.lit("")))
+        .when(text.rlike(rf"(?m)^{SPACE}|{SPACE}$"), careful)
+        .otherwise(F.concat(plain, last_break))
     )
 
 
