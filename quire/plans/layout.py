@@ -144,7 +144,7 @@ def order_sheets(spark, folder):
     rows = spread(table(spark, folder, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("doc_id"),
         (F.lit(700.0) - F.col("l_linenumber") * 18).alias("y"),
-        ((k * 1000 + F.col("l_suppkey") % 1000) * 10).alias("base"),
+        ((F.floor(F.col("l_extendedprice") * 100) * 1000 + k % 1000) * 10).alias("base"),
         F.posexplode(cells).alias("at", "cell"),
         F.lit(10.0).alias("height"),
     )
@@ -167,7 +167,7 @@ def order_sheets(spark, folder):
 
 SHEETS_SQL = """
 cell AS (
-  SELECT l_orderkey AS doc_id, 700.0 - l_linenumber * 18 AS y, (l_partkey * 1000 + l_suppkey % 1000) * 10 + ci AS seq, 10.0 AS height,
+  SELECT l_orderkey AS doc_id, 700.0 - l_linenumber * 18 AS y, (floor(l_extendedprice * 100)::BIGINT * 1000 + l_partkey % 1000) * 10 + ci AS seq, 10.0 AS height,
     CASE ci WHEN 0 THEN 72.0 WHEN 1 THEN 202.0 + l_partkey % 3 WHEN 2 THEN 302.0 - l_partkey % 2 ELSE 402.0 END AS x,
     CASE ci WHEN 0 THEN 'Item ' || l_partkey WHEN 1 THEN l_quantity::INT::VARCHAR WHEN 2 THEN floor(l_extendedprice)::BIGINT || '.5' ELSE l_returnflag END AS str
   FROM lineitem, (SELECT unnest([0, 1, 2, 3]) AS ci)
