@@ -288,10 +288,17 @@ def objects_under(objects: DataFrame, marks: DataFrame) -> DataFrame:
     ``objects``: doc_id, page, object and a nullable rectangle ``box``; one without
     a rectangle cannot be said to be outside a mark.  ``marks``: doc_id, page, mark, box.
     """
-    placed = objects.withColumn(
-        "box", F.coalesce("box", g.rect(*[F.lit(v) for v in EVERYWHERE]))
-    )
-    pairs = placed.join(marks.withColumnRenamed("box", "mark_box"), ["doc_id", "page"])
+    boxed = objects.where("box is not null")
+    unplaced = objects.where("box is null").withColumn("box", g.rect(*[F.lit(v) for v in EVERYWHERE]))
+    named = marks.withColumnRenamed("box", "mark_box")
+    left = _banded(boxed, F.col("box.y"), F.col("box.y") + F.col("box.height"))
+    right = _banded(named, F.col("mark_box.y"), F.col("mark_box.y") + F.col("mark_box.height"))
+    # A pair that shares several bands counts in the first of them only.
+    shared = F.floor(F.greatest(F.col("box.y"), F.col("mark_box.y")) / BAND)
+    near = left.join(right, ["doc_id", "page", "band"]).where(F.col("band") == shared).drop("band")
+    anywhere = unplaced.join(named, ["doc_id", "page"])
+    columns = ["doc_id", "page", "object", "mark", "box", "mark_box"]
+    pairs = near.select(*columns).unionByName(anywhere.select(*columns))
     return pairs.where(g.touches(F.col("mark_box"), F.col("box"))).select(
         "doc_id", "page", "object", "mark", g.contains_rect(F.col("mark_box"), F.col("box")).alias("inside")
     )

@@ -243,15 +243,27 @@ def search_summary(pages: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def hit_neighbours(hits: DataFrame, keys: list[str], order: list[str], hit_id: str) -> DataFrame:
-    """Each hit with the next and previous one in its group, wrapping round."""
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy(*order)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return hits.select(
+    """Each hit with the next and previous one in its group, wrapping round.
+
+    ``hits`` carry ``page``.  Hits are put beside each other within their page; only a
+    page's first and last hit look beyond it, on one row per page.
+    """
+    here = Window.partitionBy(*keys, "page").orderBy(*order)
+    inside = hits.withColumn("next_hit", F.lead(hit_id).over(here)).withColumn("previous_hit", F.lag(hit_id).over(here))
+    ends = hits.groupBy(*keys, "page").agg(
+        F.min_by(hit_id, F.struct(*order)).alias("first"), F.max_by(hit_id, F.struct(*order)).alias("last")
+    )
+    across = Window.partitionBy(*keys).orderBy("page")
+    around = ends.groupBy(*keys).agg(F.min_by("first", "page").alias("top"), F.max_by("last", "page").alias("bottom"))
+    beside = (
+        ends.select(*keys, "page", F.lead("first").over(across).alias("after"), F.lag("last").over(across).alias("before"))
+        .join(around, keys)
+    )
+    return inside.join(beside, [*keys, "page"]).select(
         *keys,
         hit_id,
-        F.coalesce(F.lead(hit_id).over(ordered), F.first(hit_id).over(whole)).alias("next_hit"),
-        F.coalesce(F.lag(hit_id).over(ordered), F.last(hit_id).over(whole)).alias("previous_hit"),
+        F.coalesce("next_hit", "after", "top").alias("next_hit"),
+        F.coalesce("previous_hit", "before", "bottom").alias("previous_hit"),
     )
 
 

@@ -42,14 +42,14 @@ def kept_revisions(revisions: DataFrame, most: int = MOST_REVISIONS, most_bytes:
     ``revisions``: session_id, revision, size_bytes.  From the newest back while
     count and bytes fit; the newest and the base (0) always stay.
     """
-    back = Window.partitionBy("session_id").orderBy(F.desc("revision")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = revisions.withColumn("n", F.count("*").over(back)).withColumn("bytes", F.sum("size_bytes").over(back))
-    # Dropping runs from the oldest, so one that does not fit hides all before it.
-    fits = (F.col("n") <= most) & (F.col("bytes") <= most_bytes)
-    reachable = fits | (F.col("n") == 1)
-    return seen.where(reachable | (F.col("revision") == 0)).select(
-        "session_id", "revision", "size_bytes", reachable.alias("reachable")
-    )
+    newest = Window.partitionBy("session_id").orderBy(F.desc("revision"))
+    # Past ``most`` nothing can stay, so each task first drops all but its newest.
+    recent = revisions.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most)
+    bytes_back = F.sum("size_bytes").over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    reachable = recent.withColumn("bytes", bytes_back).where((F.col("bytes") <= most_bytes) | (F.col("n") == 1))
+    kept = reachable.select("session_id", "revision", "size_bytes", F.lit(True).alias("reachable"))
+    base = revisions.where("revision = 0").join(kept.select("session_id", "revision"), ["session_id", "revision"], "left_anti")
+    return kept.unionByName(base.select("session_id", "revision", "size_bytes", F.lit(False).alias("reachable")))
 
 
 class RevisionLog:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import compare as ops
 from quire.plans import shared_sql as q
+from quire.plans.geometry import _RECTS_SQL, rects
 from quire.plans.registry import query
 from quire.plans.search import pages_of
 from quire.session import cut_lineage, spread, table
@@ -150,3 +151,20 @@ def pixel_regions(spark, folder):
     # Vectors differ nearly everywhere, so only the busiest cells count as changed here.
     busy = cells.withColumn("changed", F.when(F.col("changed") >= 40, F.col("changed")).otherwise(0))
     return ops.pixel_regions(busy, sizes)
+
+
+@query(
+    "unexplained_regions",
+    "J8 Q9 U9",
+    f"""WITH {_RECTS_SQL}, rg AS (SELECT l_orderkey AS pair_id, l_linenumber AS i, l_partkey * 1000 + l_suppkey % 1000 AS region, ax AS x, ay AS y, aw AS w, ah AS h FROM r),
+    ex AS (SELECT l_orderkey AS pair_id, l_linenumber AS i, bx AS x, by_ AS y, bw AS w, bh AS h FROM r WHERE l_suppkey > 20)
+    SELECT pair_id, i AS "index", region FROM rg WHERE NOT EXISTS (SELECT 1 FROM rg o JOIN ex e ON e.pair_id = o.pair_id AND e.i = o.i AND o.x < e.x + e.w AND e.x < o.x + o.w AND o.y < e.y + e.h AND e.y < o.y + o.h
+      WHERE o.pair_id = rg.pair_id AND o.i = rg.i AND o.region = rg.region)""",
+)
+def unexplained_regions(spark, folder):
+    r = rects(spark, folder).withColumn("side", F.lit("original"))
+    keys = [F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("index")]
+    region = (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("region")
+    regions = r.select(*keys, region, "side", "a.*")
+    explained = r.where("l_suppkey > 20").select(*keys, "side", "b.*")
+    return ops.unexplained(regions, explained).select("pair_id", "index", "region")

@@ -162,11 +162,11 @@ def ocr_placed(spark, folder):
 @query(
     "text_sink",
     "S12",
-    f"""WITH {q.PAGES} SELECT doc_id, md5(chr(65279) || string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page) || chr(10)) AS content FROM page_text GROUP BY 1""",
+    f"""WITH {q.PAGES} SELECT doc_id, 0::BIGINT AS piece, md5(chr(65279) || string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY page) || chr(10)) AS content FROM page_text GROUP BY 1""",
 )
 def text_sink(spark, folder):
     made = sinks.text_documents(pages_of(spark, folder).select("doc_id", "page", "text"))
-    return made.select("doc_id", F.md5("content").alias("content"))
+    return made.select("doc_id", "piece", F.md5("content").alias("content"))
 
 
 def _short(e: str) -> str:
@@ -183,3 +183,23 @@ def _short(e: str) -> str:
 def html_sink(spark, folder):
     made = sinks.html_sections(layout.lines(wavering_words(spark, folder)), 595.28, 841.89)
     return made.select("doc_id", "page", F.md5("section").alias("section"))
+
+
+@query(
+    "picture_headers",
+    "S6",
+    """SELECT p_partkey AS ref, CASE WHEN p_brand <> 'Brand#1' THEN (p_size * 40)::BIGINT END AS width, CASE WHEN p_brand <> 'Brand#1' THEN floor(p_retailprice)::BIGINT END AS height FROM part""",
+)
+def picture_headers(spark, folder):
+    """Parts as picture files: a PNG header with their size, or another magic."""
+
+    def four(value):
+        return F.unhex(F.lpad(F.hex(value.cast("bigint")), 8, "0"))
+
+    magic = F.when(F.col("p_brand") == "Brand#1", F.unhex(F.lit("47494638396100000000000000000000"))).otherwise(
+        F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
+    )
+    content = F.concat(magic, four(F.col("p_size") * 40), four(F.floor("p_retailprice")), F.unhex(F.lit("0802000000")))
+    made = table(spark, folder, "part").select(F.col("p_partkey").alias("ref"), content.alias("content"))
+    size = files.png_size(F.col("content"))
+    return made.select("ref", size["width"].alias("width"), size["height"].alias("height"))

@@ -53,7 +53,7 @@ def rectangle_rules(spark, folder):
 
 @query(
     "page_to_screen",
-    "H23 H14",
+    "H23 H14 H13",
     f"""WITH {_RECTS_SQL}, t AS (SELECT *, (l_linenumber - 1) % 4 AS q, ax - 5 AS x, ay - 7 AS y, 1.5 * 2.0 AS k FROM r WHERE aw > 0 AND ah > 0)
     SELECT l_orderkey, l_linenumber, q AS quarter,
       round(k * CASE q WHEN 1 THEN y WHEN 2 THEN 595 - (x + aw) WHEN 3 THEN 842 - (y + ah) ELSE x END, 4) AS "left",

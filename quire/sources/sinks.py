@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import half_up_to, plain_number
@@ -14,26 +14,44 @@ BYTE_ORDER_MARK = "\ufeff"
 PAGE_BREAK = "\n\f\n"
 
 
+# Pages of one piece of a text file; most documents are a single piece.
+PIECE_PAGES = 4096
+
+
 def unique_names(df: DataFrame, stem: str, order: str, extension: str) -> DataFrame:
-    """Case-insensitive collisions get `` (2)``, `` (3)``..."""
-    same = Window.partitionBy(F.lower(stem)).orderBy(order)
-    n = F.row_number().over(same)
-    return df.withColumn(
+    """Case-insensitive collisions get `` (2)``, `` (3)``... by ``order``, an integer unique
+    among equal stems.  A very common stem is numbered stretch by stretch."""
+    from quire.operators.scale import running_total
+
+    counted = running_total(df.withColumn("_stem", F.lower(stem)), ["_stem"], order, F.lit(1), "_earlier")
+    n = F.col("_earlier") + 1
+    return counted.withColumn(
         "name",
         F.concat(
             F.col(stem),
             F.when(n > 1, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.lit("")),
             F.lit(extension),
         ),
-    )
+    ).drop("_stem", "_earlier")
+
 
+def text_documents(page_texts: DataFrame, piece_pages: int = PIECE_PAGES) -> DataFrame:
+    """Text files as ``doc_id, piece, content``; the pieces of a document in order are its file.
 
-def text_documents(page_texts: DataFrame) -> DataFrame:
-    """One text per document: a byte order mark, pages joined by form feeds, a last newline."""
+    A byte order mark first, form feeds between pages, a newline last.  A piece holds
+    a bounded run of pages, so no document is gathered whole however long it is.
+    """
+    last = page_texts.groupBy("doc_id").agg(F.max("page").alias("last_page"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
-    return page_texts.groupBy("doc_id").agg(
-        F.concat(F.lit(BYTE_ORDER_MARK), F.array_join(ordered, PAGE_BREAK), F.lit("\n")).alias("content")
+    pieces = (
+        page_texts.withColumn("piece", F.floor((F.col("page") - 1) / piece_pages))
+        .groupBy("doc_id", "piece")
+        .agg(F.array_join(ordered, PAGE_BREAK).alias("body"), F.max("page").alias("to_page"))
+        .join(last, "doc_id")
     )
+    start = F.when(F.col("piece") == 0, F.lit(BYTE_ORDER_MARK)).otherwise(F.lit(""))
+    end = F.when(F.col("to_page") == F.col("last_page"), F.lit("\n")).otherwise(F.lit(PAGE_BREAK))
+    return pieces.select("doc_id", "piece", F.concat(start, F.col("body"), end).alias("content"))
 
 
 def html_sections(lines: DataFrame, width: float, height: float) -> DataFrame:

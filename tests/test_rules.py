@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import dates, facts, numbers, ranges, text
 from quire.operators import layout, pages, redact, trees
 from quire.operators.scale import running_total, runs
-from quire.sources import files, ocr
+from quire.sources import files, ocr, sinks
 from quire.sources.paginate import PageSetup, wrapped_text
 
 
@@ -263,3 +263,26 @@ def test_pictures_tell_their_size(spark):
     sizes = {r.path: r.s for r in frame.select("path", files.png_size(F.col("content")).alias("s")).collect()}
     assert tuple(sizes["p"]) == (640, 480) and sizes["j"] is None
     assert {r.path: (r.width, r.height) for r in files.jpeg_sizes(frame).collect()}["j"] == (120, 90)
+
+
+def test_publish_swaps_only_verified_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    first = spark.range(10).withColumn("v", F.col("id") * 2)
+    sinks.publish(first, folder, "pages")
+    assert sinks.published(spark, folder, "pages").count() == 10
+    sinks.publish(spark.range(3).withColumn("v", F.col("id")), folder, "pages")
+    assert sinks.published(spark, folder, "pages").count() == 3
+
+
+def test_text_pieces_join_to_one_file(spark):
+    pages_ = spark.createDataFrame([(1, n, f"p{n}") for n in range(1, 8)] + [(2, 1, "x")], "doc_id int, page int, text string")
+    whole = {r.doc_id: r.content for r in sinks.text_documents(pages_).collect()}
+    cut = sinks.text_documents(pages_, piece_pages=3).orderBy("doc_id", "piece").collect()
+    assert "".join(r.content for r in cut if r.doc_id == 1) == whole[1]
+    assert whole[1].endswith("p6\n\f\np7\n") and whole[2] == sinks.BYTE_ORDER_MARK + "x\n"
+
+
+def test_parts_are_written_apart(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "doc_id int, page int, part int")
+    sinks.write_parts(frame, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["part=1", "part=2"]
