@@ -44,6 +44,19 @@ def test_scripts_are_shortest_and_replay():
         assert sum(k != "same" for k, _ in steps) == fewest(a, b)
 
 
+def test_runs_are_slices_of_both_sides():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        b = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        steps = compare._edit_steps(*numbered(a, b))
+        rebuilt, at = [], 0
+        for run in compare._change_runs(steps):
+            rebuilt += a[at : run["before_at"]] + b[run["after_at"] : run["after_at"] + run["after_n"]]
+            at = run["before_at"] + run["before_n"]
+        assert rebuilt + a[at:] == b
+
+
 def test_known_script():
     a, b = "the quick brown fox jumps".split(), "the slow brown fox leaps high".split()
     steps = compare._edit_steps(*numbered(a, b))
