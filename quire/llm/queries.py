@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, packing, sharding
+from quire.llm import mixing, outliers, packing, secrets, sharding
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -35,6 +35,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_ownership_frequency")
+def op1(spark, folder):
+    return secrets.digest(secrets.secrets_by_ownership(table(spark, folder, "documents")))
+
+
 @query("op2_poisson_mixture")
 def op2(spark, folder):
     """Sources to the 0.7th power of their sizes; one row per copy."""
@@ -59,3 +64,8 @@ def op7(spark, folder):
     return packing.with_digest(pieces).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"
     )
+
+
+@query("op10_robust_outliers")
+def op10(spark, folder):
+    return outliers.robust_rules(table(spark, folder, "documents"))
