@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, outliers, packing, secrets, sharding
+from quire.llm import lines, mixing, outliers, packing, secrets, sharding, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -48,6 +48,27 @@ def op2(spark, folder):
     )
 
 
+@query(
+    "op3_no_random_access_topk",
+    """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM met)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM placed WHERE place <= 5""",
+)
+def op3(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query("op5_winnowed_lines")
+def op5(spark, folder):
+    return lines.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "deleted_words")
+
+
 @query("op6_two_pass_shuffle")
 def op6(spark, folder):
     shuffled = sharding.two_pass_shuffle(table(spark, folder, "documents"))
