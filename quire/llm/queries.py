@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing, outliers, packing, secrets, sharding, topk
+from quire.llm import classifier, lines, mixing, outliers, packing, secrets, sharding, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -90,3 +90,8 @@ def op7(spark, folder):
 @query("op10_robust_outliers")
 def op10(spark, folder):
     return outliers.robust_rules(table(spark, folder, "documents"))
+
+
+@query("op8_rule_ensemble")
+def op8(spark, folder):
+    return classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
