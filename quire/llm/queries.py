@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, lines, mixing, outliers, packing, secrets, sharding, topk
+from quire.llm import classifier, interpolation, lines, mixing, outliers, packing, secrets, sharding, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -87,6 +87,11 @@ def op7(spark, folder):
     )
 
 
+@query("op9_deleted_interpolation")
+def op9(spark, folder):
+    return interpolation.interpolated_scores(table(spark, folder, "documents"))
+
+
 @query("op10_robust_outliers")
 def op10(spark, folder):
     return outliers.robust_rules(table(spark, folder, "documents"))
