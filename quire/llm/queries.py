@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, interpolation, lines, mixing, outliers, packing, secrets, sharding, topk
+from quire.llm import classifier, interpolation, lines, mixing, neardup, outliers, packing, secrets, sharding, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -64,6 +64,11 @@ def op3(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"))
 
 
+@query("op4_odd_sketches")
+def op4(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
 @query("op5_winnowed_lines")
 def op5(spark, folder):
     return lines.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "deleted_words")
