@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.shared import packed, pick, stored, unpacked
 
@@ -242,7 +243,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[str, np.ndarray] = {}
 
