@@ -96,14 +96,28 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, np.array(edges, dtype=np.uint64)), [len(hashes)]])
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts as bytes of the narrowest width, which stands first."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or counts.max(initial=0) < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes of the least width that holds them all, which stands first."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    raw = np.ascontiguousarray(numbers, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + raw[:, :width].tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+    body = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(-1, raw[0])
+    out = np.zeros((len(body), 8), dtype=np.uint8)
+    out[:, : raw[0]] = body
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _steps(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the first and the steps between them."""
+    return hashes[:1].tobytes() + _narrow(np.diff(hashes))
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    steps = np.concatenate([np.frombuffer(raw, dtype=np.uint64, count=1), _wide(raw[8:]).astype(np.uint64)])
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 MESSAGE = "block int, kind int, part int, body binary, tokens long, types long"
@@ -121,7 +135,7 @@ def _asked(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
     for kind, hashes, counts in ((WORD, block.words, words), (PAIR, block.pairs, pairs)):
         at = _ranges(hashes, parts)
         out += [
-            (kind, p, number, hashes[at[p] : at[p + 1]].tobytes(), _narrow(counts[at[p] : at[p + 1]]))
+            (kind, p, number, _steps(hashes[at[p] : at[p + 1]]), _narrow(counts[at[p] : at[p + 1]]))
             for p in range(parts) if at[p + 1] > at[p]
         ]
     return pd.DataFrame(out, columns=["kind", "part", "block", "hashes", "counts"])
@@ -130,7 +144,7 @@ def _asked(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     """The corpus counts of one range, laid out as each block asked, and the range's totals."""
     kind, part = int(rows["kind"].iloc[0]), int(rows["part"].iloc[0])
-    hashes = [np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"]]
+    hashes = [_hashes(h) for h in rows["hashes"]]
     counts = [_wide(c) for c in rows["counts"]]
     known = np.unique(np.concatenate(hashes))
     total = np.zeros(len(known), dtype=np.int64)
@@ -172,6 +186,8 @@ def _cell(p: np.ndarray) -> np.ndarray:
 
 def _deleted(rows: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
     """Held-out statistics of a block's training tokens, each judged without itself, in cells."""
+    if rows.empty:  # a block that no document fell into
+        return pd.DataFrame(columns=[x.split()[0] for x in CELLS.split(", ")])
     block = Block(rows["text"].tolist(), (~rows["held_out"]).to_numpy())
     c = Counts(block, messages)
     use = block.training
@@ -215,6 +231,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _scored(rows: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+    if rows.empty:
+        return pd.DataFrame(columns=[x.split()[0] for x in SCORES.split(", ")])
     block = Block(rows["text"].tolist(), (~rows["held_out"]).to_numpy())
     c = Counts(block, messages)
     # A bucket without held-out tokens takes the weights of the nearest fuller one below.
