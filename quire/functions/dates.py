@@ -8,16 +8,53 @@ from pyspark.sql import functions as F
 from quire.functions.numbers import half_up
 from quire.functions.text import trimmed
 
-# D:YYYYMMDDHHmmSS and an offset; everything after the year is optional.
-# The lenient form takes any character from + to Z as the sign.
-PARTS = r"^D?:?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?"
-LENIENT = PARTS + r"(?:([+-Z])(\d{2})'?(\d{2})?'?)?"
-STRICT = PARTS + r"(?:(Z|\+|-)(\d{2})'?(\d{2})?'?)?"
+# A document date is an optional "D" and ":", a year of four digits, then
+# month, day, hour, minute and second of two digits each, then perhaps an offset: a sign,
+# two digits of hours, two of minutes, each perhaps with an apostrophe behind the hours.
+WIDTHS = {"year": (1, 4), "month": (5, 2), "day": (7, 2), "hour": (9, 2), "minute": (11, 2), "second": (13, 2)}
+FIRST = {"year": 0, "month": 1, "day": 1, "hour": 0, "minute": 0, "second": 0}
 
 
-def _part(text: Column, pattern: str, group: int, default: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found == "", F.lit(default)).otherwise(found.try_cast("int"))
+def _digits(text: Column) -> Column:
+    """How many digits a text begins with."""
+    return F.length(text) - F.length(F.ltrim(text, F.lit("0123456789")))
+
+
+def _cut(value: Column, signs: Column | None = None) -> dict[str, Column]:
+    """A document date cut by position.
+
+    ``dated`` tells whether there is a year, ``sign``, ``hours`` and ``minutes`` are the
+    offset.  Digits are taken in whole parts, so an odd one at the end belongs to what
+    follows.  ``signs`` narrows which signs begin an offset.
+    """
+    text = trimmed(value)
+    text = F.when(F.startswith(text, F.lit("D")), F.substring(text, 2, 2147483647)).otherwise(text)
+    text = F.when(F.startswith(text, F.lit(":")), F.substring(text, 2, 2147483647)).otherwise(text)
+    run = _digits(text)
+    used = F.when(run < 4, F.lit(0)).otherwise(F.least(F.lit(14), run - run % 2))
+    cut = {
+        name: F.when(used >= at + size - 1, F.substring(text, at, size).try_cast("int")).otherwise(F.lit(FIRST[name]))
+        for name, (at, size) in WIDTHS.items()
+    }
+    rest = F.substr(text, used + 1, F.lit(2147483647))
+    sign, behind = F.substring(rest, 1, 1), F.substring(rest, 2, 2147483647)
+    offset = _digits(behind) >= 2
+    offset = offset & (sign.between("+", "Z") if signs is None else sign.isin(signs))
+    late = F.substring(behind, 3, 2147483647)
+    late = F.when(F.startswith(late, F.lit("'")), F.substring(late, 2, 2147483647)).otherwise(late)
+    return {
+        **cut,
+        "dated": run >= 4,
+        "sign": F.when(offset, sign).otherwise(F.lit("")),
+        "hours": F.when(offset, F.substring(behind, 1, 2).try_cast("int")).otherwise(F.lit(0)),
+        "minutes": F.when(offset & (_digits(late) >= 2), F.substring(late, 1, 2).try_cast("int")).otherwise(F.lit(0)),
+    }
+
+
+def _offset(cut: dict[str, Column]) -> Column:
+    """Minutes east of Greenwich; no sign and Z are Greenwich."""
+    size = cut["hours"] * 60 + cut["minutes"]
+    return F.when(cut["sign"].isin("", "Z"), F.lit(0)).when(cut["sign"] == "-", -size).otherwise(size)
 
 
 def _rolled(year, month, day, hour, minute, second, offset_minutes) -> Column:
@@ -34,47 +71,24 @@ def _rolled(year, month, day, hour, minute, second, offset_minutes) -> Column:
 
 
 def lenient_document_date(value: Column) -> Column:
-    """Metadata reader: invalid parts roll over; the year must be 1..9999."""
-    text = trimmed(value)
-    year = _part(text, LENIENT, 1, 0)
-    sign = F.regexp_extract(text, LENIENT, 7)
-    minutes = _part(text, LENIENT, 8, 0) * 60 + _part(text, LENIENT, 9, 0)
-    offset = (
-        F.when((sign == "") | (sign == "Z"), F.lit(0)).when(sign == "-", -minutes).otherwise(minutes)
-    )
+    """Metadata reader: invalid parts roll over; the year must be 1..9999; any sign from + to Z."""
+    cut = _cut(value)
+    year = cut["year"]
     seconds = _rolled(
-        F.when(year < 100, year + 1900).otherwise(year),
-        *[_part(text, LENIENT, g, d) for g, d in ((2, 1), (3, 1), (4, 0), (5, 0), (6, 0))],
-        offset,
+        F.when(year < 100, year + 1900).otherwise(year), *[cut[n] for n in ("month", "day", "hour", "minute", "second")], _offset(cut)
     )
-    return F.when(text.rlike(LENIENT) & year.between(1, 9999), F.timestamp_seconds(seconds))
+    return F.when(cut["dated"] & year.between(1, 9999), F.timestamp_seconds(seconds))
 
 
 def strict_document_date(value: Column) -> Column:
     """Annotation reader: parts outside their range make the whole date unknown."""
-    text = trimmed(value)
-    year, month, day, hour, minute, second = (
-        _part(text, STRICT, g, d) for g, d in ((1, 0), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0))
-    )
-    sign = F.regexp_extract(text, STRICT, 7)
-    off_hour, off_minute = _part(text, STRICT, 8, 0), _part(text, STRICT, 9, 0)
-    minutes = off_hour * 60 + off_minute
-    offset = (
-        F.when((sign == "") | (sign == "Z"), F.lit(0)).when(sign == "-", -minutes).otherwise(minutes)
-    )
-    valid = (
-        text.rlike(STRICT)
-        & month.between(1, 12)
-        & day.between(1, 31)
-        & ((hour < 24) | ((hour == 24) & (minute == 0) & (second == 0)))
-        & (minute < 60)
-        & (second < 60)
-        & (off_hour < 24)
-        & (off_minute < 60)
-    )
-    return F.when(
-        valid, F.timestamp_seconds(_rolled(year, month, day, hour, minute, second, offset))
-    )
+    cut = _cut(value, ["Z", "+", "-"])
+    midnight = (cut["hour"] == 24) & (cut["minute"] == 0) & (cut["second"] == 0)
+    valid = cut["dated"] & (cut["hour"].between(0, 23) | midnight)
+    for name, low, high in (("month", 1, 12), ("day", 1, 31), ("minute", 0, 59), ("second", 0, 59), ("hours", 0, 23), ("minutes", 0, 59)):
+        valid = valid & cut[name].between(low, high)
+    seconds = _rolled(*[cut[n] for n in WIDTHS], _offset(cut))
+    return F.when(valid, F.timestamp_seconds(seconds))
 
 
 def written_document_date(value: Column) -> Column:
@@ -82,26 +96,24 @@ def written_document_date(value: Column) -> Column:
     return F.concat(F.lit("D:"), F.date_format(value, "yyyyMMddHHmmss"), F.lit("Z00'00"))
 
 
-ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-DAY_FIRST = r"^(\d{1,2})[./](\d{1,2})[./](\d{2,4})$"
-
-
 def typed_date(value: Column) -> Column:
     """``Y-M-D``, ``D/M/Y`` or ``D.M.Y``; two-digit years are 2000 on; impossible days are null."""
     text = trimmed(value)
+    marks = F.translate(text, "0123456789", "")
+    parts = F.split(text, "[-./]")
+
+    def number(at: int, least: int, most: int) -> Column:
+        part = F.get(parts, at)
+        return F.when(F.length(part).between(least, most), part.try_cast("int"))
+
+    def day(year: Column, month: Column, of_month: Column) -> Column:
+        padded = [F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (of_month, 2))]
+        return F.concat(padded[0], F.lit("-"), padded[1], F.lit("-"), padded[2]).try_cast("date")
 
-    def made(pattern: str, year: int, month: int, day: int) -> Column:
-        number = F.regexp_extract(text, pattern, year).try_cast("int")
-        full = F.when(number < 100, number + 2000).otherwise(number) if pattern == DAY_FIRST else number
-        return F.concat_ws(
-            "-",
-            F.lpad(full.cast("string"), 4, "0"),
-            F.lpad(F.regexp_extract(text, pattern, month), 2, "0"),
-            F.lpad(F.regexp_extract(text, pattern, day), 2, "0"),
-        ).try_cast("date")
-
-    return F.when(text.rlike(ISO), made(ISO, 1, 2, 3)).when(
-        text.rlike(DAY_FIRST), made(DAY_FIRST, 3, 2, 1)
+    typed_year = number(2, 2, 4)
+    full_year = F.when(typed_year < 100, typed_year + 2000).otherwise(typed_year)
+    return F.when(marks == "--", day(number(0, 4, 4), number(1, 1, 2), number(2, 1, 2))).when(
+        marks.isin("//", "..", "/.", "./"), day(full_year, number(1, 1, 2), number(0, 1, 2))
     )
 
 

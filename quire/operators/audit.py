@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page_sizes(pages: DataFrame, most: int = 200) -> DataFrame:
-    """Displayed page sizes per document, most frequent first, earliest page breaking ties."""
+def page_sizes(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Displayed page sizes per document, most frequent first, earliest page breaking ties; all, or the first ``most``."""
     counted = pages.groupBy("doc_id", "width", "height").agg(
         F.count("*").alias("pages"), F.min("page").alias("first_page")
     )
     order = Window.partitionBy("doc_id").orderBy(F.desc("pages"), "first_page", "width", "height")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 def mostly_landscape(pages: DataFrame) -> DataFrame:
@@ -27,7 +28,6 @@ CHECKS = [
     "linkTargets", "linkDescriptions", "tabOrder", "untaggedContent", "assistivePermission",
     "readingOrder", "colourContrast",
 ]
-MOST_ITEMS = 500
 
 # The categories of hidden information, in report order.
 CATEGORIES = [
@@ -82,7 +82,8 @@ def accessibility_report(documents: DataFrame, *facts: DataFrame) -> DataFrame:
     ``documents``: doc_id, title, language, display_title, has_tags, marked, encrypted,
     may_extract; ``facts``: per-document counts of links, pages, figures, fields.
     Every fact is one aggregate by document, so the report is a few joins on it
-    and no list is gathered.
+    and no list is gathered.  A check whose facts were not given is ``unknown``; a
+    document without a row in the facts that were given has none of those things.
     """
     from quire.functions.facts import language_tag
     from quire.functions.text import is_blank
@@ -92,11 +93,13 @@ def accessibility_report(documents: DataFrame, *facts: DataFrame) -> DataFrame:
         wide = wide.join(fact, "doc_id", "left")
 
     def count(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)) if name in wide.columns else F.lit(0)
+        return F.coalesce(F.col(name), F.lit(0))
 
     tags = F.col("has_tags")
 
     def counted(total: str | None, bad: str, verdict: str, needs_tags: bool = False) -> tuple[Column, Column]:
+        if bad not in wide.columns or (total is not None and total not in wide.columns):
+            return F.lit("unknown"), F.lit(None)
         absent = F.lit(False) if total is None else count(total) == 0
         if needs_tags:
             absent = absent | ~tags
@@ -133,41 +136,44 @@ def accessibility_report(documents: DataFrame, *facts: DataFrame) -> DataFrame:
     return wide.select("doc_id", F.inline(F.array(*rows)))
 
 
-def figure_items(figures: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
-    """Figures to show: the first ``most`` in tree order, those without text in front.
+def figure_items(figures: DataFrame, most: int | None = None) -> DataFrame:
+    """Figures to show, those without text in front: all, or the first ``most`` in tree order.
 
     ``figures``: doc_id, ord, alt -> doc_id, place, ord, described, truncated.
     """
     from quire.functions.text import is_blank
 
     tree = Window.partitionBy("doc_id").orderBy("ord")
-    counts = figures.groupBy("doc_id").agg((F.count("*") > most).alias("truncated"))
-    kept = figures.withColumn("n", F.row_number().over(tree)).where(F.col("n") <= most)
+    kept = figures.withColumn("truncated", F.lit(False))
+    if most is not None:
+        counts = figures.groupBy("doc_id").agg((F.count("*") > most).alias("truncated"))
+        kept = figures.withColumn("n", F.row_number().over(tree)).where(F.col("n") <= most).join(counts, "doc_id")
     described = ~is_blank(F.coalesce("alt", F.lit("")))
     shown = kept.withColumn("described", described)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("described", "ord"))
-    return shown.withColumn("place", place).join(counts, "doc_id").select("doc_id", "place", "ord", "described", "truncated")
+    return shown.withColumn("place", place).select("doc_id", "place", "ord", "described", "truncated")
 
 
-def hidden_information(documents: DataFrame, findings: DataFrame, shown: int = 10) -> DataFrame:
+def hidden_information(
+    documents: DataFrame, findings: DataFrame, shown: int | None = None, width: int | None = None
+) -> DataFrame:
     """Ten categories per document: ``doc_id, category, count, detail``; empty ones stay.
 
-    ``findings``: doc_id, category, ord, label.  Details keep the first labels only,
-    and the cut happens before anything is gathered.
+    ``findings``: doc_id, category, ord, label.  A report may ask for the first
+    ``shown`` labels and the first ``width`` characters; labels are cut before they are
+    gathered.
     """
-    counts = findings.groupBy("doc_id", "category").agg(F.count("*").alias("count"))
     order = Window.partitionBy("doc_id", "category").orderBy("ord", "label")
-    first = (
-        findings.withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= shown)
-        .groupBy("doc_id", "category")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "label"))), lambda r: r["label"]), ", ").alias("detail"))
+    label = F.struct("n", "label")
+    kept = label if shown is None else F.when(F.col("n") <= shown, label)
+    detail = F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda r: r["label"]), ", ")
+    found = (
+        findings.withColumn("n", F.row_number().over(order)).groupBy("doc_id", "category")
+        .agg(F.count("*").alias("count"), (detail if width is None else F.substring(detail, 1, width)).alias("detail"))
     )
     grid = documents.select("doc_id", F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("category"))
-    return (
-        grid.join(counts, ["doc_id", "category"], "left")
-        .join(first, ["doc_id", "category"], "left")
-        .select("doc_id", "category", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce(F.substring("detail", 1, 2000), F.lit("")).alias("detail"))
+    return grid.join(found, ["doc_id", "category"], "left").select(
+        "doc_id", "category", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("detail", F.lit("")).alias("detail")
     )
 
 
@@ -193,14 +199,14 @@ def attachments(named: DataFrame, on_pages: DataFrame) -> DataFrame:
     )
 
 
-def fonts(seen: DataFrame, most: int = 500) -> DataFrame:
+def fonts(seen: DataFrame) -> DataFrame:
     """Fonts of a document, one row per name, the first description met; by name.
 
     ``seen``: doc_id, ord, name, type, embedded -> plus ``subset`` and ``place``.
     """
     first = seen.groupBy("doc_id", "name").agg(F.min_by(F.struct("type", "embedded"), "ord").alias("f"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))
-    return first.withColumn("place", place).where(F.col("place") <= most).select(
+    return first.withColumn("place", place).select(
         "doc_id", "place", F.regexp_replace("name", r"^[A-Z]{6}\+", "").alias("name"), "f.type", "f.embedded",
         F.col("name").rlike(r"^[A-Z]{6}\+").alias("subset"),
     )
@@ -223,7 +229,7 @@ def resolved_destinations(links: DataFrame, named: DataFrame, pages: DataFrame)
     )
 
 
-def reading_order(tags: DataFrame, content: DataFrame, geometry: DataFrame, most: int = 5000) -> DataFrame:
+def reading_order(tags: DataFrame, content: DataFrame, geometry: DataFrame) -> DataFrame:
     """Tags in tree order with the box of what they mark: ``doc_id, number, tag, page, x, y, width, height``.
 
     ``tags``: doc_id, tag, ord; ``content``: doc_id, tag, page, mcid; ``geometry``:
@@ -234,6 +240,6 @@ def reading_order(tags: DataFrame, content: DataFrame, geometry: DataFrame, most
         F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("t"),
     )
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    return tags.join(boxes, ["doc_id", "tag"]).withColumn("number", number).where(F.col("number") <= most).select(
+    return tags.join(boxes, ["doc_id", "tag"]).withColumn("number", number).select(
         "doc_id", "number", "tag", "page", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("t") - F.col("y")).alias("height")
     )

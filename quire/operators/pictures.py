@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as g
 from quire.functions.numbers import half_up
 
-MOST_PIXELS = 60_000_000
 RESAMPLE_OVER = 1.5
 SAMPLES, COLOURS, GREYS, PHOTO_PIXELS = 8192, 512, 160, 4096
 
@@ -36,7 +35,7 @@ def picture_kind(p: dict[str, Column]) -> Column:
     """jpeg, lossless or untouchable, from a picture's own facts."""
     off_limits = (
         p["image_mask"] | p["colour_key"] | p["decode"] | (p["bits"] != 8)
-        | (p["width"] <= 0) | (p["height"] <= 0) | (p["width"] * p["height"] > MOST_PIXELS)
+        | (p["width"] <= 0) | (p["height"] <= 0)
         | p["channels"].isNull()
     )
     plain = (p["filter"] == "") | ((p["filter"] == "FlateDecode") & ~p["predictor"])

@@ -12,8 +12,6 @@ from quire.functions.text import collapsed, match_starts
 # Shares of the text size.
 SPACE_GAP, LINE_SHIFT = 0.15, 0.5
 ASCENT, DESCENT = 0.75, -0.2
-MOST_MATCHES = 2000
-MOST_TEXT = 4000
 BAND = 64.0
 CHAR = "struct<ch:string,run:int,x:double,y:double,width:double,height:double>"
 BOXES = "array<struct<x:double,y:double,width:double,height:double>>"
@@ -225,7 +223,7 @@ def mark_texts(hits: DataFrame) -> DataFrame:
         ),
         lambda s: s["text"],
     )
-    return hits.groupBy("id", "doc_id", "page").agg(F.substring(collapsed(joined), 1, MOST_TEXT).alias("text"))
+    return hits.groupBy("id", "doc_id", "page").agg(collapsed(joined).alias("text"))
 
 
 def redacted_items(pages: DataFrame, marks: DataFrame) -> DataFrame:

@@ -39,16 +39,13 @@ def unreachable(nodes: DataFrame, seeds: DataFrame, edges: DataFrame, keys: list
     return nodes.join(reachable(seeds, edges, keys), [*keys, "node"], "left_anti")
 
 
-def _part(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 6, "0")
-
-
-def chained(links: DataFrame, keys: list[str], most: int = 16384) -> DataFrame:
+def chained(links: DataFrame, keys: list[str]) -> DataFrame:
     """Place in a linked list: ``keys, node, head, place``; ``links``: keys, node, next.
 
     Every node jumps twice as far back in each round, so a list of a million
-    entries takes twenty joins, not a million.  Nodes of a closed loop have no
-    head and do not appear.
+    entries takes twenty joins, not a million, and the rounds end when nothing moves
+    or a list of all rows would be through.  Nodes of a closed loop have neither head
+    nor place.
     """
     back = links.where("next is not null").select(*keys, F.col("next").alias("node"), F.col("node").alias("before"))
     state = cut_lineage(
@@ -59,8 +56,7 @@ def chained(links: DataFrame, keys: list[str], most: int = 16384) -> DataFrame:
             F.col("before").isNotNull().cast("bigint").alias("place"),
         )
     )
-    reach = 1
-    while True:
+    for _ in range(state.count().bit_length() + 1):
         ahead = state.select(*keys, F.col("node").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"))
         state = cut_lineage(
             state.join(ahead, [*keys, "head"]).select(
@@ -68,16 +64,16 @@ def chained(links: DataFrame, keys: list[str], most: int = 16384) -> DataFrame:
                 (F.col("more") > 0).alias("moved"),
             )
         )
-        reach *= 2
-        if reach >= most or state.where("moved").isEmpty():
-            return state.where("not moved").drop("moved")
+        if state.where("moved").isEmpty():
+            break
+    return state.select(*keys, "node", *[F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("head", "place")])
 
 
-def outline_rows(nodes: DataFrame, keys: list[str], depth: int = 32) -> DataFrame:
+def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a tree held as first-child / next-sibling links.
 
     ``nodes``: keys, node, first, next (nullable), is_root (the first top entry).
-    Result: keys, node, parent, level, path (``0.2.1``) and a sortable ``order``.
+    Result: keys, node, parent, level, path (``0.2.1``) and the path as numbers, ``order``.
     Siblings are ranked by pointer jumping, then one join per level of depth
     hands the paths down.  An entry two links lead to keeps the first link met
     (a first-child link, else the lowest node), so a damaged tree stays a tree.
@@ -99,22 +95,23 @@ def outline_rows(nodes: DataFrame, keys: list[str], depth: int = 32) -> DataFram
     ranked = cut_lineage(ranked.join(roots.select(*keys, F.col("node").alias("head"), F.lit(True).alias("top")), [*keys, "head"], "left"))
     level = ranked.where("top").select(
         *keys, "node", F.lit(None).cast("bigint").alias("parent"), F.lit(1).alias("level"),
-        F.col("place").cast("string").alias("path"), _part(F.col("place")).alias("order"),
+        F.col("place").cast("string").alias("path"), F.array("place").alias("order"),
     )
     found = level = cut_lineage(level)
-    for deeper in range(2, depth + 1):
+    deeper = 1
+    while True:
+        deeper += 1
         above = level.select(*keys, F.col("node").alias("parent"), F.col("path").alias("above"), F.col("order").alias("above_order"))
         level = cut_lineage(
             ranked.where("top is null").join(above, [*keys, "parent"]).select(
                 *keys, "node", "parent", F.lit(deeper).alias("level"),
                 F.concat("above", F.lit("."), F.col("place").cast("string")).alias("path"),
-                F.concat("above_order", _part(F.col("place"))).alias("order"),
+                F.array_append("above_order", F.col("place")).alias("order"),
             )
         )
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
 
 
 def ancestors(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,29 +178,32 @@ def inherited_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
     named = rows.where("page is not null").select(*keys, F.col("path").alias("ancestor"), F.col("page").alias("above_page"))
     above = ancestors(rows.where("page is null").select(*keys, "path"), keys).join(named, [*keys, "ancestor"])
     nearest = above.groupBy(*keys, "path").agg(F.min_by("above_page", "gap").alias("inherited"))
-    padded = F.array_join(F.transform(F.split("path", r"\."), _part), "")
+    order = F.transform(F.split("path", r"\."), lambda n: n.cast("bigint"))
     return rows.join(nearest, [*keys, "path"], "left").select(
-        *keys, "path", F.coalesce("page", "inherited").alias("page"), padded.alias("order"),
+        *keys, "path", F.coalesce("page", "inherited").alias("page"), order.alias("order"),
         F.size(F.split("path", r"\.")).alias("depth"),
     )
 
 
-def resolved_roles(types: DataFrame, roles: DataFrame, keys: list[str], hops: int = 16) -> DataFrame:
-    """Custom types followed through the role map, at most ``hops`` times; loops stop.
+def resolved_roles(types: DataFrame, roles: DataFrame, keys: list[str], hops: int | None = None) -> DataFrame:
+    """Custom types followed through the role map to its end (or ``hops`` times); loops stop.
 
     ``types``: keys, type; ``roles``: keys, type, role -> keys, type, resolved.
     """
     known = roles.select(*keys, F.col("type").alias("resolved"), "role")
     current = types.select(*keys, "type").distinct().withColumn("resolved", F.col("type")).withColumn("seen", F.array("type"))
-    for hop in range(hops):
-        current = current.join(known, [*keys, "resolved"], "left").select(
-            *keys, "type",
-            F.when(F.col("role").isNotNull() & ~F.array_contains("seen", F.col("role")), F.col("role"))
-            .otherwise(F.col("resolved")).alias("resolved"),
-            F.when(F.col("role").isNotNull(), F.array_append("seen", F.col("role"))).otherwise(F.col("seen")).alias("seen"),
+    hop, moves = 0, True
+    while moves and (hop != hops):
+        goes_on = F.col("role").isNotNull() & ~F.array_contains("seen", F.col("role"))
+        current = cut_lineage(
+            current.join(known, [*keys, "resolved"], "left").select(
+                *keys, "type", F.when(goes_on, F.col("role")).otherwise(F.col("resolved")).alias("resolved"),
+                F.when(goes_on, F.array_append("seen", F.col("role"))).otherwise(F.col("seen")).alias("seen"),
+                F.coalesce(goes_on, F.lit(False)).alias("moved"),
+            )
         )
-        if hop % 4 == 3:
-            current = cut_lineage(current)
+        hop, moves = hop + 1, not current.where("moved").isEmpty()
+        current = current.drop("moved")
     return current.select(*keys, "type", "resolved")
 
 

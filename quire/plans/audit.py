@@ -64,20 +64,38 @@ def web_inventory(spark, folder):
     )
 
 
+def figures(spark, folder):
+    """Bold passages as figures; those with a broken mark have no description."""
+    text = F.col("text")
+    return web_pages(spark, folder).select("doc_id", F.explode(F.regexp_extract_all("html", F.lit("<b>([^<]*)</b>"), F.lit(1))).alias("text")).select(
+        "doc_id", F.when(F.contains(text, F.lit("%%%")), "").otherwise(text).alias("alt"), F.lit(None).cast("string").alias("actual_text")
+    )
+
+
+def fields(spark, folder):
+    """Entries of the navigation as form fields; very short ones have no name."""
+    entry = F.lit('<li><a href="[^"]*">([^<]*)</a></li>')
+    return web_pages(spark, folder).select("doc_id", F.explode(F.regexp_extract_all("html", entry, F.lit(1))).alias("text")).select(
+        "doc_id", F.when(F.length("text") > 2, F.col("text")).alias("tooltip")
+    )
+
+
 @query(
     "accessibility_audit",
     "Q11 A7 A15 F11 F13 T5 H8",
     f"""WITH {_LINKS}, {_META},
     lf AS (SELECT doc_id, count(*) AS links, count(*) FILTER (WHERE CASE WHEN action = 'URI' THEN trim(url) = '' ELSE coalesce(dest, '') = '' END) AS empty, count(*) FILTER (WHERE contents IS NULL) AS bare FROM l GROUP BY 1),
     pf AS (SELECT doc_id, count(*) FILTER (WHERE pics > 0 AND shows = 0) AS io, count(*) FILTER (WHERE loose) AS lo, count(*) FILTER (WHERE annots > 0 AND tabs IS NULL) AS tp FROM inv GROUP BY 1),
-    w AS (SELECT m.*, coalesce(links, 0) AS links, coalesce(empty, 0) AS empty, coalesce(bare, 0) AS bare, io, lo, tp FROM m LEFT JOIN lf USING (doc_id) LEFT JOIN pf USING (doc_id))
+    ff AS (SELECT doc_id, len(b) AS figs, len(list_filter(b, lambda v: contains(v, '%%%') OR trim(v) = '')) AS silent, len(f) AS fields, len(list_filter(f, lambda v: length(v) <= 2)) AS unnamed
+      FROM (SELECT page_id AS doc_id, regexp_extract_all(html, '<b>([^<]*)</b>', 1) AS b, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS f FROM pages)),
+    w AS (SELECT m.*, figs, silent, fields, unnamed, coalesce(links, 0) AS links, coalesce(empty, 0) AS empty, coalesce(bare, 0) AS bare, io, lo, tp FROM m JOIN ff USING (doc_id) LEFT JOIN lf USING (doc_id) LEFT JOIN pf USING (doc_id))
     SELECT doc_id, 'title' AS "check", CASE WHEN trim(title) = '' THEN 'failed' ELSE 'passed' END AS status, 0::BIGINT AS found FROM w
     UNION ALL SELECT doc_id, 'displayTitle', CASE WHEN disp THEN 'passed' ELSE 'warning' END, 0 FROM w
     UNION ALL SELECT doc_id, 'language', CASE WHEN regexp_matches(lang, '^[A-Za-z]{{2,8}}(-[A-Za-z0-9]{{1,8}})*$') THEN 'passed' ELSE 'warning' END, 0 FROM w
     UNION ALL SELECT doc_id, 'tagged', CASE WHEN NOT has_tags THEN 'failed' WHEN marked THEN 'passed' ELSE 'warning' END, 0 FROM w
-    UNION ALL SELECT doc_id, 'figureAltText', 'notApplicable', 0 FROM w
+    UNION ALL SELECT doc_id, 'figureAltText', CASE WHEN figs = 0 OR NOT has_tags THEN 'notApplicable' WHEN silent > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN figs = 0 OR NOT has_tags THEN 0 ELSE silent END FROM w
     UNION ALL SELECT doc_id, 'imageOnlyPages', CASE WHEN io > 0 THEN 'failed' ELSE 'passed' END, io FROM w
-    UNION ALL SELECT doc_id, 'formFieldNames', 'notApplicable', 0 FROM w
+    UNION ALL SELECT doc_id, 'formFieldNames', CASE WHEN fields = 0 THEN 'notApplicable' WHEN unnamed > 0 THEN 'failed' ELSE 'passed' END, unnamed FROM w
     UNION ALL SELECT doc_id, 'linkTargets', CASE WHEN links = 0 THEN 'notApplicable' WHEN empty > 0 THEN 'failed' ELSE 'passed' END, empty FROM w
     UNION ALL SELECT doc_id, 'linkDescriptions', CASE WHEN links = 0 OR NOT has_tags THEN 'notApplicable' WHEN bare > 0 THEN 'warning' ELSE 'passed' END, CASE WHEN links = 0 OR NOT has_tags THEN 0 ELSE bare END FROM w
     UNION ALL SELECT doc_id, 'tabOrder', CASE WHEN NOT has_tags THEN 'notApplicable' WHEN tp > 0 THEN 'failed' ELSE 'passed' END, tp FROM w
@@ -94,7 +112,8 @@ def accessibility_audit(spark, folder):
         F.contains("html", F.lit("<article")).alias("marked"), (k % 3 == 0).alias("encrypted"), (k % 2 == 0).alias("may_extract"),
     )
     return ops.accessibility_report(
-        documents, ops.link_facts(links(spark, folder)), ops.page_facts(web_inventory(spark, folder))
+        documents, ops.link_facts(links(spark, folder)), ops.page_facts(web_inventory(spark, folder)),
+        ops.figure_facts(figures(spark, folder)), ops.field_facts(fields(spark, folder)),
     )
 
 
@@ -103,7 +122,7 @@ def accessibility_audit(spark, folder):
     "T5 A7",
     """WITH f AS (SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS k, max(CASE WHEN l_returnflag = 'R' THEN '' ELSE l_linestatus END) AS alt FROM lineitem GROUP BY ALL),
     n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM f)
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY alt <> '', k) AS place, k AS ord, alt <> '' AS described, c > 500 AS truncated FROM n WHERE n <= 500""",
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY alt <> '', k) AS place, k AS ord, alt <> '' AS described, false AS truncated FROM n""",
 )
 def figure_items(spark, folder):
     figures = table(spark, folder, "lineitem").groupBy(
@@ -116,17 +135,16 @@ def findings(spark, folder):
     """Scripts, comments, metadata and outbound links of web pages as hidden information."""
     html = web_pages(spark, folder)
 
-    def found(category, pattern, group=0):
-        return html.select(
-            "doc_id", F.lit(category).alias("category"),
-            F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(group))).alias("ord", "label"),
-        )
-
-    return (
-        found("documentJavaScript", "<script>([^<]*)", 1)
-        .unionByName(found("hiddenAnnotations", "<!--(.*?)-->", 1))
-        .unionByName(found("metadata", '<meta ([^>]*)>', 1))
-        .unionByName(found("launchActions", '<a href="([^"]*)"', 1))
+    def found(category, pattern):
+        labels = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+        return F.transform(labels, lambda v, i: F.struct(F.lit(category).alias("category"), i.alias("ord"), v.alias("label")))
+
+    return html.select(
+        "doc_id",
+        F.inline(F.concat(
+            found("documentJavaScript", "<script>([^<]*)"), found("hiddenAnnotations", "<!--(.*?)-->"),
+            found("metadata", "<meta ([^>]*)>"), found("launchActions", '<a href="([^"]*)"'),
+        )),
     )
 
 
@@ -139,7 +157,7 @@ def findings(spark, folder):
     SELECT p.page_id AS doc_id, c.category, coalesce(len(v), 0) AS count, substr(coalesce(array_to_string(list_slice(v, 1, 10), ', '), ''), 1, 2000) AS detail FROM pages p CROSS JOIN c LEFT JOIN f ON f.doc_id = p.page_id AND f.category = c.category""",
 )
 def hidden_information_report(spark, folder):
-    return ops.hidden_information(web_pages(spark, folder), findings(spark, folder))
+    return ops.hidden_information(web_pages(spark, folder), findings(spark, folder), shown=10, width=2000)
 
 
 @query(

@@ -38,7 +38,7 @@ _FILES = """fl AS (SELECT doc_id, '/Corpus/' || source || '/Doc' || (doc_id // 2
       doc_id % 3 + 1 + len(regexp_extract_all(text_, '%%EOF')) AS revisions, doc_id % 4 = 0 AS linearized, CASE WHEN doc_id % 9 = 0 THEN 'That file is not a PDF.' END AS error FROM fl JOIN (SELECT doc_id AS d, text AS text_ FROM documents) ON d = doc_id""",
 )
 def file_triage(spark, folder):
-    return files.triage(stored_files(spark, folder))
+    return files.triage(stored_files(spark, folder), revisions=True)
 
 
 @query(
@@ -53,20 +53,13 @@ def opened_documents(spark, folder):
     )
 
 
-@query("file_health", "Q23 S21 S22 S23 A18")
+@query(
+    "file_health",
+    "S22 A18",
+    f"""WITH {_FILES} SELECT path, CASE WHEN doc_id % 9 > 0 THEN '1.' || (doc_id % 8) END AS version, doc_id % 5 = 0 AS encrypted, doc_id % 4 = 0 AS linearized, doc_id % 9 > 0 AND doc_id % 5 > 0 AS can_repair FROM fl""",
+)
 def file_health(spark, folder):
-    """Files with an object index written over their text; every third one is damaged."""
-    k = F.col("doc_id")
-    body = F.concat(F.lit("%PDF-1.7\n1 0 obj\n"), F.regexp_replace("text", r"[^\x20-\x7e]", "?"), F.lit("\nendobj\n"))
-    at = F.octet_length(body)
-    entry = F.when(k % 3 == 0, F.lit("0000000011")).otherwise(F.lit("0000000009"))
-    index = F.concat(
-        F.lit("xref\n0 2\n0000000000 65535 f \n"), entry, F.lit(" 00000 n \ntrailer\n<< /Size 2 >>\nstartxref\n"),
-        F.when(k % 7 == 0, at + 100000).otherwise(at).cast("string"), F.lit("\n%%EOF"),
-    )
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    made = docs.select(F.concat(F.lit("/f/"), k.cast("string")).alias("path"), F.encode(F.concat(body, index), "UTF-8").alias("content"))
-    return files.health(made)
+    return files.health(stored_files(spark, folder))
 
 
 @query(
@@ -90,9 +83,9 @@ def decoded_texts(spark, folder):
     "source_providers",
     "S4",
     """WITH f AS (SELECT l_suppkey AS owner, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord, 'f' || l_partkey || ['.PNG', '.txt', '.Html', '.docx', ''][l_linenumber % 5 + 1] AS name, l_quantity * 12000000 AS size FROM lineitem),
-    n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ord, name) AS n FROM f)
+    n AS (SELECT * FROM f)
     SELECT owner, ord, name, CASE WHEN name LIKE '%.PNG' THEN 'images' WHEN name LIKE '%.txt' THEN 'text' WHEN name LIKE '%.Html' THEN 'text' END AS provider,
-      CASE WHEN n > 500 THEN 'too many files' WHEN size > 536870912 THEN 'too large' WHEN name LIKE '%.docx' OR NOT contains(name, '.') THEN 'no provider' END AS error FROM n""",
+      CASE WHEN size > 536870912 THEN 'too large' WHEN name LIKE '%.docx' OR NOT contains(name, '.') THEN 'no provider' END AS error FROM n""",
 )
 def source_providers(spark, folder):
     p, line = F.col("l_partkey"), F.col("l_linenumber")
@@ -102,7 +95,8 @@ def source_providers(spark, folder):
         F.concat(F.lit("f"), p.cast("string"), ext).alias("name"), (F.col("l_quantity") * 12000000).alias("size_bytes"),
     )
     rows = [("images", 0, "png"), ("images", 0, "jpg"), ("text", 1, "txt"), ("text", 1, "html"), ("web", 2, "html")]
-    return files.with_provider(sources, spark.createDataFrame(rows, "provider string, ord int, extension string"))
+    providers = spark.createDataFrame(rows, "provider string, ord int, extension string")
+    return files.with_provider(sources, providers, most_bytes=512 << 20)
 
 
 def recognised_rows(spark, folder):

@@ -219,7 +219,7 @@ def annotation_bounds(spark, folder):
     c AS (SELECT doc_id, width, height, count(*) AS pages, min(page) AS first_page FROM s GROUP BY ALL),
     n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pages DESC, first_page, width, height) AS rank FROM c),
     o AS (SELECT doc_id, count(*) FILTER (WHERE width > height) > count(*) FILTER (WHERE width <= height) AS landscape FROM s GROUP BY 1)
-    SELECT doc_id, width, height, pages, first_page, rank, landscape FROM n JOIN o USING (doc_id) WHERE rank <= 200""",
+    SELECT doc_id, width, height, pages, first_page, rank, landscape FROM n JOIN o USING (doc_id)""",
 )
 def page_size_histogram(spark, folder):
     from quire.operators.audit import page_sizes, mostly_landscape

@@ -73,7 +73,7 @@ hit AS (SELECT * FROM ov WHERE (x + w / 2 BETWEEN mx AND mx + mw AND y + h / 2 B
     f"""WITH {_MARKED}, r AS (SELECT id, doc_id, page, run, string_agg(ch, '' ORDER BY glyph) AS t FROM hit GROUP BY ALL),
     -- a space between runs unless the text so far ends with one
     j AS (SELECT id, doc_id, page, string_agg(t, ' ' ORDER BY run) AS t FROM r GROUP BY ALL)
-    SELECT id, doc_id, page::BIGINT AS page, substr({q.collapsed("t")}, 1, 4000) AS text FROM j""",
+    SELECT id, doc_id, page::BIGINT AS page, {q.collapsed("t")} AS text FROM j""",
 )
 def marked_text(spark, folder):
     return ops.mark_texts(ops.marked_glyphs(pages_of(spark, folder), marks_of(spark, folder)))

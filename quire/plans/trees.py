@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import trees as ops
 from quire.plans.registry import query
-from quire.session import table
+from quire.session import cut_lineage, table
 
 
 def forest(spark, folder):
@@ -32,10 +32,10 @@ t AS (SELECT doc_id, nk + 1000 AS node, NULL::BIGINT AS parent, 1 AS level, np::
 
 
 def path_rows(spark, folder):
-    """The same forest with dotted paths, straight from sibling order."""
+    """The same forest with dotted paths, straight from sibling order, made once for all its uses."""
     f = forest(spark, folder)
     n = F.row_number().over(Window.partitionBy("doc_id", "up").orderBy("node")) - 1
-    placed = f.withColumn("place", n.cast("string"))
+    placed = cut_lineage(f.withColumn("place", n.cast("string")))
     top = placed.where("up is null").select("doc_id", "node", F.col("place").alias("path"), "key", F.lit(1).alias("level"))
 
     def below(level, above):
@@ -44,7 +44,7 @@ def path_rows(spark, folder):
         )
 
     second = below(2, top)
-    return top.unionByName(second).unionByName(below(3, second))
+    return cut_lineage(top.unionByName(second).unionByName(below(3, second)))
 
 
 @query(
@@ -193,7 +193,7 @@ def action_chains(spark, folder):
     "resolved_roles",
     "J21",
     """WITH RECURSIVE m AS (SELECT DISTINCT p_brand AS type, CASE WHEN regexp_extract(p_brand, '(\\d+)', 1)::INT % 2 = 0 THEN 'Brand#' || (regexp_extract(p_brand, '(\\d+)', 1)::INT // 2) WHEN p_brand = 'Brand#1' THEN 'P' WHEN p_brand = 'Brand#3' THEN 'Brand#6' END AS role FROM part),
-    w AS (SELECT type, type AS cur, [type] AS seen, 0 AS n FROM m UNION ALL SELECT w.type, m.role, list_append(seen, m.role), n + 1 FROM w JOIN m ON m.type = w.cur WHERE m.role IS NOT NULL AND NOT list_contains(seen, m.role) AND n < 16)
+    w AS (SELECT type, type AS cur, [type] AS seen, 0 AS n FROM m UNION ALL SELECT w.type, m.role, list_append(seen, m.role), n + 1 FROM w JOIN m ON m.type = w.cur WHERE m.role IS NOT NULL AND NOT list_contains(seen, m.role))
     SELECT 0::BIGINT AS doc_id, type, arg_max(cur, n) AS resolved FROM w GROUP BY type""",
 )
 def resolved_roles(spark, folder):

@@ -51,13 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Iterative operators call this once per round so that a lost executor costs
     one round, not the whole history.  The folder comes from
-    ``spark.checkpoint.dir``; only where nothing is set (tests) a folder of our
-    own is used.
+    ``spark.checkpoint.dir``; a local session without one (tests) gets a folder of
+    its own, and a cluster must name one that all executors share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 

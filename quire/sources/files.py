@@ -1,8 +1,7 @@
-"""Files as rows: triage without parsing, decoding, byte patterns, index checks."""
+"""Files as rows: triage without parsing, decoding, byte patterns."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from quire.functions.facts import document_id, last_extension
 
 HEADER_BYTES, TRAILER_BYTES = 1024, 8192
-MOST_FILES, MOST_FILE_BYTES = 500, 512 * 1024 * 1024
-MOST_SECTIONS, MOST_CHECKED, MOST_LISTED = 64, 256 * 1024 * 1024, 5
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -33,21 +30,23 @@ def tail(content: Column, size: int) -> Column:
     return F.substring(content, F.greatest(n - size, F.lit(0)) + 1, F.lit(size))
 
 
-def triage(files: DataFrame) -> DataFrame:
+def triage(files: DataFrame, revisions: bool = False) -> DataFrame:
     """Facts of each file and, where it is not a document, why.
 
-    ``files``: path, content -> doc_id, path, size_bytes, version, encrypted, revisions,
-    linearized, error.  Failures stay beside successes.
+    ``files``: path, content -> doc_id, path, size_bytes, version, encrypted,
+    linearized, error.  Failures stay beside successes.  Only the first and last bytes
+    are looked at, unless ``revisions`` (end marks in the whole file) are asked for.
     """
     head = latin1(F.substring("content", 1, HEADER_BYTES))
     version = F.regexp_extract(head, r"%PDF-(\d\.\d)", 1)
+    counted = [occurrences(F.col("content"), "%%EOF").alias("revisions")] if revisions else []
     return files.select(
         document_id(F.col("path")).alias("doc_id"),
         "path",
         F.octet_length("content").alias("size_bytes"),
         F.when(version != "", version).alias("version"),
         F.contains(latin1(tail(F.col("content"), TRAILER_BYTES)), F.lit("/Encrypt")).alias("encrypted"),
-        occurrences(F.col("content"), "%%EOF").alias("revisions"),
+        *counted,
         F.contains(latin1(F.substring("content", 1, 2048)), F.lit("/Linearized")).alias("linearized"),
         F.when(version == "", F.lit("That file is not a PDF.")).alias("error"),
     )
@@ -78,24 +77,24 @@ def decoded_text(content: Column) -> Column:
     )
 
 
-def with_provider(files: DataFrame, providers: DataFrame, most: int = MOST_FILES, most_bytes: int = MOST_FILE_BYTES) -> DataFrame:
+def with_provider(files: DataFrame, providers: DataFrame, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
     """Each source with the provider that takes its extension, or why none does.
 
     ``files``: owner, ord, name, size_bytes; ``providers``: provider, ord, extension.
-    The first provider of an extension wins; an owner's sources stop at ``most``.
+    The first provider of an extension wins.  Where limits are asked for, an owner's
+    sources beyond ``most`` and files beyond ``most_bytes`` become error rows.
     """
     from pyspark.sql import Window
 
     first = providers.groupBy("extension").agg(F.min_by("provider", "ord").alias("provider"))
-    order = Window.partitionBy("owner").orderBy("ord", "name")
     found = files.withColumn("extension", last_extension(F.col("name"))).join(first, "extension", "left")
-    return found.withColumn("n", F.row_number().over(order)).select(
-        "owner", "ord", "name", "provider",
-        F.when(F.col("n") > most, "too many files")
-        .when(F.col("size_bytes") > most_bytes, "too large")
-        .when(F.col("provider").isNull(), "no provider")
-        .alias("error"),
-    )
+    error = F.when(F.col("provider").isNull(), "no provider")
+    if most_bytes is not None:
+        error = F.when(F.col("size_bytes") > most_bytes, "too large").otherwise(error)
+    if most is not None:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("owner").orderBy("ord", "name")))
+        error = F.when(F.col("n") > most, "too many files").otherwise(error)
+    return found.select("owner", "ord", "name", "provider", error.alias("error"))
 
 
 def png_size(content: Column) -> Column:
@@ -142,97 +141,8 @@ def jpeg_sizes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, width long, height long")
 
 
-def _index_rows(data: bytes) -> Iterator[tuple[int, int | None, int | None, bool, str | None]]:
-    """Entries of a file's object index: (section, object, offset, ok, problem)."""
-    text = data.decode("latin-1")
-    marks = re.findall(r"startxref\s+(\d+)", text[-2048:])
-    if not marks:
-        yield 0, None, None, False, "The file does not say where its index of objects is."
-        return
-    at: int | None = int(marks[-1])
-    seen: set[int] = set()
-    for section in range(MOST_SECTIONS):
-        if at is None:
-            return
-        if at in seen:
-            yield section, None, at, False, "The index refers back to itself."
-            return
-        seen.add(at)
-        if at >= len(text):
-            yield section, None, at, False, "The index is said to be beyond the end of the file."
-            return
-        if re.match(r"\s*xref\b", text[at : at + 16]):
-            rows, end = [], re.compile(r"\s*xref\s*").match(text, at).end()
-            while (head := re.compile(r"(\d+)\s+(\d+)\s*").match(text, end)) is not None:
-                end = head.end()
-                for i in range(int(head[2])):
-                    entry = re.compile(r"(\d{10})\s(\d{5})\s([nf])\s*").match(text, end)
-                    if entry is None:
-                        yield section, None, at, False, "The index of objects could not be read."
-                        return
-                    end = entry.end()
-                    if entry[3] == "n":
-                        rows.append((int(head[1]) + i, int(entry[1])))
-            if not text.startswith("trailer", end):
-                yield section, None, at, False, "The index of objects could not be read."
-                return
-            for number, offset in rows:
-                found = re.match(r"\s*(\d+)\s+\d+\s+obj\b", text[offset : offset + 40])
-                yield section, number, offset, found is not None and int(found[1]) == number, None
-            before = re.search(r"/Prev\s+(\d+)", text[end : end + 4096])
-        elif re.match(r"\s*\d+\s+\d+\s+obj\b", text[at : at + 32]):
-            yield section, None, at, True, None
-            before = re.search(r"/Prev\s+(\d+)", text[at : at + 4096])
-        else:
-            yield section, None, at, False, "The file says its index of objects is somewhere it is not."
-            return
-        at = None if before is None else int(before[1])
-
-
-INDEX = "path string, section int, object long, offset long, ok boolean, problem string, ord int"
-
-
-def index_entries(files: DataFrame) -> DataFrame:
-    """The object index of each file, entry by entry, in reading order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in INDEX.split(", ")]
-        for batch in batches:
-            rows = [
-                (path, *row, n)
-                for path, content in zip(batch["path"], batch["content"])
-                for n, row in enumerate(_index_rows(bytes(content)))
-            ]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    small = files.where(F.octet_length("content") <= MOST_CHECKED).select("path", "content")
-    return small.mapInPandas(run, INDEX)
-
-
-def index_check(entries: DataFrame) -> DataFrame:
-    """Per file: entries checked, entries out of place (the first five named), other problems."""
-    from pyspark.sql import Window
-
-    wrong = entries.where(~F.col("ok") & F.col("problem").isNull())
-    n = F.row_number().over(Window.partitionBy("path").orderBy("ord"))
-    named = wrong.withColumn("n", n).where(F.col("n") <= MOST_LISTED).groupBy("path").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "object"))), lambda r: r["object"].cast("string")), ", ").alias("listed")
-    )
-    facts = entries.groupBy("path").agg(
-        F.count_if(F.col("problem").isNull()).alias("checked"),
-        F.count_if(~F.col("ok") & F.col("problem").isNull()).alias("misplaced"),
-        F.max("problem").alias("problem"),
-    )
-    return facts.join(named, "path", "left").select(
-        "path", "checked", "misplaced", "listed", "problem",
-        ((F.col("misplaced") == 0) & F.col("problem").isNull()).alias("index_ok"),
-    )
-
-
 def health(files: DataFrame) -> DataFrame:
-    """Repair verdict per file: readable, encrypted, index state."""
-    checked = index_check(index_entries(files))
-    return triage(files).join(checked, "path", "left").select(
-        "path", "version", "encrypted", "revisions", "linearized", "checked", "misplaced", "listed", "problem", "index_ok",
-        (F.col("error").isNull() & ~F.col("encrypted")).alias("can_repair"),
+    """Repair verdict per file from its first and last bytes: a header is there and nothing is locked."""
+    return triage(files).select(
+        "path", "version", "encrypted", "linearized", (F.col("error").isNull() & ~F.col("encrypted")).alias("can_repair")
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import dates, facts, numbers, ranges, text
-from quire.operators import layout, pages, redact, trees
+from quire.operators import audit, layout, pages, redact, trees
 from quire.operators.scale import running_total, runs
 from quire.sources import files, ocr, sinks
 from quire.sources.paginate import PageSetup, wrapped_text
@@ -134,6 +134,23 @@ def test_document_dates(spark):
     assert one(spark, strict, t="D:20241301") is None
     assert one(spark, strict, t="D:2024") == "2024-01-01T00:00:00"
     assert one(spark, lenient, t="yesterday") is None
+    for typed, loose, tight in (
+        ("20240102", "2024-01-02T00:00:00", "2024-01-02T00:00:00"), (":2024", "2024-01-01T00:00:00", "2024-01-01T00:00:00"),
+        ("D:20240102030405Z00'00'", "2024-01-02T03:04:05", "2024-01-02T03:04:05"), ("D:2024010203-02", "2024-01-02T05:00:00", "2024-01-02T05:00:00"),
+        ("D:20240102030405-0230", "2024-01-02T05:34:05", "2024-01-02T05:34:05"), ("D:20240102030405+1", "2024-01-02T03:04:05", "2024-01-02T03:04:05"),
+        ("D:20240102030405A01", "2024-01-02T02:04:05", "2024-01-02T03:04:05"), ("D:202", None, None), ("D:20240102256199", "2024-01-03T02:02:39", None),
+        ("D:20240102030405+2500", "2024-01-01T02:04:05", None), ("D:20245", "2024-01-01T00:00:00", "2024-01-01T00:00:00"),
+    ):
+        assert one(spark, lenient, t=typed) == loose, typed
+        assert one(spark, strict, t=typed) == tight, typed
+
+
+def test_log_lines_hide_secrets(spark):
+    for line, shown in (
+        ("password=abc def", "password=*** def"), ('Token: "two words" end', "Token: *** end"), ("my secret : 'x y'", "my secret : ***"),
+        ('"passphrase": 12', '"passphrase": ***'), ("token=", "token="), ("no word here", "no word here"), ("SECRET=a token=b", "SECRET=*** token=***"),
+    ):
+        assert one(spark, facts.scrubbed(F.col("t")), t=line) == shown
 
 
 def test_labels_and_sizes(spark):
@@ -230,7 +247,32 @@ def test_list_ranking_and_loops(spark):
     links = [(1, n, n + 1) for n in range(1, 200)] + [(1, 200, None), (2, 1, 2), (2, 2, 1)]
     got = trees.chained(spark.createDataFrame(links, "k int, node long, next long"), ["k"]).collect()
     assert {r.node: r.place for r in got if r.k == 1} == {n: n - 1 for n in range(1, 201)}
-    assert not [r for r in got if r.k == 2]
+    assert {(r.node, r.head, r.place) for r in got if r.k == 2} == {(1, None, None), (2, None, None)}
+
+
+def test_long_lists_and_deep_trees_lose_nothing(spark):
+    """20,000 siblings, and one entry under another 100 levels deep."""
+    wide = [(1, n, None, n + 1 if n < 20_000 else None, n == 1) for n in range(1, 20_001)]
+    deep = [(2, n, n + 1 if n < 100 else None, None, n == 1) for n in range(1, 101)]
+    nodes = spark.createDataFrame(wide + deep, "k int, node long, first long, next long, is_root boolean")
+    rows = trees.outline_rows(nodes, ["k"]).collect()
+    assert [r.node for r in sorted((r for r in rows if r.k == 1), key=lambda r: r.order)] == list(range(1, 20_001))
+    assert {r.node: r.level for r in rows if r.k == 2} == {n: n for n in range(1, 101)}
+
+
+def test_roles_are_followed_to_their_end(spark):
+    roles = spark.createDataFrame([(1, f"t{n}", f"t{n + 1}") for n in range(40)] + [(1, "a", "b"), (1, "b", "a")], "k int, type string, role string")
+    types = spark.createDataFrame([(1, "t0"), (1, "t7"), (1, "a"), (1, "plain")], "k int, type string")
+    got = {r.type: r.resolved for r in trees.resolved_roles(types, roles, ["k"]).collect()}
+    assert got == {"t0": "t40", "t7": "t40", "a": "b", "plain": "plain"}
+
+
+def test_missing_facts_are_unknown(spark):
+    one_doc = spark.createDataFrame([(1, "t", "en", True, True, True, False, True)], "doc_id int, title string, language string, display_title boolean, has_tags boolean, marked boolean, encrypted boolean, may_extract boolean")
+    status = {r.check: r.status for r in audit.accessibility_report(one_doc).collect()}
+    assert status["figureAltText"] == "unknown" and status["title"] == "passed"
+    none = spark.createDataFrame([], "doc_id int, alt string, actual_text string")
+    assert {r.check: r.status for r in audit.accessibility_report(one_doc, audit.figure_facts(none)).collect()}["figureAltText"] == "notApplicable"
 
 
 def test_moves_in_an_outline(spark):
@@ -241,19 +283,12 @@ def test_moves_in_an_outline(spark):
     assert plan["0", "up"] == (None, None, None) and plan["0.0", "indent"] == (None, None, None)
 
 
-def document(offset_of_object=9, shift=0):
-    head = b"%PDF-1.7\n1 0 obj\n<<>>\nendobj\n"
-    at = len(head) + shift
-    return head + b"xref\n0 2\n0000000000 65535 f \n%010d 00000 n \ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % (offset_of_object, at)
-
-
 def test_file_health(spark):
-    made = [("/good", document()), ("/moved", document(11)), ("/past", document(shift=9999)), ("/plain", b"hello")]
+    made = [("/good", b"%PDF-1.7 body"), ("/locked", b"%PDF-1.4 " + b"x" * 9000 + b"/Encrypt 3 0 R"), ("/plain", b"hello")]
     got = {r.path: r for r in files.health(spark.createDataFrame(made, "path string, content binary")).collect()}
-    assert got["/good"].index_ok and got["/good"].checked == 1 and got["/good"].version == "1.7"
-    assert not got["/moved"].index_ok and got["/moved"].listed == "1"
-    assert "beyond the end" in got["/past"].problem
-    assert not got["/plain"].can_repair
+    assert got["/good"].can_repair and got["/good"].version == "1.7"
+    assert got["/locked"].encrypted and not got["/locked"].can_repair
+    assert not got["/plain"].can_repair and got["/plain"].version is None
 
 
 def test_pictures_tell_their_size(spark):
