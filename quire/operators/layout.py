@@ -68,67 +68,76 @@ def _joined(items: Column) -> Column:
     return collapsed(F.array_join(pieces, ""))
 
 
-def lines(items: DataFrame) -> DataFrame:
+def page_rows(items: DataFrame) -> DataFrame:
+    """Items that come as rows, gathered to one row a page (a page holds what fits on it)."""
+    columns = ["seq", "str", "x", "y", "width", "height"]
+    return items.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("items"))
+
+
+def lines(pages: DataFrame) -> DataFrame:
     """``doc_id, page, line, text, y, left, right, height, items``.
 
-    Items sorted downwards are first cut wherever the step down alone is more
-    than an item's tolerance: the anchor is never below the previous item, so a
-    line must begin there.  The ordered fold then runs inside these short
-    stretches, not over whole pages.
+    ``pages``: doc_id, page and the nested items (seq, str, x, y, width, height).
+    Everything happens inside the page row and only finished lines leave it.  Items
+    sorted downwards are first cut wherever the step down alone is more than an item's
+    tolerance: the anchor is never below the previous item, so a line must begin there.
+    The ordered fold then runs inside these short stretches, not over whole pages.
     """
-    down = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "seq")
-    tolerance = _tolerance(F.col("height"))
-    stretches = (
-        items.where(~is_blank(F.col("str")))
-        .withColumn("cut", F.coalesce((F.lag("y").over(down) - F.col("y") > tolerance).cast("int"), F.lit(1)))
-        .withColumn("stretch", F.sum("cut").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*PAGE, "stretch")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct((-F.col("y")).alias("down"), "x", "seq", "y", "str", "width", "height")
-                )
-            ).alias("items"),
-            # A stretch no higher than its smallest tolerance is one line.
-            (F.max("y") - F.min("y") <= F.min(tolerance)).alias("flat"),
+    down = F.sort_array(
+        F.transform(
+            F.filter("items", lambda i: ~is_blank(i["str"])),
+            lambda i: F.struct((-i["y"]).alias("down"), *[i[c].alias(c) for c in ("x", "seq", "y", "str", "width", "height")]),
         )
     )
-    per_line = stretches.withColumn(
-        "anchors", F.when(~F.col("flat"), _line_anchors(F.col("items")))
-    ).select(
-        *PAGE,
-        F.explode(
-            F.when(F.col("flat"), F.array("items")).otherwise(
+
+    def starts(items: Column) -> Column:
+        """Places (from 1) where a stretch begins, and one past the end."""
+        begins = lambda i: (i == 1) | (
+            F.get(items, i - 2)["y"] - F.get(items, i - 1)["y"] > _tolerance(F.get(items, i - 1)["height"])
+        )
+        return F.array_append(F.filter(F.sequence(F.lit(1), F.size(items)), begins), F.size(items) + 1)
+
+    def of_stretch(items: Column) -> Column:
+        """The lines of a stretch; one no higher than its smallest tolerance is one line."""
+        least = F.array_min(F.transform(items, lambda i: _tolerance(i["height"])))
+        flat = F.element_at(items, 1)["y"] - F.element_at(items, -1)["y"] <= least
+        return F.when(flat, F.array(items)).otherwise(
+            let(
+                _line_anchors(items),
+                lambda anchors: F.transform(
+                    F.array_distinct(anchors), lambda a: F.filter(items, lambda _, i: F.element_at(anchors, i + 1) == a)
+                ),
+            )
+        )
+
+    def cut(items: Column) -> Column:
+        found = let(
+            starts(items),
+            lambda at: F.flatten(
                 F.transform(
-                    F.array_distinct("anchors"),
-                    lambda anchor: F.filter("items", lambda _, i: F.element_at("anchors", i + 1) == anchor),
+                    F.slice(at, 1, F.size(at) - 1), lambda s, k: let(F.slice(items, s, F.get(at, k + 1) - s), of_stretch)
                 )
-            )
-        ).alias("members"),
-    )
-    shaped = per_line.select(
-        *PAGE,
-        F.element_at("members", 1)["y"].alias("y"),
-        F.array_min(F.transform("members", lambda m: m["x"])).alias("left"),
-        F.array_max(F.transform("members", lambda m: m["x"] + m["width"])).alias("right"),
-        F.array_max(F.transform("members", lambda m: m["height"])).alias("height"),
-        F.sort_array(
-            F.transform(
-                "members",
-                lambda m, i: F.struct(m["x"].alias("x"), i.alias("i"), m["str"].alias("str"), m["width"].alias("width"), m["height"].alias("height")),
-            )
-        ).alias("items"),
-    )
-    order = Window.partitionBy(*PAGE).orderBy(F.desc("y"))
-    return shaped.select(
-        *PAGE,
-        F.row_number().over(order).alias("line"),
-        _joined(F.col("items")).alias("text"),
-        "y",
-        "left",
-        "right",
-        "height",
-        "items",
+            ),
+        )
+        return F.when(F.size(items) > 0, found)  # a page without words has no lines
+
+    return (
+        pages.select(*PAGE, F.posexplode(let(down, cut)).alias("line", "members"))
+        .select(
+            *PAGE,
+            (F.col("line") + 1).alias("line"),
+            F.element_at("members", 1)["y"].alias("y"),
+            F.array_min(F.transform("members", lambda m: m["x"])).alias("left"),
+            F.array_max(F.transform("members", lambda m: m["x"] + m["width"])).alias("right"),
+            F.array_max(F.transform("members", lambda m: m["height"])).alias("height"),
+            F.sort_array(
+                F.transform(
+                    "members",
+                    lambda m, i: F.struct(m["x"].alias("x"), i.alias("i"), m["str"].alias("str"), m["width"].alias("width"), m["height"].alias("height")),
+                )
+            ).alias("items"),
+        )
+        .select(*PAGE, "line", _joined(F.col("items")).alias("text"), "y", "left", "right", "height", "items")
     )
 
 

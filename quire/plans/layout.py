@@ -9,18 +9,20 @@ from quire.plans import shared_sql as q
 from quire.plans.registry import query
 from quire.plans.search import pages_of
 from quire.session import spread, table
-from quire.sources.paginate import word_items
+from quire.sources.paginate import word_pages
 
 
 def wavering_words(spark, folder):
     """Words of every page, each a little off its baseline, some set larger."""
-    k = F.col("seq")
-    return word_items(pages_of(spark, folder)).select(
-        "doc_id", "page", "seq", "str", "x",
-        (F.col("y") + F.pmod(k * 7 + F.floor(k / 1000), F.lit(9)) * 0.75).alias("y"),
-        "width",
-        F.when(F.floor(k / 1000) % 17 == 3, 16.0).otherwise(F.col("height")).alias("height"),
-    )
+    def moved(w):
+        k = w["seq"]
+        return F.struct(
+            k.alias("seq"), w["str"].alias("str"), w["x"].alias("x"),
+            (w["y"] + F.pmod(k * 7 + F.floor(k / 1000), F.lit(9)) * 0.75).alias("y"), w["width"].alias("width"),
+            F.when(F.floor(k / 1000) % 17 == 3, 16.0).otherwise(w["height"]).alias("height"),
+        )
+
+    return word_pages(pages_of(spark, folder)).select("doc_id", "page", F.transform("items", moved).alias("items"))
 
 
 WORDS_SQL = q.ITEMS + f""",
@@ -186,8 +188,8 @@ col AS (SELECT doc_id, page, list(e ORDER BY e) AS columns FROM edge JOIN cnt US
 row_cell AS (SELECT s.doc_id, s.page, s.line, greatest(len(list_filter(columns, lambda e: e <= s.x + 4)) - 1, 0) AS "column", s.str, s.pos
         FROM spaced s JOIN cand c ON c.doc_id = s.doc_id AND c.page = s.page AND c.line = s.line AND c.n >= 2 JOIN col ON col.doc_id = s.doc_id AND col.page = s.page),
 grid AS (SELECT doc_id, page, line, generate_subscripts(columns, 1) - 1 AS "column" FROM cand JOIN col USING (doc_id, page) WHERE n >= 2),
-filled AS (SELECT g.doc_id, g.page, g.line, g."column", coalesce((SELECT string_agg(trim(str), ' ' ORDER BY pos) FROM row_cell r
-        WHERE r.doc_id = g.doc_id AND r.page = g.page AND r.line = g.line AND r."column" = g."column"), '') AS text FROM grid g)"""
+told AS (SELECT doc_id, page, line, "column", string_agg(trim(str), ' ' ORDER BY pos) AS text FROM row_cell GROUP BY 1, 2, 3, 4),
+filled AS (SELECT doc_id, page, line, "column", coalesce(told.text, '') AS text FROM grid LEFT JOIN told USING (doc_id, page, line, "column"))"""
 
 
 @query(
@@ -196,10 +198,10 @@ filled AS (SELECT g.doc_id, g.page, g.line, g."column", coalesce((SELECT string_
     f"""WITH {TABLES_SQL} SELECT doc_id, page::BIGINT AS page, line::BIGINT AS line, "column"::BIGINT AS "column", text,
       CASE WHEN regexp_matches(regexp_replace(text, '[\\s,]', '', 'g'), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN try_cast(regexp_replace(text, '[\\s,]', '', 'g') AS DOUBLE) END AS number
     FROM filled
-    UNION ALL SELECT doc_id, page, line, 0, text, NULL FROM line WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM col)""",
+    UNION ALL SELECT doc_id, page, line, 0, text, NULL FROM line ANTI JOIN col USING (doc_id, page)""",
 )
 def table_cells(spark, folder):
-    return layout.sheet_rows(layout.lines(order_sheets(spark, folder)))
+    return layout.sheet_rows(layout.lines(layout.page_rows(order_sheets(spark, folder))))
 
 
 @query(
@@ -207,9 +209,9 @@ def table_cells(spark, folder):
     "S15 L9",
     f"""WITH {TABLES_SQL.replace("line AS (SELECT doc_id, page, line,", "every_line AS (SELECT doc_id, page, line,", 1).replace("FROM spaced GROUP BY 1, 2, 3)", "FROM spaced GROUP BY 1, 2, 3), line AS (SELECT * FROM every_line)", 1)},
     tabled AS (SELECT doc_id, page, line, string_agg(text, chr(9) ORDER BY "column") AS text FROM filled GROUP BY 1, 2, 3),
-    {BLOCKS_SQL.replace("FROM line WINDOW", "FROM (SELECT * FROM every_line WHERE (doc_id, page, line) NOT IN (SELECT (doc_id, page, line) FROM tabled)) WINDOW")}
+    {BLOCKS_SQL.replace("FROM line WINDOW", "FROM (SELECT * FROM every_line ANTI JOIN tabled USING (doc_id, page, line)) WINDOW")}
     SELECT doc_id, page::BIGINT AS page, 'block' AS part, block AS ord, heading, floor(height * 2 + 0.5)::BIGINT AS half_points, text FROM block
     UNION ALL SELECT doc_id, page, 'table', line, false, NULL, text FROM tabled""",
 )
 def word_paragraphs(spark, folder):
-    return layout.document_paragraphs(layout.lines(order_sheets(spark, folder)))
+    return layout.document_paragraphs(layout.lines(layout.page_rows(order_sheets(spark, folder))))

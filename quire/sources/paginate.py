@@ -231,31 +231,19 @@ def text_items(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.inline("items"))
 
 
-def word_items(pages: DataFrame) -> DataFrame:
-    """One item per word, as a scanner or another producer would draw the page."""
+def word_pages(pages: DataFrame) -> DataFrame:
+    """The pages with one item per word, as a scanner or another producer would draw them."""
     from quire.functions.text import tokens_with_offsets
 
-    return (
-        text_items(pages)
-        .withColumn("advance", F.col("width") / F.length("str"))
-        .select(
-            "doc_id",
-            "page",
-            "seq",
-            "x",
-            "y",
-            "height",
-            "advance",
-            F.posexplode(tokens_with_offsets(F.col("str"))).alias("word", "token"),
-        )
-        .select(
-            "doc_id",
-            "page",
-            (F.col("seq") * 1000 + F.col("word")).cast("int").alias("seq"),
-            F.col("token.text").alias("str"),
-            (F.col("x") + F.col("token.start") * F.col("advance")).alias("x"),
-            "y",
-            (F.length("token.text") * F.col("advance")).alias("width"),
-            "height",
+    def words(item: Column) -> Column:
+        advance = item["width"] / F.length(item["str"])
+        return F.transform(
+            tokens_with_offsets(item["str"]),
+            lambda t, i: F.struct(
+                (item["seq"] * 1000 + i).cast("int").alias("seq"), t["text"].alias("str"),
+                (item["x"] + t["start"] * advance).alias("x"), item["y"].alias("y"),
+                (F.length(t["text"]) * advance).alias("width"), item["height"].alias("height"),
+            ),
         )
-    )
+
+    return pages.withColumn("items", F.flatten(F.transform("items", words)))

@@ -176,18 +176,18 @@ ITEM = "doc_id long, page int, seq int, str string, x double, y double, width do
 
 def test_tables_are_found_and_prose_is_not(spark):
     grid = [(s, x, y, 10) for y, row in ((700, ("Item", "Qty", "Price")), (680, ("Widget", "12", "4.50")), (660, ("Sprocket", "3", "19.00"))) for s, x in zip(row, (100, 300, 420))]
-    found = layout.sheet_rows(layout.lines(spark.createDataFrame(items(grid), ITEM))).orderBy("line", "column").collect()
+    found = layout.sheet_rows(layout.lines(layout.page_rows(spark.createDataFrame(items(grid), ITEM)))).orderBy("line", "column").collect()
     assert [r.text for r in found] == ["Item", "Qty", "Price", "Widget", "12", "4.50", "Sprocket", "3", "19.00"]
     assert [r.number for r in found][3:6] == [None, 12.0, 4.5]
     prose = [("It was", 72, 700, 10), ("a bright", 72, 686, 10), ("cold day", 72, 672, 10)]
-    rows = layout.sheet_rows(layout.lines(spark.createDataFrame(items(prose), ITEM))).collect()
+    rows = layout.sheet_rows(layout.lines(layout.page_rows(spark.createDataFrame(items(prose), ITEM)))).collect()
     assert len(rows) == 3 and {r.column for r in rows} == {0}
 
 
 def test_line_anchor_is_the_first_item(spark):
     # Each step is within the tolerance of the one before, not of the first.
     steps = [("a", 10, 100, 10), ("b", 40, 97, 10), ("c", 70, 94, 10)]
-    found = layout.lines(spark.createDataFrame(items(steps), ITEM)).orderBy("line").collect()
+    found = layout.lines(layout.page_rows(spark.createDataFrame(items(steps), ITEM))).orderBy("line").collect()
     assert [r.text for r in found] == ["a b", "c"]
 
 
