@@ -269,9 +269,8 @@ def left_under_marks(items: DataFrame, marks: DataFrame) -> DataFrame:
     """The proof: glyphs of redacted items still under a mark.  Must be empty."""
     shaped = items.groupBy("doc_id", "page").agg(
         F.collect_list(
-            F.struct(
-                (F.col("seq") * 1000 + F.col("piece")).cast("int").alias("seq"), "str", "x", "y", "width", "height"
-            )
+            # A piece is told by its item and its number there; glyphs need one number for both.
+            F.struct((F.col("seq").cast("bigint") * (1 << 31) + F.col("piece")).alias("seq"), "str", "x", "y", "width", "height")
         ).alias("items")
     )
     return marked_glyphs(shaped, marks)

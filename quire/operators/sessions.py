@@ -53,12 +53,16 @@ def kept_revisions(revisions: DataFrame, most: int = MOST_REVISIONS, most_bytes:
 
 
 class RevisionLog:
-    """Undo history of one session: a list, a pointer and a floor that never moves back."""
+    """Undo history of one session: the entries that can still be reached, and a pointer.
+
+    Entries pushed out at the front are forgotten, so a session keeps ``most`` of them
+    and one more, however long it runs.
+    """
 
     def __init__(self, most: int = MOST_REVISIONS, most_bytes: int = MOST_BYTES):
         self.most, self.most_bytes = most, most_bytes
         self.entries: list[tuple[int, int]] = []
-        self.at, self.floor, self.last = -1, 0, -1
+        self.at, self.last = -1, -1
 
     def step(self, row: dict):
         event = row["event"]
@@ -67,22 +71,22 @@ class RevisionLog:
             self.last += 1
             self.entries.append((self.last, int(row["size_bytes"])))
             self.at = len(self.entries) - 1
-            while self.floor < self.at and self._over():
-                self.floor += 1
-        elif event == "undo" and self.at > self.floor:
+            while self.at > 0 and self._over():
+                del self.entries[0]
+                self.at -= 1
+        elif event == "undo" and self.at > 0:
             self.at -= 1
         elif event == "redo" and self.at + 1 < len(self.entries):
             self.at += 1
         elif event == "goto":
-            places = [i for i, (r, _) in enumerate(self.entries) if r == int(row["target"]) and i >= self.floor]
+            places = [i for i, (r, _) in enumerate(self.entries) if r == int(row["target"])]
             if places:
                 self.at = places[0]
         current = self.entries[self.at][0] if self.entries else None
-        return [(row["seq"], current, self.at > self.floor, self.at + 1 < len(self.entries))]
+        return [(row["seq"], current, self.at > 0, self.at + 1 < len(self.entries))]
 
     def _over(self) -> bool:
-        window = self.entries[self.floor :]
-        return len(window) > self.most or sum(size for _, size in window) > self.most_bytes
+        return len(self.entries) > self.most or sum(size for _, size in self.entries) > self.most_bytes
 
     def finish(self):
         return []

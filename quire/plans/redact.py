@@ -41,7 +41,7 @@ def redaction_page_classes(spark, folder):
 
 
 def marks_of(spark, folder):
-    """Two overlapping rectangles on the first page of every document of a source."""
+    """Two overlapping rectangles on every page of every document."""
     boxes = F.array(
         *[
             F.struct(F.lit(m).alias("m"), *[F.lit(v).alias(n) for n, v in zip(("x", "y", "width", "height"), box)])
@@ -49,10 +49,9 @@ def marks_of(spark, folder):
         ]
     )
     return (
-        table(spark, folder, "documents").where("source in ('src1', 'src7', 'src12')")
-        .select("doc_id", F.lit(1).alias("page"), F.explode(boxes).alias("b"))
+        pages_of(spark, folder).select("doc_id", "page", F.explode(boxes).alias("b"))
         .select(
-            F.concat(F.col("doc_id").cast("string"), F.col("b.m")).alias("id"), "doc_id", "page",
+            F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("page").cast("string"), F.col("b.m")).alias("id"), "doc_id", "page",
             "b.x", "b.y", "b.width", "b.height",
         )
     )
@@ -60,9 +59,8 @@ def marks_of(spark, folder):
 
 _MARKED = q.ITEMS + """,
 gl AS (SELECT doc_id, page, seq AS run, i AS glyph, substr(str, i + 1, 1) AS ch, x + i * 6.6::DOUBLE AS x, y - 2.2::DOUBLE AS y, 6.6::DOUBLE AS w, 11 * 0.95::DOUBLE AS h
-  FROM (SELECT *, unnest(range(length(str))) AS i FROM text_items WHERE page = 1)),
-mk AS (SELECT d.doc_id || m AS id, d.doc_id, 1 AS page, mx, my, mw, mh FROM documents d, (SELECT unnest(['a', 'b']) AS m, unnest([100.0, 200.0]) AS mx, unnest([680.0, 640.0]) AS my, unnest([150.0, 120.5]) AS mw, unnest([90.0, 60.0]) AS mh)
-  WHERE source IN ('src1', 'src7', 'src12')),
+  FROM (SELECT *, unnest(range(length(str))) AS i FROM text_items)),
+mk AS (SELECT d.doc_id || '-' || d.page || m AS id, d.doc_id, d.page, mx, my, mw, mh FROM (SELECT DISTINCT doc_id, page FROM text_items) d, (SELECT unnest(['a', 'b']) AS m, unnest([100.0, 200.0]) AS mx, unnest([680.0, 640.0]) AS my, unnest([150.0, 120.5]) AS mw, unnest([90.0, 60.0]) AS mh)),
 ov AS (SELECT *, greatest(0, least(x + w, mx + mw) - greatest(x, mx)) * greatest(0, least(y + h, my + mh) - greatest(y, my)) AS shared FROM gl JOIN mk USING (doc_id, page)),
 hit AS (SELECT * FROM ov WHERE (x + w / 2 BETWEEN mx AND mx + mw AND y + h / 2 BETWEEN my AND my + mh) OR shared / (w * h) >= 0.3)"""
 
@@ -82,9 +80,9 @@ def marked_text(spark, folder):
 @query(
     "redacted_items",
     "Q5 J2",
-    f"""WITH {_MARKED}, kept AS (SELECT g.* FROM gl g JOIN (SELECT DISTINCT doc_id, page FROM mk) USING (doc_id, page) WHERE (g.doc_id, g.run, g.glyph) NOT IN (SELECT (doc_id, run, glyph) FROM hit)),
-    p AS (SELECT *, glyph - row_number() OVER (PARTITION BY doc_id, run ORDER BY glyph) AS island FROM kept)
-    SELECT doc_id, 1::BIGINT AS page, run AS seq, (dense_rank() OVER (PARTITION BY doc_id, run ORDER BY island) - 1) AS piece, string_agg(ch, '' ORDER BY glyph) AS str, round(min(x), 4) AS x, round(count(*) * 6.6, 4)::DOUBLE AS width FROM p GROUP BY doc_id, run, island""",
+    f"""WITH {_MARKED}, kept AS (SELECT g.* FROM gl g JOIN (SELECT DISTINCT doc_id, page FROM mk) USING (doc_id, page) ANTI JOIN hit USING (doc_id, page, run, glyph)),
+    p AS (SELECT *, glyph - row_number() OVER (PARTITION BY doc_id, page, run ORDER BY glyph) AS island FROM kept)
+    SELECT doc_id, page::BIGINT AS page, run AS seq, (dense_rank() OVER (PARTITION BY doc_id, page, run ORDER BY island) - 1) AS piece, string_agg(ch, '' ORDER BY glyph) AS str, round(min(x), 4) AS x, round(count(*) * 6.6, 4)::DOUBLE AS width FROM p GROUP BY doc_id, page, run, island""",
 )
 def redacted_items(spark, folder):
     return ops.redacted_items(pages_of(spark, folder), marks_of(spark, folder)).select(
@@ -95,7 +93,7 @@ def redacted_items(spark, folder):
 @query(
     "left_under_marks",
     "Q5",
-    f"""WITH {_MARKED}, kept AS (SELECT * FROM ov WHERE (doc_id, run, glyph) NOT IN (SELECT (doc_id, run, glyph) FROM hit))
+    f"""WITH {_MARKED}, kept AS (SELECT * FROM ov ANTI JOIN hit USING (doc_id, page, run, glyph))
     SELECT count(*) AS glyphs_left FROM kept WHERE (x + w / 2 BETWEEN mx AND mx + mw AND y + h / 2 BETWEEN my AND my + mh) OR shared / (w * h) >= 0.3""",
 )
 def left_under_marks(spark, folder):

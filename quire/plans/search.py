@@ -59,10 +59,12 @@ _PHRASE_HITS = f"""phrase_hit AS (
 
 
 def benchmark_lines(spark, folder):
-    """Every sentence start of the benchmark texts, as a phrase list."""
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("phrase_id"),
-        F.substring_index(F.col("text"), " ", 4).alias("phrase"),
+    """The benchmark texts, whole, in pieces of four words (a page breaks its lines), as a phrase list."""
+    words = F.split("text", " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(4))
+    pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i, 4), " "))
+    return table(spark, folder, "benchmark").select("item_id", F.posexplode(pieces).alias("piece", "phrase")).select(
+        (F.col("item_id") * 10000 + F.col("piece")).alias("phrase_id"), "phrase"
     )
 
 
@@ -70,7 +72,8 @@ def benchmark_lines(spark, folder):
     "search_phrases",
     "Q1 H1 H2",
     f"""WITH {q.PAGES},
-phrase AS (SELECT item_id AS phrase_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS phrase FROM benchmark),
+w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+phrase AS (SELECT item_id * 10000 + i AS phrase_id, array_to_string(list_slice(w, 4 * i + 1, 4 * i + 4), ' ') AS phrase FROM (SELECT item_id, w, unnest(range((len(w) + 3) // 4)) AS i FROM w)),
 hit AS (SELECT phrase_id, phrase, doc_id, page, text, unnest({q.starts("lower(text)", "lower(phrase)")}) AS start
         FROM page_text JOIN phrase ON contains(lower(text), lower(phrase)))
 SELECT phrase_id, doc_id, page, start, start + length(phrase) AS "end",
@@ -133,10 +136,10 @@ def search_summary(spark, folder):
 @query(
     "capped_hits",
     "T3 Q1",
-    f"""WITH {q.PAGES}, {_HIT} SELECT doc_id, page, start FROM hit ORDER BY doc_id, page, start LIMIT 200""",
+    f"""WITH {q.PAGES}, {_HIT} SELECT doc_id, page, start FROM hit ORDER BY doc_id, page, start LIMIT 50""",
 )
 def capped_hits(spark, folder):
-    return s.search_pages(pages_of(spark, folder), "que le", cap=200).select("doc_id", "page", "start")
+    return s.search_pages(pages_of(spark, folder), "que le", cap=50).select("doc_id", "page", "start")
 
 
 @query(

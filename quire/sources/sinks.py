@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quire.functions.numbers import half_up_to, plain_number
@@ -84,24 +85,25 @@ def write_parts(df: DataFrame, path: str, part: str = "part") -> None:
 def publish(df: DataFrame, folder: str, name: str) -> str:
     """Write, read back, verify, then point at it.
 
-    The rows go to a folder of their own; their count and an order-free hash are
-    compared with what was asked to be written, and only then the pointer file
-    names the new folder.  A reader following the pointer sees the old or the
-    new rows, never a mixture.
+    The rows go to a folder of their own; their count and an order-free hash, observed
+    while they were written, are compared with what is read back, and only then a row
+    that names the new folder is added to the pointers.  Pointers are never deleted, so
+    a reader, who takes the latest, sees the old or the new rows and never a mixture.
     """
     spark = df.sparkSession
     version = f"{name}-{spark.sparkContext.applicationId}-{id(df):x}"
     target = os.path.join(folder, version)
     digest = [F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")]
-    df.write.mode("errorifexists").parquet(target)
-    wanted, written = df.agg(*digest).first(), spark.read.parquet(target).agg(*digest).first()
-    if wanted != written:
+    seen = Observation()
+    df.observe(seen, *digest).write.mode("errorifexists").parquet(target)
+    written = spark.read.parquet(target).agg(*digest).first()
+    if seen.get != written.asDict():
         raise IOError(f"{target} does not hold what was written to it")
-    pointer = spark.createDataFrame([(target,)], "path string").coalesce(1)
-    pointer.write.mode("overwrite").text(os.path.join(folder, f"{name}.current"))
+    pointer = spark.createDataFrame([(time.time_ns(), target)], "at long, path string").coalesce(1)
+    pointer.write.mode("append").parquet(os.path.join(folder, f"{name}.pointers"))
     return target
 
 
 def published(spark, folder: str, name: str) -> DataFrame:
-    at = spark.read.text(os.path.join(folder, f"{name}.current")).first()[0]
-    return spark.read.parquet(at)
+    pointers = spark.read.parquet(os.path.join(folder, f"{name}.pointers"))
+    return spark.read.parquet(pointers.agg(F.max_by("path", "at")).first()[0])

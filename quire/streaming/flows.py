@@ -57,11 +57,11 @@ def job_states(events: DataFrame) -> DataFrame:
 
 class LiveRevisions(RevisionLog):
     def dump(self):
-        return {"entries": self.entries, "at": self.at, "floor": self.floor, "last": self.last}
+        return {"entries": self.entries, "at": self.at, "last": self.last}
 
     def load(self, body):
         self.entries = [tuple(e) for e in body["entries"]]
-        self.at, self.floor, self.last = body["at"], body["floor"], body["last"]
+        self.at, self.last = body["at"], body["last"]
 
 
 def revision_pointer(events: DataFrame, idle_ms: int | None = None) -> DataFrame:

@@ -141,7 +141,10 @@ def test_revision_log_trims_but_keeps_numbers():
     do("push"), do("push")
     assert do("undo") == (1, True, True)
     assert do("push") == (3, True, False)
-    assert do("push") == (4, True, False) and log.floor == 1
+    assert do("push") == (4, True, False) and len(log.entries) == 3
     assert do("goto", target=0) == (4, True, False)
-    assert do("push", size=95)[0] == 5 and log.floor == log.at
+    assert do("push", size=95)[0] == 5 and len(log.entries) == 1
     assert do("undo") == (5, False, False)
+    for _ in range(20_000):
+        do("push", size=1)
+    assert len(log.entries) == 3 and log.entries[-1][0] == 20_005
