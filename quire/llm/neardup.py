@@ -27,14 +27,22 @@ SIMILAR = 75  # percent of the union that two sets share
 BANDS, ROWS = 32, 4
 SAMPLES = 256  # the first BANDS * ROWS of them make the bands
 BITS = 1024
-# Pairs whose sketches tell less are no candidates: four deviations below the threshold.
+# Pairs whose sketches tell less are no candidates: four deviations below the threshold
+# for the sketch of the samples, and for the finer one of the whole set.
 LEAST_ESTIMATE = 0.63
-# Members of a bucket that are compared in one piece, and shingles sampled in one piece.
+SET_BITS, SET_SAMPLES = 2048, 1024
+LEAST_SET_ESTIMATE = 0.7
+SAMPLED = BITS // 64  # 64-bit words of the first sketch
+# Members of a bucket that are compared in one piece, how many of the nearest a member
+# meets first, and shingles sampled in one piece.
 GROUP = 4096
+NEAREST = 2
 PIECE = 1 << 16
 # Up to so many rows (about 20 MB), the keys of the texts to verify are broadcast.
 SMALL = 500_000
-REMEMBERED = 400_000
+# Documents signed at a time, and words whose hashes a worker remembers.
+SLICE = 500
+REMEMBERED = 100_000
 
 _RANDOM = np.random.default_rng(4)
 _TIMES = _RANDOM.integers(1 << 31, size=SAMPLES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,25 +127,66 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # The estimate 1 + BITS / (4 SAMPLES) ln(1 - 2 apart / BITS) as a bound of the bits.
 MOST_APART = int(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - LEAST_ESTIMATE) / BITS)))
 
+
+
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketches of the set itself: level, two counts, two bitmaps.
+
+    At level L the shingles whose hashes begin with L zeros are taken; L is the least
+    that leaves about ``SET_SAMPLES``, and L + 1 stands beside it, because two similar
+    sets are at most one level apart.
+    """
+    level = max(0, math.ceil(math.log2(len(shingles) / SET_SAMPLES)))
+    out = np.zeros(3 + 2 * SET_BITS // 64, dtype=np.uint64)
+    out[0] = level
+    for k in range(2):
+        taken = shingles[: np.searchsorted(shingles, np.uint64((1 << (64 - level - k)) - 1), side="right")]
+        spot = ((taken * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - int(math.log2(SET_BITS)))).astype(np.int64)
+        odd = np.bincount(spot, minlength=SET_BITS) & 1
+        out[1 + k] = len(taken)
+        at = 3 + k * SET_BITS // 64
+        out[at : at + SET_BITS // 64] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity that two set sketches tell, row by row; 0 for sets of too different sizes."""
+    level = np.maximum(a[:, 0], b[:, 0])
+    ka, kb = (level - a[:, 0]).astype(np.int64), (level - b[:, 0]).astype(np.int64)
+    fits = (ka < 2) & (kb < 2)
+    ka, kb = np.minimum(ka, 1), np.minimum(kb, 1)
+    rows = np.arange(len(a))
+    both = (a[rows, 1 + ka] + b[rows, 1 + kb]).astype(np.float64)
+    words = SET_BITS // 64
+    bits = apart(a[:, 3:].reshape(-1, 2, words)[rows, ka], b[:, 3:].reshape(-1, 2, words)[rows, kb])
+    differ = -SET_BITS / 2 * np.log(np.maximum(1 - 2 * bits / SET_BITS, 1e-9))
+    return np.where(fits & (both > 0), (both - differ) / np.maximum(both + differ, 1), 0.0)
+
+
 SIGNED = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch["text"]]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        keys: list = [None] * len(sets)
-        band_keys: list = [None] * len(sets)
-        sketches: list = [None] * len(sets)
-        if full:
-            values = samples([sets[i] for i in full])
-            for i, b, s in zip(full, bands(values), odd_sketches(values)):
-                keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                band_keys[i], sketches[i] = b, s.tobytes()
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets],
-            "set_key": keys, "bands": band_keys, "sketch": sketches,
-        })
+        for at in range(0, len(batch), SLICE):  # small slices: samples and bitmaps are wider than texts
+            yield _signed_slice(batch.iloc[at : at + SLICE])
+
+
+def _signed_slice(rows: pd.DataFrame) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in rows["text"]]
+    full = [i for i, s in enumerate(sets) if len(s)]
+    keys: list = [None] * len(sets)
+    band_keys: list = [None] * len(sets)
+    sketches: list = [None] * len(sets)
+    if full:
+        values = samples([sets[i] for i in full])
+        for i, b, s in zip(full, bands(values), odd_sketches(values)):
+            keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+            band_keys[i], sketches[i] = b, np.concatenate([s, set_sketch(sets[i])]).tobytes()
+    return pd.DataFrame({
+        "doc_id": rows["doc_id"].astype("Int64"), "text_hash": rows["text_hash"], "n_shingles": [len(s) for s in sets],
+        "set_key": keys, "bands": band_keys, "sketch": sketches,
+    })
 
 
 def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -174,8 +223,17 @@ def _sketch_rows(frame: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint64).reshape(len(frame), -1)
 
 
+def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of two sketches may be similar: first by their samples, then by their sets."""
+    near = apart(a[:, :SAMPLED], b[:, :SAMPLED]) <= MOST_APART
+    at = np.flatnonzero(near)
+    near[at] = similarity(a[at, SAMPLED:], b[at, SAMPLED:]) >= LEAST_SET_ESTIMATE
+    return near
+
+
 def centre(sketches: np.ndarray) -> int:
     """The member nearest to the bitwise majority."""
+    sketches = np.ascontiguousarray(sketches[:, :SAMPLED])
     ones = np.unpackbits(sketches.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     majority = np.packbits((2 * ones > len(sketches)).astype(np.uint8)).view(np.uint64)
     return int(np.argmin(apart(sketches, majority)))
@@ -194,26 +252,50 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             left.append(np.full(len(others), middle))
             right.append(others)
         a, b = np.concatenate(left), np.concatenate(right)
-        near = apart(sketch[a], sketch[b]) <= MOST_APART
+        near = likely(sketch[a], sketch[b])
         a, b = node[a[near]], node[b[near]]
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates between different components of a group, for groups of two pieces between these."""
-    for frame, at in _grouped(batches, ["bucket", "one", "other"]):
+def _across(batches: Iterator[pd.DataFrame], keys: list[str], nearest: int | None = None) -> Iterator[pd.DataFrame]:
+    """Candidates between different components of a group: all, or each member's ``nearest``.
+
+    The members of a group's largest component are met by the others only.  In a
+    group of two pieces, members of one piece do not meet.  A pair that shares an earlier
+    band has met in that bucket, so it is told once.
+    """
+    for frame, at in _grouped(batches, keys):
         sketch, node, root = _sketch_rows(frame), frame["node"].to_numpy(), frame["root"].to_numpy()
-        piece, both = frame["piece"].to_numpy(), (frame["one"] != frame["other"]).to_numpy()
-        ends = np.append(at[1:], len(frame))
-        for start, end in zip(at, ends):
-            for i in range(start, end - 1):
-                rest = slice(i + 1, end)
-                near = (root[rest] != root[i]) & (apart(sketch[rest], sketch[i]) <= MOST_APART)
-                if both[i]:
-                    near &= piece[rest] != piece[i]
-                found = node[rest][near]
-                if len(found):
-                    yield pd.DataFrame({"a": np.minimum(found, node[i]), "b": np.maximum(found, node[i])})
+        piece, bucket = frame["piece"].to_numpy(), frame["bucket"].to_numpy()
+        keys_of = np.stack(frame["bands"].to_numpy()) if nearest is None else None
+        both = (frame["one"] != frame["other"]).to_numpy() if "one" in keys else np.zeros(len(frame), dtype=bool)
+        for start, end in zip(at, np.append(at[1:], len(frame))):
+            names, counts = np.unique(root[start:end], return_counts=True)
+            largest = names[np.argmax(counts)]
+            met = np.zeros(end - start, dtype=bool)
+            found = []
+            for i in np.flatnonzero(root[start:end] != largest):
+                me = start + i
+                met[i] = True
+                bits = apart(sketch[start:end, :SAMPLED], sketch[me, :SAMPLED])
+                near = (bits <= MOST_APART) & (root[start:end] != root[me])
+                if both[me]:
+                    near &= piece[start:end] != piece[me]
+                if nearest is None:
+                    near &= ~met
+                    first = int(np.argmax(keys_of[me] == bucket[me]))
+                    near &= ~(keys_of[start:end, :first] == keys_of[me, :first]).any(axis=1)
+                others = np.flatnonzero(near)
+                mine = np.broadcast_to(sketch[me], (len(others), sketch.shape[1]))
+                others = others[likely(mine, sketch[start + others])]
+                if nearest is not None and len(others) > nearest:
+                    others = others[np.argsort(bits[others], kind="stable")[:nearest]]
+                if len(others):
+                    other = node[start + others]
+                    found.append(np.stack([np.minimum(other, node[me]), np.maximum(other, node[me])]))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,6 +360,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     )
 
 
+def _apart_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: int | None) -> DataFrame:
+    """Candidates inside buckets that still hold several components.
+
+    Buckets of two members are settled.  ``nearest`` looks inside the pieces of a
+    bucket only; without it every two pieces meet.
+    """
+    placed = stored(
+        members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members"
+    )
+    mixed = stored(
+        placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"),
+        "mixed-buckets",
+    )
+    met, keys = placed.join(mixed, "bucket"), ["bucket", "piece"]
+    if nearest is None:
+        pieces = F.ceil(F.col("n") / F.lit(GROUP)).cast("int")
+        met = (
+            met.withColumn("with", F.explode(F.sequence(F.lit(0), pieces - 1)))
+            .withColumn("one", F.least("piece", "with")).withColumn("other", F.greatest("piece", "with"))
+        )
+        keys = ["bucket", "one", "other"]
+    wanted = ["sketch"] if nearest is not None else ["sketch", "bands"]
+    return (
+        met.join(sketches.select("node", *wanted), "node").select(*dict.fromkeys([*keys, "piece", "node", "root", *wanted]))
+        .repartition(*keys).sortWithinPartitions(*keys)
+        .mapInPandas(lambda batches: _across(batches, keys, nearest), "a long, b long").distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document ``n_shingles``, ``component_id``, ``kept`` (and ``text_hash``, its text's hash).
 
@@ -310,10 +421,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = stored(all_members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(GROUP))).cast("int")
     members = stored(all_members.join(buckets, "bucket").withColumn("piece", piece), "members")
-    sketches = classes.select("node", "sketch")
+    sketches = classes.select("node", "sketch", "bands")
 
     stars = stored(
-        members.join(sketches, "node").select("bucket", "piece", "node", "sketch")
+        members.join(sketches.drop("bands"), "node").select("bucket", "piece", "node", "sketch")
         .repartition("bucket", "piece").sortWithinPartitions("bucket", "piece")
         .mapInPandas(_stars, "a long, b long").distinct(),
         "stars",
@@ -321,24 +432,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verified(stars, classes, texts)
     roots = components(links)
 
-    # Buckets that still hold several components; those of two members are settled.
-    placed = stored(
-        members.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed-members"
-    )
-    mixed = stored(
-        placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"),
-        "mixed-buckets",
-    )
-    pieces = F.ceil(F.col("n") / F.lit(GROUP)).cast("int")
-    met = (
-        placed.join(mixed, "bucket").withColumn("with", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .withColumn("one", F.least("piece", "with")).withColumn("other", F.greatest("piece", "with"))
-        .join(sketches, "node").select("bucket", "one", "other", "piece", "node", "root", "sketch")
-        .repartition("bucket", "one", "other").sortWithinPartitions("bucket", "one", "other")
-        .mapInPandas(_across, "a long, b long").distinct()
-    )
-    more = _verified(stored(met.join(stars, ["a", "b"], "left_anti"), "across"), classes, texts)
-    roots = components(links.union(more))
+    # What a centre leaves apart mostly hangs on another copy: the nearest ones come
+    # first, so that few members are left for the comparison of everything still apart.
+    tested = stars
+    for nearest in (NEAREST, None):
+        pairs = stored(_apart_pairs(members, roots, sketches, nearest).join(tested, ["a", "b"], "left_anti"), "across")
+        links = stored(links.union(_verified(pairs, classes, texts)), "links")
+        tested = tested.union(pairs)
+        roots = components(links)
 
     owned = stored(
         classes.join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root")), "owned-classes"

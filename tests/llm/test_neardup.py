@@ -94,6 +94,22 @@ def test_sketches_estimate_high_similarities():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.04
 
 
+def test_set_sketches_are_finer_at_every_size():
+    rng = np.random.default_rng(2)
+    for n in (5, 60, 600, 1030, 5000, 60_000):
+        errors = []
+        for similarity in (0.9, 0.75):
+            for _ in range(30):
+                shared = max(1, int(2 * n * similarity / (1 + similarity)))
+                all_ = rng.integers(1, 1 << 63, 2 * n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+                a, b = np.unique(all_[:n]), np.unique(np.concatenate([all_[:shared], all_[n : 2 * n - shared]]))
+                true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+                got = neardup.similarity(neardup.set_sketch(a)[None], neardup.set_sketch(b)[None])[0]
+                errors.append(got - true)
+                assert true < 0.75 or got >= neardup.LEAST_SET_ESTIMATE
+        assert np.std(errors) < 0.015, n
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000, 2001), (2001, 2000)]
