@@ -150,7 +150,7 @@ def findings(spark, folder):
 
 @query(
     "hidden_information_report",
-    "Q7 A6 A25 A26 A27 F12",
+    "Q7 A6 A25 A27 F12",
     """WITH f AS (SELECT page_id AS doc_id, 'documentJavaScript' AS category, regexp_extract_all(html, '<script>([^<]*)', 1) AS v FROM pages UNION ALL SELECT page_id, 'hiddenAnnotations', regexp_extract_all(html, '<!--(.*?)-->', 1) FROM pages
       UNION ALL SELECT page_id, 'metadata', regexp_extract_all(html, '<meta ([^>]*)>', 1) FROM pages UNION ALL SELECT page_id, 'launchActions', regexp_extract_all(html, '<a href="([^"]*)"', 1) FROM pages),
     c AS (SELECT unnest(['metadata','xmpMetadata','attachments','documentJavaScript','launchActions','hiddenAnnotations','formData','thumbnails','hiddenLayers','alternateImages']) AS category)
@@ -173,7 +173,7 @@ def sanitized_findings(spark, folder):
 
 @query(
     "attachments_report",
-    "Q24 F9 G9",
+    "Q24 F9",
     """WITH a AS (SELECT l_orderkey AS doc_id, l_partkey AS id, 0 AS f, l_linenumber * 1000000 + l_suppkey * 100 + l_quantity::INT AS ord, 'file' || l_partkey || CASE WHEN l_returnflag = 'R' THEN '.exe' ELSE '.pdf' END AS name, CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS decl, l_partkey * 3 AS raw, l_tax > 0.04 AS comp FROM lineitem WHERE l_linenumber <= 4
       UNION ALL SELECT l_orderkey, l_partkey + l_linenumber % 2, 1, l_linenumber * 1000000 + l_suppkey * 100 + l_quantity::INT, 'page' || l_partkey || '.JS', NULL, l_partkey, l_tax > 0.04 FROM lineitem WHERE l_linenumber > 2)
     SELECT doc_id, id, name AS file_name, coalesce(decl, CASE WHEN NOT comp THEN raw END) AS size_bytes, contains(name, '.exe') OR contains(name, '.JS') AS risky FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY f, ord) = 1""",

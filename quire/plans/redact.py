@@ -103,7 +103,7 @@ def left_under_marks(spark, folder):
 
 @query(
     "objects_under_marks",
-    "J3 J5 J6 J7 J22",
+    "J3 J6 J7 J22",
     f"""WITH {_RECTS_SQL}, ob AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 AS object, ax, ay, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE aw END AS aw, ah, ['picture','group','path'][l_partkey % 3 + 1] AS kind, l_partkey % 2 = 0 AS lossless, l_suppkey % 4 = 0 AS clips FROM r),
     mk AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 AS mark, bx, by_, bw, bh FROM r),
     bx AS (SELECT doc_id, object, kind, lossless, clips, aw IS NOT NULL AS has_box, CASE WHEN aw IS NULL THEN -1e9 ELSE ax END AS x, CASE WHEN aw IS NULL THEN -1e9 ELSE ay END AS y, coalesce(aw, 2e9) AS w, CASE WHEN aw IS NULL THEN 2e9 ELSE ah END AS h FROM ob),

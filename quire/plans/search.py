@@ -42,7 +42,7 @@ def text_items_query(spark, folder):
 
 @query(
     "search_pages",
-    "Q1 H1 H2 F3 M5 S20",
+    "Q1 H1 H2 F3",
     f"""WITH {q.PAGES},
 hit AS (SELECT doc_id, page, text, unnest({q.starts("lower(text)", "'ation'")}) AS start FROM page_text
         WHERE contains(lower(text), 'ation') AND page BETWEEN 1 AND page_count)

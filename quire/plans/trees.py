@@ -147,7 +147,7 @@ seed AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9900)"""
 
 @query(
     "unused_objects",
-    "G7 J16 J17 J4",
+    "G7 J16 J17",
     f"""WITH RECURSIVE {_GRAPH}, r AS (SELECT k FROM seed UNION SELECT t FROM r JOIN edge ON s = k)
     SELECT 0::BIGINT AS doc_id, c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT k FROM r)""",
 )
