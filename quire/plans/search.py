@@ -59,10 +59,10 @@ _PHRASE_HITS = f"""phrase_hit AS (
 
 
 def benchmark_lines(spark, folder):
-    """The benchmark texts, whole, in pieces of four words (a page breaks its lines), as a phrase list."""
+    """The benchmark texts, whole, in pieces of six words (a page breaks its lines), as a phrase list."""
     words = F.split("text", " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(4))
-    pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i, 4), " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(6))
+    pieces = F.transform(starts, lambda i: F.array_join(F.slice(words, i, 6), " "))
     return table(spark, folder, "benchmark").select("item_id", F.posexplode(pieces).alias("piece", "phrase")).select(
         (F.col("item_id") * 10000 + F.col("piece")).alias("phrase_id"), "phrase"
     )
@@ -73,7 +73,7 @@ def benchmark_lines(spark, folder):
     "Q1 H1 H2",
     f"""WITH {q.PAGES},
 w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
-phrase AS (SELECT item_id * 10000 + i AS phrase_id, array_to_string(list_slice(w, 4 * i + 1, 4 * i + 4), ' ') AS phrase FROM (SELECT item_id, w, unnest(range((len(w) + 3) // 4)) AS i FROM w)),
+phrase AS (SELECT item_id * 10000 + i AS phrase_id, array_to_string(list_slice(w, 6 * i + 1, 6 * i + 6), ' ') AS phrase FROM (SELECT item_id, w, unnest(range((len(w) + 5) // 6)) AS i FROM w)),
 hit AS (SELECT phrase_id, phrase, doc_id, page, text, unnest({q.starts("lower(text)", "lower(phrase)")}) AS start
         FROM page_text JOIN phrase ON contains(lower(text), lower(phrase)))
 SELECT phrase_id, doc_id, page, start, start + length(phrase) AS "end",
