@@ -9,6 +9,8 @@ windows of one length are dealt to step groups of equal token counts.
 
 from __future__ import annotations
 
+import string
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -22,20 +24,32 @@ LONGEST = 4096
 TIERS = (4096, 2048, 1024, 512)
 END = 2
 # Ids packed together by a task, and tokens of one training step.
-PORTION = 4_000_000
+PORTION = 2_000_000
 STEP = 4 * LONGEST
-# Words whose ids a worker remembers.
+# Words whose ids a worker remembers (about 200 bytes each), and marks that follow letters.
 REMEMBERED = 300_000
+MARKS = string.punctuation
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+class _Letters(dict):
+    """Each letter as the tokenizer's byte level writes it."""
+
+    def __init__(self, byte_level):
+        self.byte_level = byte_level
+
+    def __missing__(self, letter: str) -> str:
+        self[letter] = made = self.byte_level.pre_tokenize_str(letter)[0][0]
+        return made
+
+
 class WordIds(dict):
     """The ids (little-endian 32 bits) of white-space separated words.
 
     The tokenizer drops white space, so a text's ids are its words' ids in a row.  A
-    word of plain Latin letters, perhaps with one mark behind it, goes straight to
-    the tokenizer's model; any other goes through the whole tokenizer.
+    word of plain Latin letters goes straight to the tokenizer's model, and marks
+    behind it are a word of their own; any other goes through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -43,22 +57,23 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = _Letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
 
-    def _plain(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = self.letters.pre_tokenize_str(word)[0][0]
-        return [t.id for t in self.model.tokenize(word)]
+    def _plain(self, letters: str) -> bytes:
+        known = self.get(letters.encode())
+        if known is None:
+            written = letters if letters.isascii() else "".join(map(self.letters.__getitem__, letters))
+            known = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return known
 
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
         low = word.lower()
-        core, mark = (low[:-1], low[-1]) if low[-1] in ".,;:!?" else (low, "")
+        core = low.rstrip(MARKS)
         if core.isalpha() and max(core) < "ɐ" and len(low) == len(word):
-            ids = self._plain(core) + (self._plain(mark) if mark else [])
+            made = self._plain(core) + (self[low[len(core) :].encode()] if len(core) < len(low) else b"")
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        made = b"".join(i.to_bytes(4, "little") for i in ids)
+            made = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         if len(self) < REMEMBERED:
             self[raw] = made
         return made
