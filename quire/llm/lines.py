@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes.
-
-A text is a sequence of units: its lines, cut further behind sentence ends, so that
-a passage set into a longer line is seen as well.  The hash of the shortest stretch
-of units with ``GRAM_WORDS`` words is a gram; from every stretch of ``RUN_WORDS``
-words the least gram is a fingerprint.  Whatever two texts share over such a stretch
-has a fingerprint in both.  A fingerprint's first place in the corpus meets all its
-later places, each match is extended both ways, and the later runs are deleted.
+"""Line dedup by winnowing over word hashes.
+
+A text is a sequence of words, so that a passage is seen wherever it starts and ends,
+inside a line or a sentence as well.  The hash of ``GRAM_WORDS`` words in a row is a
+gram; from every stretch of ``RUN_WORDS`` words the least gram is a fingerprint.
+Whatever two texts share over such a stretch has a fingerprint in both.  A
+fingerprint's first place in the corpus meets all its later places, each match is
+extended both ways on the words themselves, and the later runs are deleted.
 """
 
 from __future__ import annotations
@@ -24,7 +24,12 @@ from quire.llm.shared import packed, pick, stored, unpacked
 
 GRAM_WORDS = 30
 RUN_WORDS = 50
+WORD = re.compile(r"\s*\S+")
 SENTENCE = re.compile(r"(?<=[.!?])(?=\x20)")
+# Words whose hashes a worker remembers.
+REMEMBERED = 100_000
+# Up to so many rows (about 20 MB), the keys of the texts to compare are broadcast.
+SMALL = 500_000
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
@@ -85,6 +90,48 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int = GRAM_WORDS,
     return [(values[p], p) for p in found]
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        made = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = made
+        return made
+
+
+_HASHES = _Hashes()
+
+
+def hashed_words(text: str) -> np.ndarray:
+    """Hash of every word."""
+    words = text.split()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def word_fingerprints(hashes: np.ndarray, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes and first words: the least gram of every stretch of ``run`` words, the last of equals.
+
+    Grams are compared by their upper 32 bits, those of equal ones by their places.
+    """
+    n = len(hashes)
+    if n < run:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    fits = n - gram + 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_ODD, n), dtype=np.uint64)])
+    value = (sums[gram:] - sums[:fits]) * _powers(_BACK, fits)
+    value ^= value >> np.uint64(31)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(29)
+    low = np.uint64(0xFFFFFFFF)
+    least, reach = (value & ~low) | (low - np.arange(fits, dtype=np.uint64)), 1
+    while reach < run - gram + 1:
+        step = min(reach, run - gram + 1 - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    at = (low - (least & low)).astype(np.int64)
+    return value[at], at
+
+
 def repeated_runs(hits: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Runs [start, end) of ``a`` that match ``b`` around the hits (place in a, place in b).
 
@@ -106,29 +153,20 @@ def repeated_runs(hits: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) ->
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without these units, and the words deleted; emptied lines go, blank lines stay."""
+    """The text without these words, and how many went; emptied lines go, blank lines stay."""
     gone = set()
     for start, end in runs:
         gone.update(range(start, end))
-    lines: dict[int, list[str]] = {}
-    cut, deleted, k = set(), 0, 0
-    for line, piece in units_of(text):
-        kept = lines.setdefault(line, [])
-        n = len(piece.split())
-        if n and k in gone:
-            deleted += n
-            cut.add(line)
-        else:
-            kept.append(piece)
-        k += n > 0
-    out = []
-    for line, kept in lines.items():
-        whole = "".join(kept)
-        if line in cut:
-            whole = whole.strip()
-            if not whole:
-                continue
-        out.append(whole)
+    out, deleted, k = [], 0, 0
+    for line in text.split("\n"):
+        n = len(line.split())
+        lost = sum(i in gone for i in range(k, k + n))
+        if lost:
+            deleted += lost
+            line = "".join(m[0] for i, m in enumerate(WORD.finditer(line), k) if i not in gone).strip()
+        k += n
+        if line or not lost:
+            out.append(line)
     return "\n".join(out), deleted
 
 
@@ -136,21 +174,16 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-LINED = "doc_id long, text_hash long, hashes array<long>, prints array<struct<gram:long,at:int>>"
+LINED = "doc_id long, text_hash long, prints array<struct<gram:long,at:int>>"
 
 
 def _lined(batches: Iterator[pd.DataFrame], gram: int, run: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        hashes, prints = [], []
+        prints = []
         for text in batch["text"]:
-            h, w = hashed_units(text or "")
-            found = fingerprints(h, w, gram, run)
-            signed = _signed(np.array([g for g, _ in found], dtype=np.uint64)).tolist()
-            hashes.append(_signed(h))
-            prints.append([{"gram": g, "at": p} for g, (_, p) in zip(signed, found)])
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "hashes": hashes, "prints": prints,
-        })
+            grams, at = word_fingerprints(hashed_words(text or ""), gram, run)
+            prints.append([{"gram": g, "at": p} for g, p in zip(_signed(grams).tolist(), at.tolist())])
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "prints": prints})
 
 
 RUNS = "doc_id long, text_hash long, runs array<struct<start:int,end:int>>"
@@ -159,19 +192,19 @@ RUNS = "doc_id long, text_hash long, runs array<struct<start:int,end:int>>"
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         runs = [
-            [{"start": s, "end": e} for s, e in repeated_runs([(h["at"], h["first_at"]) for h in hits], np.asarray(a), np.asarray(b))]
-            for hits, a, b in zip(batch["hits"], batch["hashes"], batch["first_hashes"])
+            [{"start": s, "end": e} for s, e in repeated_runs([(h["at"], h["first_at"]) for h in hits], hashed_words(a), hashed_words(b))]
+            for hits, a, b in zip(batch["hits"], batch["text"], batch["first_text"])
         ]
         yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "runs": runs})
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
-    """The documents without later repeated runs of units; ``deleted_words`` tells how much went.
+    """The documents without later repeated runs of words; ``deleted_words`` tells how much went.
 
     Documents are in the order of their ids (null first), then of their texts' hashes.
     Every run of ``run`` words or more that stands earlier in the corpus, or in the
-    same document, is found; what matches around a fingerprint goes as well.  A
-    document whose units all repeat keeps an empty text.  Rows that repeat whole are
+    same document, is found wherever it starts and ends; what matches around a
+    fingerprint goes as well.  A document whose words all repeat keeps an empty text.  Rows that repeat whole are
     one document and come out alike.  Null and empty texts stay as they are; a table
     without rows gives none; other columns travel along, and one named
     ``deleted_words`` is replaced.
@@ -180,11 +213,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -
     key = F.xxhash64(F.lit(5), "text")
     read = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
     rows = read.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_hash"), "text")
-    lined = stored(
-        rows.mapInPandas(lambda batches: _lined(batches, gram, run), LINED)
-        .groupBy("doc_id", "text_hash").agg(F.first("hashes").alias("hashes"), F.first("prints").alias("prints")),
-        "lined",
-    )
+    # Rows that repeat whole have one key and the same prints; their hits are told once.
+    lined = stored(rows.mapInPandas(lambda batches: _lined(batches, gram, run), LINED).where(F.size("prints") > 0), "lined")
     prints = lined.select("doc_id", "text_hash", F.inline("prints"))
     # One small row for each fingerprint that has two places or more.
     first = stored(
@@ -197,16 +227,28 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -
     pairs = stored(
         prints.join(first, "gram").where(~(own & (F.col("at") == F.col("first_at"))))
         .groupBy("doc_id", "text_hash", "first_id", "first_hash")
-        .agg(F.collect_list(F.struct("at", "first_at")).alias("hits")),
+        .agg(F.collect_set(F.struct("at", "first_at")).alias("hits")),
         "matched-places",
     )
-    earlier = lined.select(F.col("doc_id").alias("e_id"), F.col("text_hash").alias("e_hash"), F.col("hashes").alias("first_hashes"))
-    later = lined.select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), "hashes")
+    # Runs end inside lines, so they are told on the texts, each fetched once.
+    wanted = stored(
+        pairs.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+        .union(pairs.select("first_id", "first_hash")).distinct(),
+        "texts-wanted",
+    )
+    small = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    texts = stored(
+        rows.join(small, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+        .groupBy("w_id", "w_hash").agg(F.first("text").alias("text")),
+        "texts-found",
+    )
+    earlier = texts.select(F.col("w_id").alias("e_id"), F.col("w_hash").alias("e_hash"), F.col("text").alias("first_text"))
+    later = texts.select(F.col("w_id").alias("l_id"), F.col("w_hash").alias("l_hash"), "text")
     matched = (
         pairs.join(earlier, F.col("first_id").eqNullSafe(F.col("e_id")) & (F.col("first_hash") == F.col("e_hash")))
         .drop("e_id", "e_hash")
         .join(later, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")))
-        .select("doc_id", "text_hash", "hits", "hashes", "first_hashes")
+        .select("doc_id", "text_hash", "hits", "text", "first_text")
     )
     runs = (
         matched.mapInPandas(_extended, RUNS).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))

@@ -154,3 +154,31 @@ def test_a_copy_keeps_an_empty_text(spark):
     text = words(random.Random(5), 120, 5000)
     out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, [text, text, text + "\n\nnew end"])).collect()}
     assert out == {0: text, 1: "", 2: "\nnew end"}
+
+
+def test_passages_that_start_and_end_inside_sentences_go(spark):
+    rng = random.Random(6)
+    source = words(rng, 300, 100_000).split()  # one sentence without an end
+    texts, own = [" ".join(source)], []
+    for i, n in enumerate((50, 51, 60, 75, 90, 120)):
+        before, after = words(rng, 7 + i, 100_000), words(rng, 9 + i, 100_000)
+        texts.append(f"{before} {' '.join(source[20 * i : 20 * i + n])} {after}.")
+        own.append((n, f"{before} {after}."))
+    rows = {r["doc_id"]: r for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert rows[0]["text"] == texts[0]
+    assert [(rows[i + 1]["deleted_words"], rows[i + 1]["text"]) for i in range(len(own))] == own
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=0, max_size=150))
+def test_every_stretch_of_words_holds_a_fingerprint(shape):
+    h = lines.hashed_words(" ".join(f"u{k}" for k in shape))
+    assert len(h) == len(shape)
+    grams, at = lines.word_fingerprints(h)
+    places = at.tolist()
+    assert places == sorted(set(places))
+    for i in range(len(h) - lines.RUN_WORDS + 1):
+        assert any(i <= p <= i + lines.RUN_WORDS - lines.GRAM_WORDS for p in places)
+    by = {}
+    for g, p in zip(grams.tolist(), places):
+        assert by.setdefault(g, shape[p : p + lines.GRAM_WORDS]) == shape[p : p + lines.GRAM_WORDS]
