@@ -28,10 +28,13 @@ BANDS, ROWS = 32, 4
 SAMPLES = 256  # the first BANDS * ROWS of them make the bands
 BITS = 1024
 # Pairs whose sketches tell less are no candidates: four deviations below the threshold
-# for the sketch of the samples, and for the finer one of the whole set.
+# for the sketch of the samples.  That of the set is finer up to SET_SAMPLES shingles;
+# beyond, half as many may be sampled, and estimates at the threshold then deviate by up
+# to 0.0192 (sqrt(0.75 * 0.25 / 512) and the bitmap), with a longer tail below, so its
+# bound lies five of these below.
 LEAST_ESTIMATE = 0.63
 SET_BITS, SET_SAMPLES = 2048, 1024
-LEAST_SET_ESTIMATE = 0.7
+LEAST_SET_ESTIMATE = 0.65
 SAMPLED = BITS // 64  # 64-bit words of the first sketch
 # Members of a bucket that are compared in one piece, how many of the nearest a member
 # meets first, and shingles sampled in one piece.

@@ -133,3 +133,19 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(no_docs(spark)).count() == 0
     kept = neardup.keep_one(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(odd_rows())
+
+
+def test_set_sketches_keep_long_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    errors = []
+    for n in (1030, 2100, 4200, 8300):
+        for small in (n, -(-3 * n // 4)):  # sets of one size, and one inside the other
+            for _ in range(500):
+                shared = -(-3 * (n + small) // 7)
+                x = rng.integers(0, 1 << 64, n + small - shared, dtype=np.uint64)
+                a, b = np.unique(x[:small]), np.unique(np.concatenate([x[:shared], x[small:]]))
+                assert neardup.similar(a, b)
+                got = neardup.similarity(neardup.set_sketch(a)[None], neardup.set_sketch(b)[None])[0]
+                assert got >= neardup.LEAST_SET_ESTIMATE
+                errors.append(got - 0.75)
+    assert np.std(errors) * 4.42 < 0.75 - neardup.LEAST_SET_ESTIMATE  # 5 in a million
