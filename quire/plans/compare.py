@@ -29,6 +29,19 @@ def revision_pairs(spark, folder):
     )
 
 
+def text_pairs(spark, folder):
+    """``revision_pairs`` on whole texts: near copies belong to the least document they
+    are linked with, wherever they differ; what has none goes by its opening words."""
+    from quire.llm.neardup import near_duplicates
+
+    copies = near_duplicates(table(spark, folder, "documents")).where("doc_id > component_id")
+    by_text = copies.select(F.col("doc_id").alias("revised"), F.col("component_id").alias("copied")).distinct()
+    by_opening = revision_pairs(spark, folder).select("revised", F.col("original").alias("opened"))
+    return by_text.join(by_opening, "revised", "full").select(
+        F.col("revised").alias("pair_id"), F.coalesce("copied", "opened").alias("original"), "revised"
+    )
+
+
 _PAIRS_SQL = """opening AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS o FROM documents),
 pair AS (SELECT a.doc_id AS pair_id, f.original, a.doc_id AS revised, (a.doc_id % 3 - 1)::INT AS off FROM opening a
    JOIN (SELECT o, min(doc_id) AS original, count(*) AS n FROM opening GROUP BY 1 HAVING count(*) > 1) f USING (o) WHERE a.doc_id > f.original),
@@ -90,7 +103,7 @@ def paired_pages(spark, folder, pairs):
 
 
 def differences(spark, folder):
-    pairs = revision_pairs(spark, folder).withColumn("offset", F.lit(0))
+    pairs = cut_lineage(text_pairs(spark, folder)).withColumn("offset", F.lit(0))
     pages = paired_pages(spark, folder, pairs)
     return ops.compare_documents(pairs, pages, page_sizes(pages))
 

@@ -148,3 +148,15 @@ def test_revision_log_trims_but_keeps_numbers():
     for _ in range(20_000):
         do("push", size=1)
     assert len(log.entries) == 3 and log.entries[-1][0] == 20_005
+
+
+def test_near_copies_pair_whatever_their_opening(spark, tmp_path):
+    from quire.plans import compare as plans
+
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    other = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [" ".join(text), " ".join(["changed", *text[1:]]), " ".join(other), " ".join(other[:6] + text[:50]), "alone"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.text_pairs(spark, str(tmp_path)).collect()
+    assert {(r.pair_id, r.original, r.revised) for r in got} == {(1, 0, 1), (3, 2, 3)}
