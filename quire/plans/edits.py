@@ -146,11 +146,11 @@ def metadata_edits(spark, folder):
 
 @query("outline_edits", "2.12 G4")
 def outline_edits(spark, folder):
-    rows = path_rows(spark, folder).where("level < 3")
+    rows = path_rows(spark, folder)
     marks = rows.select("doc_id", "path", F.col("node").alias("order"), F.concat(F.lit("t"), F.col("key").cast("string")).alias("title"))
     kinds = F.array(F.lit("updateBookmark"), F.lit("moveBookmark"), F.lit("deleteBookmark"), F.lit("addBookmark"))
     k = F.col("key")
-    log = rows.where("level = 2").select(
+    log = rows.select(
         "doc_id", F.col("node").alias("ord"), F.element_at(kinds, (k % 4 + 1).cast("int")).alias("kind"), "path",
         F.concat(F.lit("t"), k.cast("string")).alias("expected"), F.when(k % 4 == 3, F.lit("0")).otherwise(F.lit("")).alias("parent"),
         F.lit(1).cast("bigint").alias("index"), F.concat(F.lit("new "), k.cast("string")).alias("title"),

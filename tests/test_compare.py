@@ -160,3 +160,10 @@ def test_near_copies_pair_whatever_their_opening(spark, tmp_path):
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = plans.text_pairs(spark, str(tmp_path)).collect()
     assert {(r.pair_id, r.original, r.revised) for r in got} == {(1, 0, 1), (3, 2, 3)}
+
+
+def test_outline_edits_reach_every_level(spark, small):
+    from quire.plans import QUERIES
+
+    got = QUERIES["outline_edits"](spark, small).collect()
+    assert any(r.error is None and r.path.count(".") == 2 for r in got)
