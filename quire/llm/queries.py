@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, interpolation, lines, mixing, neardup, outliers, packing, runs, secrets, sharding, topk
+from quire.llm import classifier, interpolation, lines, mixing, neardup, outliers, packing, resampling, runs, secrets, sharding, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -107,6 +107,12 @@ def op8(spark, folder):
     return classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op11_dictionary_resampling")
+def op11(spark, folder):
+    drawn = resampling.importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query("op13_dyadic_squares")
 def op13(spark, folder):
     return runs.digest(runs.periodic_runs(table(spark, folder, "documents"), runs.planted))
