@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classifier, interpolation, lines, mixing, neardup, outliers, packing, resampling, runs, secrets, sharding, topk
+from quire.llm import classifier, interpolation, lines, mixing, neardup, outliers, packing, resampling, runs, secrets, sharding, suffixes, topk
 from quire.llm.shared import text_bytes
 from quire.session import settle, table
 
@@ -113,6 +113,28 @@ def op11(spark, folder):
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query(
+    "op12_previous_factors",
+    """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(length(x) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+f AS (SELECT r, i FROM w JOIN m USING (s) WHERE doc_id > least),
+g AS (SELECT r, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 50, TRUE) AS INTEGER) AS new FROM f),
+h AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+spans AS (SELECT r, min(i) AS b, max(i) + 50 AS e FROM h GROUP BY r, span),
+gaps AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS before FROM spans),
+kept AS (
+  SELECT d.r, count(*) AS n, sum(e - b) AS gone, max(e) AS tail, string_agg(substr(x, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) AS y
+  FROM gaps JOIN d ON d.r = gaps.r GROUP BY d.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN x ELSE y || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
+)
+def op12(spark, folder):
+    return suffixes.digest(suffixes.remove_repeats(table(spark, folder, "documents")))
+
+
 @query("op13_dyadic_squares")
 def op13(spark, folder):
     return runs.digest(runs.periodic_runs(table(spark, folder, "documents"), runs.planted))
