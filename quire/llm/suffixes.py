@@ -43,11 +43,11 @@ BLOCK_BYTES, MOST_BLOCK_BYTES, MANY_BLOCKS = 8 << 20, 64 << 20, 2000
 # Text whose hashes, and text whose stretches, go to one range.
 RANGE_TEXT, STRETCH_TEXT = 32 << 20, 8 << 20
 # Bytes that are hashed at once; longer texts are read in overlapping pieces.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 # Documents of one gram beyond which its windows go each by its own hash.
 WIDE = 20_000
 # Different stretches whose windows are put in order at once, cut between grams.
-TOGETHER = 30_000
+TOGETHER = 10_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -287,7 +287,7 @@ def told(lengths: np.ndarray, offsets: np.ndarray, raw: np.ndarray, ids: np.ndar
         part = leader[some[at:end]]
         w = lengths[part]
         place = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        rows = raw[(np.repeat(begin[part], w) + place)[:, None] + np.arange(LEAST)]
+        rows = np.lib.stride_tricks.sliding_window_view(raw, LEAST)[np.repeat(begin[part], w) + place]
         out[np.repeat(first[part], w) + place] = starts_earlier(rows, np.repeat(ids[part], w))
         at = end
     # The others of a stretch are later copies, or repeats of its least id with its bits.
