@@ -1,7 +1,7 @@
-"""Running totals and runs that do not gather a large group in one task.
+"""Running totals, places and runs that do not gather a large group in one task.
 
-A group (a document, a job) may hold a third of all rows.  Both operators cut a
-group into stretches of its own integer order, work inside the stretches, and
+A group (a document, a job) may hold a third of all rows.  They cut a
+group into stretches of its own order, work inside the stretches, and
 settle the stretches against each other on one row per stretch.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 STRETCH = 16384
 
 
@@ -55,3 +57,26 @@ def runs(df: DataFrame, keys: list[str], number: str, stretch: int = STRETCH) ->
         .agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .drop("_run")
     )
+
+
+def placed_in_order(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``name``: the place (from 1) of each row among those of its ``keys``, by ``order``.
+
+    The order may be of any kind.  Rows are dealt by sampled ranges of (keys, order),
+    so a group that holds a third of all rows lies in many tasks; a place is the rows
+    of the group in the ranges before plus the place in the row's own.  Rows equal in
+    keys and order share a range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, *order]
+    dealt = cut_lineage(cut_lineage(df).repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+        .select(*keys, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return (
+        dealt.withColumn("_inside", inside).join(before, [*keys, "_range"])
+        .withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+    )

@@ -1,7 +1,7 @@
 """Trees and graphs as edge tables.
 
-Loops run one join per level of depth and cut their lineage in the shared
-checkpoint folder, so a lost executor costs one level.
+Loops double their reach, or run one join per step of a walk, and cut their lineage
+in the shared checkpoint folder, so a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import cut_lineage, discard
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
@@ -58,12 +58,13 @@ def chained(links: DataFrame, keys: list[str]) -> DataFrame:
     )
     for _ in range(state.count().bit_length() + 1):
         ahead = state.select(*keys, F.col("node").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"))
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             state.join(ahead, [*keys, "head"]).select(
                 *keys, "node", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"),
                 (F.col("more") > 0).alias("moved"),
             )
         )
+        discard(before)
         if state.where("moved").isEmpty():
             break
     return state.select(*keys, "node", *[F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("head", "place")])
@@ -74,8 +75,7 @@ def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
     ``nodes``: keys, node, first, next (nullable), is_root (the first top entry).
     Result: keys, node, parent, level, path (``0.2.1``) and the path as numbers, ``order``.
-    Siblings are ranked by pointer jumping, then one join per level of depth
-    hands the paths down.  An entry two links lead to keeps the first link met
+    Siblings are ranked by pointer jumping, and so are the paths put together.  An entry two links lead to keeps the first link met
     (a first-child link, else the lowest node), so a damaged tree stays a tree.
     """
     child_of = nodes.where("first is not null").groupBy(*keys, F.col("first").alias("node")).agg(F.min("node").alias("parent"))
@@ -93,25 +93,39 @@ def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
         child_of.withColumnRenamed("node", "head"), [*keys, "head"], "left"
     )
     ranked = cut_lineage(ranked.join(roots.select(*keys, F.col("node").alias("head"), F.lit(True).alias("top")), [*keys, "head"], "left"))
-    level = ranked.where("top").select(
-        *keys, "node", F.lit(None).cast("bigint").alias("parent"), F.lit(1).alias("level"),
-        F.col("place").cast("string").alias("path"), F.array("place").alias("order"),
+    start = ranked.where("top or parent is not null").select(
+        *keys, "node", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"), F.array("place").alias("order"),
+        F.col("top").isNotNull().alias("done"),
     )
-    found = level = cut_lineage(level)
-    deeper = 1
+    return climbed(start, keys).select(
+        *keys, "node", "parent", F.size("order").alias("level"),
+        F.array_join(F.transform("order", lambda n: n.cast("string")), ".").alias("path"), "order",
+    )
+
+
+def climbed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every entry's whole ``order``, from pieces and parent links, by pointer doubling.
+
+    ``rows``: keys, node, parent, order (the piece of the entry itself) and done (it is
+    a top entry).  In each round an entry takes over what the entry it points at has
+    gathered, and points where that points: depth 100 takes seven rounds.  Entries of a
+    depth between two powers of two arrive in one round, so a round without arrivals is
+    the last; what has not arrived then hangs on no top entry and is left out.
+    """
+    state = cut_lineage(rows.select(*keys, "node", "parent", F.col("parent").alias("above"), "order", "done", F.lit(True).alias("fresh")))
     while True:
-        deeper += 1
-        above = level.select(*keys, F.col("node").alias("parent"), F.col("path").alias("above"), F.col("order").alias("above_order"))
-        level = cut_lineage(
-            ranked.where("top is null").join(above, [*keys, "parent"]).select(
-                *keys, "node", "parent", F.lit(deeper).alias("level"),
-                F.concat("above", F.lit("."), F.col("place").cast("string")).alias("path"),
-                F.array_append("above_order", F.col("place")).alias("order"),
-            )
+        target = state.select(
+            *keys, F.col("node").alias("above"), F.col("above").alias("further"), F.col("order").alias("gathered"), F.col("done").alias("arrives")
+        )
+        moved = state.where(~F.col("done")).join(target, [*keys, "above"]).select(
+            *keys, "node", "parent", F.col("further").alias("above"), F.concat("gathered", "order").alias("order"),
+            F.col("arrives").alias("done"), F.lit(True).alias("fresh"),
         )
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+        there = state.where("done").withColumn("fresh", F.lit(False))
+        before, state = state, cut_lineage(there.unionByName(moved))
+        discard(before)
+        if state.where("done and fresh").isEmpty():
+            return state.where("done").select(*keys, "node", "parent", "order")
 
 
 def ancestors(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,15 +187,37 @@ def subtree_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
     return own.unionByName(up).distinct()
 
 
+def inherited(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``value`` of each entry, or else of the nearest entry above that has one.
+
+    ``rows``: keys, node, parent, and the value.  An entry without a value points at its
+    parent, and each round makes pointers twice as long, until they reach a value or the
+    top; entries of a closed loop without a value, or under a missing parent, have none.
+    """
+    state = cut_lineage(
+        rows.select(*keys, "node", F.col(value).alias("value"), F.when(F.col(value).isNull(), F.col("parent")).alias("above"))
+    )
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("above is not null").isEmpty():
+            break
+        target = state.select(*keys, F.col("node").alias("above"), F.col("above").alias("further"), F.col("value").alias("found"))
+        moved = state.where("above is not null").drop("value").join(target, [*keys, "above"], "left").select(
+            *keys, "node", F.col("found").alias("value"), F.col("further").alias("above")
+        )
+        before, state = state, cut_lineage(state.where("above is null").unionByName(moved))
+        discard(before)
+    return state.select(*keys, "node", "value")
+
+
 def inherited_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth-first rows with the page of the nearest entry above that names one."""
-    named = rows.where("page is not null").select(*keys, F.col("path").alias("ancestor"), F.col("page").alias("above_page"))
-    above = ancestors(rows.where("page is null").select(*keys, "path"), keys).join(named, [*keys, "ancestor"])
-    nearest = above.groupBy(*keys, "path").agg(F.min_by("above_page", "gap").alias("inherited"))
+    """Rows with the page of the nearest entry above that names one: ``keys, node, path, page, order, depth``.
+
+    ``rows``: keys, node, parent, path, page.
+    """
+    found = inherited(rows, keys, "page").withColumnRenamed("value", "inherited")
     order = F.transform(F.split("path", r"\."), lambda n: n.cast("bigint"))
-    return rows.join(nearest, [*keys, "path"], "left").select(
-        *keys, "path", F.coalesce("page", "inherited").alias("page"), order.alias("order"),
-        F.size(F.split("path", r"\.")).alias("depth"),
+    return rows.join(found, [*keys, "node"]).select(
+        *keys, "node", "path", F.col("inherited").alias("page"), order.alias("order"), F.size(F.split("path", r"\.")).alias("depth")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import trees as ops
+from quire.operators.scale import placed_in_order
 from quire.plans.registry import query
 from quire.session import cut_lineage, table
 
@@ -36,11 +37,11 @@ def path_rows(spark, folder):
     f = forest(spark, folder)
     n = F.row_number().over(Window.partitionBy("doc_id", "up").orderBy("node")) - 1
     placed = cut_lineage(f.withColumn("place", n.cast("string")))
-    top = placed.where("up is null").select("doc_id", "node", F.col("place").alias("path"), "key", F.lit(1).alias("level"))
+    top = placed.where("up is null").select("doc_id", "node", "up", F.col("place").alias("path"), "key", F.lit(1).alias("level"))
 
     def below(level, above):
         return placed.join(above.select("doc_id", F.col("node").alias("up"), F.col("path").alias("above")), ["doc_id", "up"]).select(
-            "doc_id", "node", F.concat("above", F.lit("."), "place").alias("path"), "key", F.lit(level).alias("level")
+            "doc_id", "node", "up", F.concat("above", F.lit("."), "place").alias("path"), "key", F.lit(level).alias("level")
         )
 
     second = below(2, top)
@@ -118,10 +119,8 @@ def inherited_pages(spark, folder):
     rows = path_rows(spark, folder).withColumn(
         "page", F.when((level == 1) & (k % 3 > 0), k).when((level == 2) & (k % 4 == 0), k % 11).when((level == 3) & (k % 5 == 0), k % 13)
     )
-    found = ops.inherited_pages(rows, ["doc_id"])
-    return found.select(
-        "doc_id", "path", "page", "depth", F.row_number().over(Window.partitionBy("doc_id").orderBy("order")).alias("reading")
-    )
+    found = ops.inherited_pages(rows.withColumnRenamed("up", "parent"), ["doc_id"])
+    return placed_in_order(found, ["doc_id"], ["order"], "reading").select("doc_id", "path", "page", "depth", "reading")
 
 
 @query(
@@ -141,8 +140,9 @@ def outline_moves(spark, folder):
     return ops.planned_moves(path_rows(spark, folder).select("doc_id", "path"), ["doc_id"])
 
 
-_GRAPH = """edge AS (SELECT o_custkey AS s, (o_orderkey * 31 + 7) % 1000 AS t FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
-seed AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9900)"""
+# An order lets its customer refer to one of two others, numbered as in a heap.
+_GRAPH = """edge AS (SELECT o_custkey AS s, o_custkey * 2 + o_orderkey % 2 AS t FROM orders),
+seed AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000)"""
 
 
 @query(
@@ -154,13 +154,11 @@ seed AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9900)"""
 def unused_objects(spark, folder):
     zero = F.lit(0).cast("bigint").alias("doc_id")
     customers = table(spark, folder, "customer")
-    edges = (
-        table(spark, folder, "orders")
-        .where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
-        .select(zero, F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 31 + 7) % 1000).alias("target"))
-    )
+    edges = table(spark, folder, "orders").select(
+        zero, F.col("o_custkey").alias("source"), (F.col("o_custkey") * 2 + F.col("o_orderkey") % 2).alias("target")
+    ).distinct()
     nodes = customers.select(zero, F.col("c_custkey").alias("node"))
-    seeds = customers.where("c_acctbal > 9900").select(zero, F.col("c_custkey").alias("node"))
+    seeds = customers.where("c_acctbal > 9000").select(zero, F.col("c_custkey").alias("node"))
     return ops.unreachable(nodes, seeds, edges, ["doc_id"])
 
 
@@ -168,7 +166,7 @@ def unused_objects(spark, folder):
     "action_chains",
     "G8 A27 F12",
     """WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS id, ['JavaScript','Launch','GoTo','URI','SubmitForm'][o_orderkey % 5 + 1] AS type, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
-    SELECT doc_id, first(id ORDER BY n) AS head, count(*) AS sites, count(*) FILTER (WHERE type = 'JavaScript') AS scripts, count(*) FILTER (WHERE type IN ('Launch', 'SubmitForm')) AS reaching FROM a WHERE n <= 64 GROUP BY 1""",
+    SELECT doc_id, first(id ORDER BY n) AS head, count(*) AS sites, count(*) FILTER (WHERE type = 'JavaScript') AS scripts, count(*) FILTER (WHERE type IN ('Launch', 'SubmitForm')) AS reaching FROM a GROUP BY 1""",
 )
 def action_chains(spark, folder):
     from quire.functions.facts import action_class
@@ -182,7 +180,7 @@ def action_chains(spark, folder):
     types = orders.select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("node"), F.element_at(kinds, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("type")
     )
-    sites = ops.chained(links, ["doc_id"]).where("place < 64").join(types, ["doc_id", "node"])
+    sites = ops.chained(links, ["doc_id"]).join(types, ["doc_id", "node"])
     kind = action_class(F.col("type"))
     return sites.groupBy("doc_id", "head").agg(
         F.count("*").alias("sites"), F.count_if(kind == "javascript").alias("scripts"), F.count_if(kind == "reachingOut").alias("reaching")

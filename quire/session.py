@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,22 +47,43 @@ def local_session(cores: str = "8", memory: str = "12g", **extra: str) -> SparkS
     return settle(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, named by ``spark.checkpoint.dir``.
+
+    Only a local session without one (tests) gets a folder of its own.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(own)
+    return own
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the cluster names.
+    """Write ``df`` to the shared folder and go on from the file.
 
-    Iterative operators call this once per round so that a lost executor costs
-    one round, not the whole history.  The folder comes from
-    ``spark.checkpoint.dir``; a local session without one (tests) gets a folder of
-    its own, and a cluster must name one that all executors share.
+    Iterative operators call this once per round so that a lost executor costs one
+    round, not the whole history.  A file also has its true size: a checkpoint keeps the
+    size its plan was guessed to have, and a round that joins a state with itself squares
+    that guess until the number alone takes minutes to multiply.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.step_path = path
+    return written
+
+
+def discard(step: DataFrame) -> None:
+    """Remove the file of a step that nothing reads any more."""
+    context = step.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(step.step_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
