@@ -38,12 +38,13 @@ LEAST = 50
 GRAM = 16
 # Grams in a window, the most windows an anchor can stand for.
 REACH = LEAST - GRAM + 1
-# Text of a block: at least so much, and more as the corpus grows, so that blocks are some thousands.
-BLOCK_BYTES, MOST_BLOCK_BYTES, MANY_BLOCKS = 8 << 20, 64 << 20, 2000
-# Text whose hashes, and text whose stretches, go to one range.
-RANGE_TEXT, STRETCH_TEXT = 32 << 20, 8 << 20
+# Text of a block, text whose hashes go to one range, and text whose stretches do: at
+# least the first, at most the second; in between they grow with the corpus, so that
+# there are some thousands of each.  No step sends more messages than there are anchors.
+BLOCK_TEXT, RANGE_TEXT, STRETCH_TEXT = (3 << 20, 16 << 20), (8 << 20, 48 << 20), (3 << 20, 16 << 20)
+MANY = 4000
 # Bytes that are hashed at once; longer texts are read in overlapping pieces.
-PIECE_BYTES = 512 << 10
+PIECE_BYTES = 256 << 10
 # Documents of one gram beyond which its windows go each by its own hash.
 WIDE = 20_000
 # Different stretches whose windows are put in order at once, cut between grams.
@@ -443,11 +444,15 @@ def _cut(rows: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def block_size(total: int) -> int:
-    return min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // MANY_BLOCKS))
+def parts_of(total: int, sizes: tuple[int, int]) -> int:
+    """How many parts of a size between two bounds make a corpus."""
+    return max(1, math.ceil(total / min(sizes[1], max(sizes[0], total // MANY))))
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int | None = None, range_text: int = RANGE_TEXT, stretch_text: int = STRETCH_TEXT) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, block_text: tuple[int, int] = BLOCK_TEXT, range_text: tuple[int, int] = RANGE_TEXT,
+    stretch_text: tuple[int, int] = STRETCH_TEXT,
+) -> DataFrame:
     """``doc_id``, ``n_bytes``, removed ``spans`` and the ``kept`` bytes of every document.
 
     A byte of the UTF-8 text is removed when one of the 50-byte strings over it also
@@ -461,8 +466,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int | None = None, range_text:
     """
     rows = pick(docs, "doc_id", "text")
     total = rows.agg(F.sum(text_bytes("text") + 8)).first()[0] or 0
-    blocks = max(1, math.ceil(total / (block_bytes or block_size(total))))
-    ranges, parts = max(1, math.ceil(total / range_text)), max(1, math.ceil(total / stretch_text))
+    blocks, ranges, parts = parts_of(total, block_text), parts_of(total, range_text), parts_of(total, stretch_text)
     dealt = (
         rows.withColumn("row", F.monotonically_increasing_id())
         .select(

@@ -117,13 +117,13 @@ def test_query_against_sql(spark, small):
     assert got == sorted(con.execute(SQL["op12_previous_factors"]).fetchall(), key=str)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert got == expected(docs) and sum(r[2] > 0 for r in got) > 20
-    many = suffixes.remove_repeats(spark.read.parquet(f"{small}/documents.parquet"), block_bytes=60_000, range_text=90_000, stretch_text=50_000)
+    many = suffixes.remove_repeats(spark.read.parquet(f"{small}/documents.parquet"), block_text=(60_000,) * 2, range_text=(90_000,) * 2, stretch_text=(50_000,) * 2)
     assert got == rows_of(suffixes.digest(many))
 
 
 def test_odd_rows(spark):
     docs = [(r["doc_id"], r["text"]) for r in odd_docs(spark).collect()]
-    assert rows_of(suffixes.digest(suffixes.remove_repeats(odd_docs(spark), block_bytes=70_000))) == expected(docs)
+    assert rows_of(suffixes.digest(suffixes.remove_repeats(odd_docs(spark), block_text=(70_000, 70_000)))) == expected(docs)
     assert suffixes.remove_repeats(no_docs(spark)).count() == 0
     out = suffixes.remove_repeats(docs_of(spark, ["é" * 40, "ü" + "é" * 40])).orderBy("doc_id").collect()
     assert out[1]["kept"] == "ü".encode() and [tuple(s) for s in out[1]["spans"]] == [(2, 80)]
