@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.functions.text import trimmed
 
 # The shape of a language tag.
@@ -24,11 +27,10 @@ RISKY_EXTENSIONS = """
     vsmacros vsw webpnp website ws wsc wsf wsh xbap xll xnk
 """.split()
 
-# What a log line must not show: the word before a secret, what stands
-# between the two, and the secret, which is quoted or reaches to the next white space.
+# Words whose value a log line must not show.
 SECRET_WORDS = ["password", "passphrase", "secret", "token"]
-SECRET_JOIN = r"[\"']?\s*[:=]\s*"
-SECRET_FORMS = [r"\"[^\"]*\"", r"'[^']*'", r"\S+"]
+MASK = "***"
+BLANKS = " \t\n\r\f\x0b"
 
 
 def language_tag(value: Column) -> Column:
@@ -64,10 +66,81 @@ def risky_attachment(name: Column) -> Column:
     return last_extension(name).isin(RISKY_EXTENSIONS)
 
 
+def _names_a_secret(part: Column) -> Column:
+    """Does a part that ends with a separator name a secret right before it?
+
+    Blanks may stand before the separator, and one quote before those.
+    """
+    before = F.lower(F.rtrim(F.substring(part, F.lit(1), F.length(part) - 1), F.lit(BLANKS)))
+    name = F.when(F.right(before, F.lit(1)).isin("'", '"'), F.substring(before, F.lit(1), F.length(before) - 1)).otherwise(before)
+    ends = F.right(part, F.lit(1)).isin(":", "=")
+    return ends & reduce(lambda a, b: a | b, [F.endswith(name, F.lit(w)) for w in SECRET_WORDS])
+
+
 def scrubbed(message: Column) -> Column:
-    """Sensitive ``key: value`` pairs of a log line masked: the key and its separator stay."""
-    shown = f"((?:{'|'.join(SECRET_WORDS)}){SECRET_JOIN})"
-    return F.regexp_replace(message, f"(?i){shown}(?:{'|'.join(SECRET_FORMS)})", "$1***")
+    """A log line with the values of secrets masked.
+
+    The line is read in parts that end at a ``:`` or ``=``.  After a part that names a
+    secret comes its value: from a quote to the next quote of its kind, where there is
+    one, else all up to the next blank.  A value may hold separators and go over several
+    parts; the reading goes on behind it.
+    """
+    quotes = ("'", '"')
+    state = "struct<shown:array<string>,mode:string>"
+
+    def later(parts: Column, quote: str) -> Column:
+        """The last part that holds a quote."""
+        return F.array_max(F.transform(parts, lambda p, i: F.when(F.contains(p, F.lit(quote)), i)))
+
+    def step(so_far: Column, part: Column) -> Column:
+        text = part["text"]
+        body = F.ltrim(text, F.lit(BLANKS))
+        opens = (so_far["mode"] == "asked") & (body != "")
+        first = F.left(body, F.lit(1))
+        inner = F.substring(body, F.lit(2), F.length(body))
+        quoted = reduce(
+            lambda a, b: a | b, [(first == q) & (F.contains(inner, F.lit(q)) | part[f"later{n}"]) for n, q in enumerate(quotes)]
+        )
+        lead = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(body)), F.lit(MASK))
+        begun = F.struct(
+            F.when(opens & quoted, first).when(opens, " ").when(so_far["mode"] == "asked", "text").otherwise(so_far["mode"]).alias("mode"),
+            F.when(opens, lead).otherwise("").alias("lead"),
+            F.when(opens & quoted, inner).when(opens, body).otherwise(text).alias("rest"),
+        )
+
+        def behind(b: Column) -> Column:
+            """What follows the value, null while it has no end."""
+            blank = F.position(F.lit(" "), F.translate(b["rest"], BLANKS, " " * len(BLANKS)))
+            quote = F.position(b["mode"], b["rest"])
+            return (
+                F.when(b["mode"] == "text", b["rest"])
+                .when((b["mode"] == " ") & (blank > 0), F.substring(b["rest"], blank, F.length(b["rest"])))
+                .when(b["mode"].isin(*quotes) & (quote > 0), F.substring(b["rest"], quote + 1, F.length(b["rest"])))
+            )
+
+        def moved(b: Column) -> Column:
+            return let(
+                behind(b),
+                lambda rest: F.struct(
+                    F.concat(so_far["shown"], F.array(b["lead"], F.coalesce(rest, F.lit("")))).alias("shown"),
+                    F.when(rest.isNull(), b["mode"]).when(_names_a_secret(rest), "asked").otherwise("text").alias("mode"),
+                ).cast(state),
+            )
+
+        return let(begun, moved)
+
+    def read(parts: Column) -> Column:
+        marked = F.transform(
+            parts,
+            lambda p, i: F.struct(
+                p.alias("text"), *[F.coalesce(later(parts, q) > i, F.lit(False)).alias(f"later{n}") for n, q in enumerate(quotes)]
+            ),
+        )
+        start = F.struct(F.array().cast("array<string>").alias("shown"), F.lit("text").alias("mode")).cast(state)
+        return F.aggregate(marked, start, step, lambda s: F.array_join(s["shown"], ""))
+
+    named = reduce(lambda a, b: a | b, [F.contains(F.lower(message), F.lit(w)) for w in SECRET_WORDS])
+    return F.when(named, let(F.split(message, "(?<=[:=])"), read)).otherwise(message)
 
 
 def permissions(bits: Column, revision: Column) -> list[Column]:

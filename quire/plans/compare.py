@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import let
 from quire.operators import compare as ops
 from quire.plans import shared_sql as q
 from quire.plans.geometry import _RECTS_SQL, rects
@@ -14,37 +15,36 @@ from quire.sources.paginate import paginate
 
 
 def revision_pairs(spark, folder):
-    """Documents that open with the same words: the first is the original, every
-    other one a revision of it (a star, never all pairs)."""
-    opening = F.md5(F.array_join(F.slice(F.split("text", " "), 1, 6), " "))
-    keyed = table(spark, folder, "documents").select("doc_id", opening.alias("opening"))
-    first = keyed.groupBy("opening").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    return (
-        keyed.join(first, "opening")
-        .where("doc_id > original")
-        .select(
-            F.col("doc_id").alias("pair_id"), "original", F.col("doc_id").alias("revised"),
-            (F.col("doc_id") % 3 - 1).cast("int").alias("offset"),
-        )
+    """Near copies as originals and revisions, by what they share over their whole texts.
+
+    A document's keys are the eight least hashes of its runs of five words (a sample of
+    all of them, wherever they stand).  Each key votes for the least document that has
+    it; a document is a revision of the one that at least half of its keys vote for, the
+    most first.  A star, never all pairs.
+    """
+    def runs_of(words):
+        run = lambda i: F.md5(F.array_join(F.slice(words, i, F.lit(5)), " "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), run)
+
+    runs = let(F.split("text", " "), runs_of)
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    keys = documents.where("text is not null").select("doc_id", F.slice(F.array_sort(F.array_distinct(runs)), 1, 8).alias("keys"))
+    keyed = cut_lineage(keys.select("doc_id", F.size("keys").alias("n"), F.explode("keys").alias("key")))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("original"), F.count("*").alias("holders")).where("holders > 1")
+    votes = keyed.join(first, "key").where("doc_id > original").groupBy("doc_id", "n", "original").agg(F.count("*").alias("votes"))
+    chosen = votes.where("2 * votes >= n").groupBy("doc_id").agg(F.max_by("original", F.struct("votes", -F.col("original"))).alias("original"))
+    return chosen.select(
+        F.col("doc_id").alias("pair_id"), "original", F.col("doc_id").alias("revised"),
+        (F.col("doc_id") % 3 - 1).cast("int").alias("offset"),
     )
 
 
-def text_pairs(spark, folder):
-    """``revision_pairs`` on whole texts: near copies belong to the least document they
-    are linked with, wherever they differ; what has none goes by its opening words."""
-    from quire.llm.neardup import near_duplicates
-
-    copies = near_duplicates(table(spark, folder, "documents")).where("doc_id > component_id")
-    by_text = copies.select(F.col("doc_id").alias("revised"), F.col("component_id").alias("copied")).distinct()
-    by_opening = revision_pairs(spark, folder).select("revised", F.col("original").alias("opened"))
-    return by_text.join(by_opening, "revised", "full").select(
-        F.col("revised").alias("pair_id"), F.coalesce("copied", "opened").alias("original"), "revised"
-    )
-
-
-_PAIRS_SQL = """opening AS (SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS o FROM documents),
-pair AS (SELECT a.doc_id AS pair_id, f.original, a.doc_id AS revised, (a.doc_id % 3 - 1)::INT AS off FROM opening a
-   JOIN (SELECT o, min(doc_id) AS original, count(*) AS n FROM opening GROUP BY 1 HAVING count(*) > 1) f USING (o) WHERE a.doc_id > f.original),
+_PAIRS_SQL = """words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE text IS NOT NULL),
+five AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d) AS run, count(*) OVER (PARTITION BY doc_id) AS n FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+keys AS (SELECT doc_id, list_slice(list_sort(list_distinct(list(md5(run)))), 1, 8) AS ks FROM five WHERE i <= greatest(n - 4, 1) GROUP BY 1),
+keyed AS (SELECT doc_id, len(ks) AS n, unnest(ks) AS key FROM keys),
+vote AS (SELECT k.doc_id, k.n, f.original, count(*) AS votes FROM keyed k JOIN (SELECT key, min(doc_id) AS original FROM keyed GROUP BY 1) f USING (key) WHERE k.doc_id > f.original GROUP BY ALL),
+pair AS (SELECT doc_id AS pair_id, original, doc_id AS revised, (doc_id % 3 - 1)::INT AS off FROM vote WHERE 2 * votes >= n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, original) = 1),
 spine AS (SELECT pair_id, original, revised, off, n, m, unnest(range(least(1, 1 - off), greatest(n, m - off) + 1)) AS pos
    FROM (SELECT p.*, a.page_count AS n, b.page_count AS m FROM pair p JOIN page_dim a ON a.doc_id = p.original JOIN page_dim b ON b.doc_id = p.revised)),
 pp AS (SELECT pair_id, pos - least(1, 1 - off) + 1 AS "index", original, CASE WHEN pos BETWEEN 1 AND n THEN pos END AS original_page, revised, CASE WHEN pos + off BETWEEN 1 AND m THEN pos + off END AS revised_page FROM spine)"""
@@ -103,7 +103,7 @@ def paired_pages(spark, folder, pairs):
 
 
 def differences(spark, folder):
-    pairs = cut_lineage(text_pairs(spark, folder)).withColumn("offset", F.lit(0))
+    pairs = cut_lineage(revision_pairs(spark, folder)).withColumn("offset", F.lit(0))
     pages = paired_pages(spark, folder, pairs)
     return ops.compare_documents(pairs, pages, page_sizes(pages))
 
@@ -114,7 +114,7 @@ def compare_documents(spark, folder):
     return found.select(
         "pair_id", "index", "class", "place", "kind", "summary",
         F.size("original_rects").alias("original_rects"), F.size("revised_rects").alias("revised_rects"),
-    ).orderBy("pair_id", "index", "class", "place")
+    )
 
 
 @query("difference_summary", "A29 F2")

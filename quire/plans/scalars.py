@@ -310,9 +310,8 @@ def host_facts(spark, folder):
 @query(
     "log_scrubbing",
     "F20 M8",
-    r"""WITH m AS (SELECT event_id, 'user=' || user_id::VARCHAR || ' ' || ['password', 'Token', 'PASSPHRASE', 'note'][event_id % 4 + 1]
-        || [': ', '=', '" : '][event_id % 3 + 1] || CASE WHEN event_id % 2 = 0 THEN event_type ELSE '"' || event_type || ' x"' END || ' value ' || props AS line FROM events)
-    SELECT event_id, regexp_replace(line, '(?i)(password|passphrase|secret|token)(["'']?\s*[:=]\s*)("[^"]*"|''[^'']*''|\S+)', '\1\2***', 'g') AS line FROM m""",
+    r"""SELECT event_id, 'user=' || user_id::VARCHAR || ' ' || ['password', 'Token', 'PASSPHRASE', 'note'][event_id % 4 + 1] || [': ', '=', '" : '][event_id % 3 + 1]
+      || CASE WHEN event_id % 4 < 3 THEN '***' WHEN event_id % 2 = 0 THEN event_type ELSE '"' || event_type || ' x"' END || ' value ' || props AS line FROM events""",
 )
 def log_scrubbing(spark, folder):
     k = F.col("event_id")
@@ -332,8 +331,30 @@ def log_scrubbing(spark, folder):
 @query(
     "secrets_in_documents",
     "F20",
-    r"""WITH m AS (SELECT doc_id, text, regexp_replace(text, '(?i)(password|passphrase|secret|token)(["'']?\s*[:=]\s*)("[^"]*"|''[^'']*''|\S+)', '\1\2***', 'g') AS clean FROM documents)
-    SELECT doc_id, md5(clean) AS clean, clean <> text AS changed FROM m""",
+    # Word after word: what stands behind one is a value only after an optional quote, blanks and a separator.
+    r"""WITH RECURSIVE seek AS (
+      SELECT doc_id, text, '' AS shown, text AS rest FROM documents
+      UNION ALL
+      SELECT doc_id, text,
+        shown || CASE WHEN hit IS NULL THEN rest WHEN cut IS NULL THEN left(rest, hit.at) ELSE left(rest, length(rest) - length(value)) || '***' END,
+        CASE WHEN hit IS NULL THEN NULL WHEN cut IS NULL THEN substr(rest, hit.at + 1) ELSE substr(value, cut + 1) END
+      FROM (
+        SELECT *, CASE WHEN left(b, 1) IN (':', '=') AND value <> '' THEN
+          CASE WHEN left(value, 1) IN (chr(34), chr(39)) AND instr(substr(value, 2), left(value, 1)) > 0 THEN instr(substr(value, 2), left(value, 1)) + 1
+            ELSE length(string_split(translate(value, BLANKS, repeat(' ', 6)), ' ')[1]) END END AS cut
+        FROM (
+          SELECT *, ltrim(substr(b, 2), BLANKS) AS value
+          FROM (
+            SELECT *, ltrim(CASE WHEN left(after, 1) IN (chr(34), chr(39)) THEN substr(after, 2) ELSE after END, BLANKS) AS b
+            FROM (
+              SELECT *, substr(rest, hit.at + length(hit.word)) AS after
+              FROM (
+                SELECT *, list_min(list_transform(list_filter(['password', 'passphrase', 'secret', 'token'], lambda w: instr(lower(rest), w) > 0),
+                  lambda w: {'at': instr(lower(rest), w), 'word': w})) AS hit
+                FROM seek WHERE rest IS NOT NULL))))))
+    SELECT doc_id, md5(shown) AS clean, shown <> text AS changed FROM seek WHERE rest IS NULL AND text IS NOT NULL""".replace(
+        "BLANKS", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    ),
 )
 def secrets_in_documents(spark, folder):
     return (

@@ -156,10 +156,13 @@ def test_near_copies_pair_whatever_their_opening(spark, tmp_path):
     rng = random.Random(5)
     text = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     other = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-    docs = [" ".join(text), " ".join(["changed", *text[1:]]), " ".join(other), " ".join(other[:6] + text[:50]), "alone"]
+    docs = [
+        " ".join(text), " ".join(["changed", *text[1:]]), " ".join(other), " ".join(other[:6] + [w + "x" for w in text]), "alone", None, "",
+        " ".join(text[:-1]), "alone", "a b c", "",
+    ]
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = plans.text_pairs(spark, str(tmp_path)).collect()
-    assert {(r.pair_id, r.original, r.revised) for r in got} == {(1, 0, 1), (3, 2, 3)}
+    got = plans.revision_pairs(spark, str(tmp_path)).collect()
+    assert {(r.pair_id, r.original, r.revised) for r in got} == {(1, 0, 1), (7, 0, 7), (8, 4, 8), (10, 6, 10)}
 
 
 def test_outline_edits_reach_every_level(spark, small):

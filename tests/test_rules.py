@@ -149,6 +149,10 @@ def test_log_lines_hide_secrets(spark):
     for line, shown in (
         ("password=abc def", "password=*** def"), ('Token: "two words" end', "Token: *** end"), ("my secret : 'x y'", "my secret : ***"),
         ('"passphrase": 12', '"passphrase": ***'), ("token=", "token="), ("no word here", "no word here"), ("SECRET=a token=b", "SECRET=*** token=***"),
+        ("token: password: x", "token: *** x"), ("token=a:b=c d", "token=*** d"), ("token='a=b' secret=1", "token=*** secret=***"),
+        ("token='open end", "token=*** end"), ('say token" = "a secret: b" c', 'say token" = *** c'), ("mytoken\t=\tx\ny", "mytoken\t=\t***\ny"),
+        ("token == x", "token =*** x"), ("token is: x", "token is: x"), ("password:", "password:"), ("token=\u00e9\U0001f600 z", "token=*** z"),
+        ("secret='' x", "secret=*** x"), ("secret''=x", "secret''=x"), ("token= ", "token= "),
     ):
         assert one(spark, facts.scrubbed(F.col("t")), t=line) == shown
 
