@@ -127,7 +127,7 @@ class Stretches:
             begin.append(s - at[o] + np.array([b for _, b, _ in pieces], dtype=np.int64)[o])
             windows.append(count)
             offset.append(a - s)
-            gram.append(grams[a])
+            gram.append(_mixed(grams[a]))  # the least of many hashes are small ones; mixed again they are even
             whole.append(hashed.of(s, s + count + LEAST - 1))
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
         self.doc, self.begin, self.windows = join(doc, np.int64), join(begin, np.int64), join(windows, np.int64)
