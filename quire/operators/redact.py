@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions import let
-from quire.functions.text import collapsed, match_starts
+from quire.functions.text import at_word_edge, collapsed, match_starts
+from quire.operators.search import automaton_hits
 
 # Shares of the text size.
 SPACE_GAP, LINE_SHIFT = 0.15, 0.5
@@ -126,6 +127,30 @@ def match_boxes(chars: Column) -> Column:
     return F.filter(_merge(per_run, same_bar), lambda b: (b["width"] > 0) & (b["height"] > 0))
 
 
+def apart(starts: Column, size: Column) -> Column:
+    """Starts of matches that do not overlap, from the left."""
+    return F.aggregate(
+        starts,
+        F.array().cast("array<int>"),
+        lambda out, s: F.when(F.coalesce(F.try_element_at(out, F.lit(-1)) + size > s, F.lit(False)), out).otherwise(F.array_append(out, s)),
+    )
+
+
+def _matches(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Text and boxes of ``chars`` from ``start`` over ``size`` characters, where any has a box."""
+    cut = found.withColumn("found", F.slice("chars", F.col("start") + 1, F.col("size")))
+    return cut.select(
+        *keys, "doc_id", "page", "start", F.array_join(F.transform("found", lambda c: c["ch"]), "").alias("text"),
+        match_boxes(F.col("found")).alias("rects"),
+    ).where(F.size("rects") > 0)
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """Each page's characters as a reader sees them, and their text."""
+    chars = pages.select("doc_id", "page", reader_characters(F.col("items")).alias("chars"))
+    return chars.withColumn("text", F.array_join(F.transform("chars", lambda c: c["ch"]), ""))
+
+
 def find_text(
     pages: DataFrame, query: str, match_case: bool = False, whole_word: bool = False, cap: int | None = None
 ) -> DataFrame:
@@ -141,28 +166,43 @@ def find_text(
         pages = pages.where(F.lit(False))
     squeezed = F.regexp_replace(F.array_join("items.str", ""), r"[\s\u00a0]+", "")
     needle = wanted.replace(" ", "")
-    candidates = pages.where(F.contains(fold(squeezed), fold(F.lit(needle))))
-    chars = candidates.select("doc_id", "page", reader_characters(F.col("items")).alias("chars"))
-    texts = chars.withColumn("text", F.array_join(F.transform("chars", lambda c: c["ch"]), ""))
+    texts = _read(pages.where(F.contains(fold(squeezed), fold(F.lit(needle)))))
     starts = match_starts(fold(F.col("text")), fold(F.lit(wanted)), True, whole_word)
-    apart = F.aggregate(
-        starts,
-        F.array().cast("array<int>"),
-        lambda out, s: F.when(
-            F.coalesce(F.try_element_at(out, F.lit(-1)) + len(wanted) > s, F.lit(False)), out
-        ).otherwise(F.array_append(out, s)),
+    found = texts.select("doc_id", "page", "chars", F.explode(apart(starts, F.lit(len(wanted)))).alias("start"), F.lit(len(wanted)).alias("size"))
+    matches = _matches(found, [])
+    return matches if cap is None else matches.orderBy("doc_id", "page", "start").limit(cap)
+
+
+def find_phrases(pages: DataFrame, phrases: DataFrame, match_case: bool = False, whole_word: bool = False) -> DataFrame:
+    """Matches of a list of phrases: ``phrase_id, doc_id, page, start, text, rects``.
+
+    Spaced and folded as ``find_text`` does; matches of one phrase never overlap, those
+    of different phrases may.  The list, of a size the caller has measured, is one
+    automaton that runs over each page's text without white space, and again over the
+    text as a reader sees it where that found something.
+    """
+    fold = (lambda c: c) if match_case else folded
+    spaced = phrases.select("phrase_id", collapsed(F.col("phrase")).alias("phrase")).where("phrase <> ''").select(
+        "phrase_id", fold(F.col("phrase")).alias("folded")
     )
-    found = texts.select("doc_id", "page", "chars", F.explode(apart).alias("start")).select(
-        "doc_id", "page", "start", F.slice("chars", F.col("start") + 1, F.lit(len(wanted))).alias("found")
+    squeeze = lambda c: F.regexp_replace(c, r"[\s\u00a0]+", "")
+    narrow = pages.withColumn("squeezed", fold(squeeze(F.array_join("items.str", ""))))
+    held = automaton_hits(narrow.select("doc_id", "page", "items", "squeezed"), "squeezed", spaced.withColumn("folded", squeeze(F.col("folded"))))
+    texts = _read(held.select("doc_id", "page", "items")).withColumn("folded", fold(F.col("text")))
+    hits = automaton_hits(texts, "folded", spaced).withColumn("ids", F.array_distinct("hits.phrase_id"))
+
+    def of_phrase(phrase_id: Column) -> Column:
+        mine = F.filter("hits", lambda h: h["phrase_id"] == phrase_id)
+        size = F.element_at(mine, 1)["size"]
+        starts = F.transform(mine, lambda h: h["start"])
+        if whole_word:
+            starts = F.filter(starts, lambda s: at_word_edge(F.col("folded"), s - 1) & at_word_edge(F.col("folded"), s + size))
+        return F.struct(phrase_id.alias("phrase_id"), size.alias("size"), apart(starts, size).alias("starts"))
+
+    found = hits.select("doc_id", "page", "chars", F.explode(F.transform("ids", of_phrase)).alias("p")).select(
+        "doc_id", "page", "chars", "p.phrase_id", "p.size", F.explode("p.starts").alias("start")
     )
-    matches = found.select(
-        "doc_id",
-        "page",
-        "start",
-        F.array_join(F.transform("found", lambda c: c["ch"]), "").alias("text"),
-        match_boxes(F.col("found")).alias("rects"),
-    ).where(F.size("rects") > 0)
-    return matches if cap is None else matches.orderBy("doc_id", "page", "start").limit(cap)
+    return _matches(found, ["phrase_id"])
 
 
 def page_classes(pages: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.functions import ranges
-from quire.functions.text import WORD_CHARACTER, excerpt, match_starts
+from quire.functions import let, ranges
+from quire.functions.text import WORD_CHARACTER, at_word_edge, excerpt, match_starts
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
 
@@ -113,49 +120,120 @@ def rects_by_item_join(hits: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-# Above this many bytes of phrase text the phrase list is shuffled, not broadcast.
-BROADCAST_BYTES = 32 << 20
+# Above this many bytes of phrase text the list is shuffled by anchors, not sent to the
+# pages: an automaton takes some fifty bytes a character in every worker.
+BROADCAST_BYTES = 2 << 20
 GRAM = 3
+_WORD, _EDGE = f"{WORD_CHARACTER}+", r"[^\p{L}\p{N}_]"
+
+
+class Automaton:
+    """A phrase list as one automaton (states with failure links), run once over a text."""
+
+    held: dict[int, "Automaton"] = {}
+
+    def __init__(self, phrases: list[tuple[object, str]]):
+        self.ids: dict[str, list[object]] = {}
+        for phrase_id, folded in phrases:
+            self.ids.setdefault(folded, []).append(phrase_id)
+        self.machine = ahocorasick.Automaton()
+        for folded in self.ids:
+            self.machine.add_word(folded, folded)
+        self.machine.make_automaton()
+
+    @classmethod
+    def of(cls, sent) -> "Automaton":
+        """The automaton of a broadcast list, made once in a worker; the last one is kept."""
+        if sent.id not in cls.held:
+            cls.held = {sent.id: cls(sent.list.value)}
+        return cls.held[sent.id]
+
+    def hits(self, text: str | None) -> list[dict]:
+        """Every occurrence, overlapping ones too, by phrase: ``phrase_id``, ``start``, ``size``."""
+        if not text or not self.ids:
+            return []
+        return [
+            {"phrase_id": i, "start": end - len(found) + 1, "size": len(found)}
+            for end, found in self.machine.iter(text) for i in self.ids[found]
+        ]
+
+
+class SentList:
+    """A broadcast phrase list under a name of its own."""
+
+    def __init__(self, spark, phrases: list[tuple[object, str]]):
+        self.id, self.list = uuid.uuid4().hex, spark.sparkContext.broadcast(phrases)
+
+
+def automaton_hits(frame: DataFrame, folded: str, phrases: DataFrame) -> DataFrame:
+    """Rows of ``frame`` whose text ``folded`` holds a phrase, with ``hits``; rows do not move.
+
+    ``phrases``: phrase_id, folded, of a size that its caller has measured.
+    """
+    sent = SentList(frame.sparkSession, [(r[0], r[1]) for r in phrases.select("phrase_id", "folded").collect()])
+    kind = phrases.schema["phrase_id"].dataType
+    hit = T.ArrayType(T.StructType([T.StructField("phrase_id", kind), T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())]))
+    arrow = to_arrow_type(hit)
+    at = frame.columns.index(folded)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Automaton.of(sent)
+        for batch in batches:
+            hits = [machine.hits(text) for text in batch.column(at).to_pylist()]
+            kept = pa.array([bool(h) for h in hits])
+            columns = [c.filter(kept) for c in batch.columns] + [pa.array([h for h in hits if h], type=arrow)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "hits"])
+
+    return frame.mapInArrow(scan, T.StructType([*frame.schema.fields, T.StructField("hits", hit)]))
 
 
 def _anchored(phrases: DataFrame) -> DataFrame:
-    """Each phrase with one anchor every occurrence must contain.
+    """Each phrase with one anchor that every page with an occurrence has.
 
-    The anchor is the longest word with a word edge on both sides inside the
-    phrase; a phrase without one is anchored by its first characters.
+    Its longest word with both edges inside the phrase; or else the end of the word it
+    begins in, or the beginning of the word it ends in, up to three characters; or else
+    the first characters of a phrase inside one word; or its first character, where it
+    has no word.
     """
-    inner = F.regexp_extract_all(
-        F.col("folded"),
-        F.lit(f"(?<=[^\\p{{L}}\\p{{N}}_]){WORD_CHARACTER}+(?=[^\\p{{L}}\\p{{N}}_])"),
-        F.lit(0),
-    )
-    longest = F.element_at(
-        F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1
-    )["w"]
-    return phrases.withColumn(
-        "anchor",
-        F.when(F.size(inner) > 0, F.concat(F.lit("w"), longest)).otherwise(
-            F.concat(
-                F.least(F.length("folded"), F.lit(GRAM)).cast("string"),
-                F.substring("folded", 1, GRAM),
-            )
-        ),
-    )
+    inner = F.regexp_extract_all("folded", F.lit(f"(?<={_EDGE}){_WORD}(?={_EDGE})"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    head, tail = F.regexp_extract("folded", f"^({_WORD}){_EDGE}", 1), F.regexp_extract("folded", f"{_EDGE}({_WORD})$", 1)
 
+    def gram(tag: str, value: Column, take) -> Column:
+        size = F.least(F.length(value), F.lit(GRAM))
+        return F.concat(F.lit(tag), size.cast("string"), take(value, size))
 
-def _anchors_of(folded: Column, gram_sizes: list[int]) -> Column:
-    words = F.transform(
-        F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{WORD_CHARACTER}+"), F.lit(0))),
-        lambda w: F.concat(F.lit("w"), w),
+    inside = F.regexp_extract("folded", f"^{_WORD}$", 0)
+    anchor = (
+        F.when(F.size(inner) > 0, F.concat(F.lit("w0"), longest))
+        .when((head != "") & (F.length(head) >= F.length(tail)), gram("s", head, F.right))
+        .when(tail != "", gram("p", tail, F.left))
+        .when(inside != "", gram("i", inside, F.left))
+        .otherwise(gram("c", F.left("folded", F.lit(1)), F.left))
     )
-    sets = [words]
-    for size in gram_sizes:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(folded) - size + 1, F.lit(1))),
-            lambda i: F.concat(F.lit(str(size)), F.substring(folded, i, F.lit(size))),
-        )
-        sets.append(F.array_distinct(grams))
-    return F.concat(*sets)
+    return phrases.withColumn("anchor", anchor)
+
+
+def _anchors_of(folded: Column, tags: list[str]) -> Column:
+    """The anchors of the kinds in ``tags`` (``w0``, ``s2`` ...) that a page has, from its distinct words."""
+    words = F.array_distinct(F.regexp_extract_all(folded, F.lit(_WORD), F.lit(0)))
+
+    def of_kind(words: Column, tag: str) -> Column:
+        kind, size = tag[0], int(tag[1])
+        if kind == "c":
+            made = F.array_distinct(F.split(folded, ""))
+        elif kind == "w":
+            made = words
+        else:
+            long = F.filter(words, lambda w: F.length(w) >= size)
+            if kind == "i":
+                each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size)))
+                made = F.array_distinct(F.flatten(F.transform(long, each)))
+            else:
+                made = F.array_distinct(F.transform(long, lambda w: (F.right if kind == "s" else F.left)(w, F.lit(size))))
+        return F.transform(made, lambda x: F.concat(F.lit(tag), x))
+
+    return let(words, lambda w: F.concat(*[of_kind(w, t) for t in tags]))
 
 
 def search_phrases(
@@ -167,10 +245,10 @@ def search_phrases(
 ) -> DataFrame:
     """Hits of a whole list of phrases: ``phrase_id, doc_id, page, start, end, excerpt``.
 
-    Never pages x phrases: a page meets only the phrases whose anchor it holds.
-    A list within ``broadcast_bytes`` (measured) is sent to the pages, so no page
-    moves; a larger one meets the pages' anchors in a shuffle of keys alone and
-    the text is fetched for the pairs that matched.
+    Never pages x phrases.  A list within ``broadcast_bytes`` (measured) becomes an
+    automaton that runs once over each page, and no page moves.  A larger list meets the
+    pages by anchors in a shuffle of keys alone, and the text is fetched for the pairs
+    that matched.  Blank phrases find nothing.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     listed = (
@@ -178,44 +256,30 @@ def search_phrases(
         .withColumn("folded", fold(F.col("phrase")))
         .where(F.length(F.regexp_replace("phrase", r"\s", "")) > 0)
     )
-    listed = _anchored(listed)
-    facts = listed.agg(
-        F.coalesce(F.sum(F.octet_length("phrase") + 64), F.lit(0)).alias("bytes"),
-        F.array_sort(F.collect_set(F.when(~F.startswith("anchor", F.lit("w")), F.length("anchor") - 1))).alias("grams"),
-    ).first()
-    anchors = F.explode(_anchors_of(fold(F.col("text")), list(facts["grams"])))
-    if facts["bytes"] <= broadcast_bytes:
-        paired = pages.select("doc_id", "page", "text", anchors.alias("anchor")).join(
-            F.broadcast(listed), "anchor"
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("phrase") + 64), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        texts = pages.select("doc_id", "page", "text", fold(F.col("text")).alias("folded"))
+        found = (
+            automaton_hits(texts, "folded", listed).select("doc_id", "page", "text", F.explode("hits").alias("hit"))
+            .select("hit.phrase_id", "doc_id", "page", "text", "hit.start", (F.col("hit.start") + F.col("hit.size")).alias("end"))
         )
+        if whole_word:
+            found = found.where(at_word_edge(F.col("text"), F.col("start") - 1) & at_word_edge(F.col("text"), F.col("end")))
     else:
+        listed = _anchored(listed)
+        tags = [r[0] for r in listed.select(F.left("anchor", F.lit(2))).distinct().collect()]
         keys = (
-            pages.select("doc_id", "page", anchors.alias("anchor"))
+            pages.select("doc_id", "page", F.explode(_anchors_of(fold(F.col("text")), tags)).alias("anchor"))
             .join(listed.select("anchor", "phrase_id"), "anchor")
             .select("doc_id", "page", "phrase_id")
         )
-        paired = keys.join(listed.drop("anchor"), "phrase_id").join(
-            pages.select("doc_id", "page", "text"), ["doc_id", "page"]
-        )
-    return (
-        paired.where(F.contains(fold(F.col("text")), F.col("folded")))
-        .select(
-            "phrase_id",
-            "phrase",
-            "doc_id",
-            "page",
-            "text",
+        paired = keys.join(listed.drop("anchor"), "phrase_id").join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+        found = paired.where(F.contains(fold(F.col("text")), F.col("folded"))).select(
+            "phrase_id", "doc_id", "page", "text", F.length("phrase").alias("size"),
             F.explode(match_starts(F.col("text"), F.col("phrase"), case_sensitive, whole_word)).alias("start"),
-        )
-        .withColumn("end", F.col("start") + F.length("phrase"))
-        .select(
-            "phrase_id",
-            "doc_id",
-            "page",
-            "start",
-            "end",
-            excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt"),
-        )
+        ).withColumn("end", F.col("start") + F.col("size"))
+    return found.select(
+        "phrase_id", "doc_id", "page", "start", "end", excerpt(F.col("text"), F.col("start"), F.col("end")).alias("excerpt")
     )
 
 

@@ -23,6 +23,23 @@ def find_for_redaction(spark, folder):
     return ops.find_text(pages_of(spark, folder), "En  la", whole_word=True).select("doc_id", "page", "start", "text")
 
 
+@query(
+    "redaction_phrases",
+    "Q3 W8 H3",
+    f"""WITH {q.PAGES}, rt AS (SELECT doc_id, page, regexp_replace(ltrim(replace(text, chr(10), ' ')), '[\\s\\x{{a0}}]+', ' ', 'g') AS t FROM page_text),
+    w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+    phrase AS (SELECT item_id, trim(array_to_string(list_slice(w, 1, 4), ' ')) AS phrase FROM w),
+    hit AS (SELECT item_id, doc_id, page, t, phrase, unnest({q.starts("lower(t)", "lower(phrase)")}) AS start FROM rt JOIN phrase ON phrase <> '' AND contains(lower(t), lower(phrase)))
+    SELECT item_id AS phrase_id, doc_id, page, start, substr(t, start + 1, length(phrase)) AS text FROM hit""",
+)
+def redaction_phrases(spark, folder):
+    """The first four words of each benchmark text, wherever a reader sees them."""
+    phrases = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("phrase_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("phrase")
+    )
+    return ops.find_phrases(pages_of(spark, folder), phrases).select("phrase_id", "doc_id", "page", "start", "text")
+
+
 @query("redaction_bars", "Q3 L4 J11")
 def redaction_bars(spark, folder):
     found = ops.find_text(pages_of(spark, folder), "tion de", match_case=True)
