@@ -1,98 +1,78 @@
-"""Line dedup by winnowing over word hashes.
-
-A text is a sequence of words, so that a passage is seen wherever it starts and ends,
-inside a line or a sentence as well.  The hash of ``GRAM_WORDS`` words in a row is a
-gram; from every stretch of ``RUN_WORDS`` words the least gram is a fingerprint.
-Whatever two texts share over such a stretch has a fingerprint in both.  A
-fingerprint's first place in the corpus meets all its later places, each match is
-extended both ways on the words themselves, and the later runs are deleted.
+"""Line dedup by winnowing over line hashes.
+
+A text is a sequence of units: its lines, cut behind sentence ends; what is longer than
+``LONG`` words is cut on, where the hash of two neighbouring words is the least of
+``CUT_WINDOW`` in a row, so that a passage inside a long line has its own cuts wherever
+it stands.  A gram is whole units of ``GRAM_WORDS`` words or more; from every stretch of
+whole units with ``STRETCH_WORDS`` words the least gram is a fingerprint.  Whatever two
+texts share over ``RUN_WORDS`` words holds such a stretch whole, so it has a fingerprint
+in both.
+
+A fingerprint's first place in the corpus meets all its later places.  Each match is
+extended both ways on the words, beyond the units at its ends, and a later match of
+``LEAST_WORDS`` words or more is deleted.
 """
 
 from __future__ import annotations
 
-import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.runs import common_prefix
 from quire.llm.shared import packed, pick, stored, unpacked
 
-GRAM_WORDS = 30
 RUN_WORDS = 50
-WORD = re.compile(r"\s*\S+")
-SENTENCE = re.compile(r"(?<=[.!?])(?=\x20)")
+LEAST_WORDS = 30
+LONG, CUT_WINDOW = 10, 7
+# A run of RUN_WORDS loses less than LONG words to the units at each of its ends, and a
+# stretch must hold a gram that goes on to the end of its last unit.
+STRETCH_WORDS = RUN_WORDS - 2 * LONG
+GRAM_WORDS = STRETCH_WORDS - LONG - 2
 # Words whose hashes a worker remembers.
 REMEMBERED = 100_000
-# Up to so many rows (about 20 MB), the keys of the texts to compare are broadcast.
+# Bytes of text whose units are worked out at once; a longer text is taken alone.
+STREAM_BYTES = 1 << 20
+# Up to so many rows (about 50 MB at most), keys and runs are broadcast.
 SMALL = 500_000
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
 
-def units_of(text: str) -> list[tuple[int, str]]:
-    """(line number, piece) of every piece; a line's pieces laid end to end are the line."""
-    return [(i, piece) for i, line in enumerate(text.split("\n")) for piece in SENTENCE.split(line)]
+def _power(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def hashed_units(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word count of every unit that has a word."""
-    hashes, words = [], []
-    for _, piece in units_of(text):
-        parts = piece.split()
-        if parts:
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(parts)))
-            words.append(len(parts))
-    return np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64)
+_POWERS, _BACKS = _power(_ODD, 1), _power(_BACK, 1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = value ^ (value >> np.uint64(31))
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    return value ^ (value >> np.uint64(29))
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(gram hash, first unit), the least gram of every stretch of ``run`` words, the last of equals."""
-    n = len(hashes)
-    upto = np.concatenate([[0], np.cumsum(words)])
-    gram_end = np.searchsorted(upto, upto[:-1] + gram)  # units [i, end) hold the gram
-    run_end = np.searchsorted(upto, upto[:-1] + run)
-    whole = int(np.searchsorted(run_end, n, side="right"))  # stretches that fit
-    if not whole:
-        return []
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_ODD, n), dtype=np.uint64)])
-    fits = int(np.searchsorted(gram_end, n, side="right"))
-    ends = gram_end[:fits]
-    value = (sums[ends] - sums[:fits]) * _powers(_BACK, fits)
-    value ^= value >> np.uint64(31)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    value ^= value >> np.uint64(29)
-    values, ends = value.tolist(), ends.tolist()
-    last_ends = run_end[:whole].tolist()
-    least: deque[int] = deque()
-    found, j = [], 0
-    for i, end in enumerate(last_ends):
-        while j < fits and ends[j] <= end:
-            while least and values[least[-1]] >= values[j]:
-                least.pop()
-            least.append(j)
-            j += 1
-        while least[0] < i:
-            least.popleft()
-        if not found or found[-1] != least[0]:
-            found.append(least[0])
-    return [(values[p], p) for p in found]
+def _spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [begin, end) of the values."""
+    global _POWERS, _BACKS
+    if len(_POWERS) <= len(values):
+        _POWERS, _BACKS = _power(_ODD, 2 * len(values) + 1), _power(_BACK, 2 * len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _POWERS[: len(values)], dtype=np.uint64)])
+    return _mixed((sums[end] - sums[begin]) * _BACKS[begin])
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        made = xxhash.xxh3_64_intdigest(word)
+    """Hashes of words; the lowest bit tells whether a word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        made = xxhash.xxh3_64_intdigest(word) & ~1 | word.endswith((b".", b"!", b"?"))
         if len(self) < REMEMBERED:
             self[word] = made
         return made
@@ -101,120 +81,185 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def hashed_words(text: str) -> np.ndarray:
-    """Hash of every word."""
+def hashed_words(text: bytes) -> np.ndarray:
+    """Hash of every word; words are parted by a blank and the bytes 9 to 13."""
     words = text.split()
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def word_fingerprints(hashes: np.ndarray, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes and first words: the least gram of every stretch of ``run`` words, the last of equals.
-
-    Grams are compared by their upper 32 bits, those of equal ones by their places.
-    """
-    n = len(hashes)
-    if n < run:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    fits = n - gram + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_ODD, n), dtype=np.uint64)])
-    value = (sums[gram:] - sums[:fits]) * _powers(_BACK, fits)
-    value ^= value >> np.uint64(31)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    value ^= value >> np.uint64(29)
-    low = np.uint64(0xFFFFFFFF)
-    least, reach = (value & ~low) | (low - np.arange(fits, dtype=np.uint64)), 1
-    while reach < run - gram + 1:
-        step = min(reach, run - gram + 1 - reach)
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
-    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-    at = (low - (least & low)).astype(np.int64)
-    return value[at], at
-
-
-def repeated_runs(hits: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [start, end) of ``a`` that match ``b`` around the hits (place in a, place in b).
-
-    Hits are taken in order; one that lies in the run found last adds nothing.
-    """
-    runs: list[tuple[int, int]] = []
-    a, b = a.tolist(), b.tolist()
+def least_of_each(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the least value of each stretch [begin, end) stands, the last of equals (by upper bits)."""
+    low = np.uint64((1 << 26) - 1)
+    table = [(values & ~low) | (low - np.arange(len(values), dtype=np.uint64))]
+    size = end - begin
+    level = np.frexp(size.astype(np.float64))[1] - 1  # the largest power of two that fits
+    for k in range(1, int(level.max(initial=0)) + 1):
+        last, half = table[-1], 1 << (k - 1)
+        table.append(np.minimum(last[:-half], last[half:]) if len(last) > half else last[:0])
+    least = np.empty(len(begin), dtype=np.uint64)
+    for k, held in enumerate(table):
+        at = np.flatnonzero(level == k)
+        least[at] = np.minimum(held[begin[at]], held[end[at] - (1 << k)])
+    return (low - (least & low)).astype(np.int64)
+
+
+class Units:
+    """The words of several texts and where their units end."""
+
+    def __init__(self, texts: list[bytes]):
+        hashes, ends, sizes = [], [], []
+        for text in texts:
+            words, counts = [], []
+            for line in text.split(b"\n"):
+                words += line.split()
+                counts.append(len(words))
+            h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+            end = (h & np.uint64(1)).astype(bool)
+            counts = np.array(counts)
+            end[counts[counts > 0] - 1] = True
+            hashes.append(h)
+            ends.append(end)
+            sizes.append(len(words))
+        self.words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.doc_end = np.cumsum(sizes)
+        end = np.concatenate(ends) if ends else np.empty(0, bool)
+        self._cut_long(end)
+        self.end = np.flatnonzero(end) + 1
+        self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)[: len(self.end)]
+        self.hashes = _spans(self.words, self.start, self.end)
+
+    def _cut_long(self, end: np.ndarray) -> None:
+        """Cut units of more than LONG words behind the least of their pairs' hashes."""
+        stop = np.flatnonzero(end) + 1
+        begin = np.concatenate([[0], stop[:-1]]).astype(np.int64)[: len(stop)]
+        long = stop - begin > LONG
+        begin, stop = begin[long], stop[long]
+        windows = stop - 1 - begin - CUT_WINDOW + 1
+        first = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        if len(first):
+            pairs = _mixed(self.words[:-1] * np.uint64(_ODD) + self.words[1:])
+            end[least_of_each(pairs, first, first + CUT_WINDOW)] = True
+
+    def fingerprints(self, gram: int = GRAM_WORDS, stretch: int = STRETCH_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """Gram hashes and first units of the least gram of every stretch, in order."""
+        n = len(self.start)
+        edge = np.append(self.start, self.end[-1:] if n else 0)
+        until = self.doc_end[np.searchsorted(self.doc_end, self.start, side="right")] if n else edge[:0]
+        gram_end = np.searchsorted(edge, self.start + gram)
+        whole = np.flatnonzero(self.start + stretch <= until)
+        last = np.searchsorted(gram_end, np.searchsorted(edge, self.start[whole] + stretch), side="right")
+        fits = np.minimum(gram_end, n)
+        values = _spans(self.hashes, np.arange(n), fits)
+        at = np.unique(least_of_each(values, whole, last))
+        return values[at], at
+
+
+def matches(hits: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """Stretches [start, end) of ``a`` of ``least`` words or more that match ``b`` around the hits (place in a, place in b)."""
+    found: list[tuple[int, int]] = []
+    reached: dict[int, int] = {}  # by how far the places are apart: where the last match ends
+    a_back, b_back = a[::-1], b[::-1]
     for p, q in sorted(hits):
-        if runs and p < runs[-1][1]:
+        if reached.get(p - q, 0) > p:
             continue
-        start, end, first, last = p, p, q, q
-        while start > 0 and first > 0 and a[start - 1] == b[first - 1]:
-            start, first = start - 1, first - 1
-        while end < len(a) and last < len(b) and a[end] == b[last]:
-            end, last = end + 1, last + 1
-        if end > start:
-            runs.append((start, end))
-    return runs
+        end = p + common_prefix(a[p:], b[q:])
+        start = p - common_prefix(a_back[len(a) - p :], b_back[len(b) - q :])
+        reached[p - q] = end
+        if end - start >= least:
+            found.append((start, end))
+    return found
 
 
-def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
+def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The text without these words, and how many went; emptied lines go, blank lines stay."""
-    gone = set()
+    change = np.zeros(len(text) // 2 + 2, dtype=np.int64)
     for start, end in runs:
-        gone.update(range(start, end))
+        change[start] += 1
+        change[end] -= 1
+    gone = np.cumsum(change) > 0
     out, deleted, k = [], 0, 0
-    for line in text.split("\n"):
-        n = len(line.split())
-        lost = sum(i in gone for i in range(k, k + n))
+    for line in text.split(b"\n"):
+        words = line.split()
+        lost = int(gone[k : k + len(words)].sum())
         if lost:
             deleted += lost
-            line = "".join(m[0] for i, m in enumerate(WORD.finditer(line), k) if i not in gone).strip()
-        k += n
+            line = _kept(line, words, gone[k : k + len(words)])
+        k += len(words)
         if line or not lost:
             out.append(line)
-    return "\n".join(out), deleted
+    return b"\n".join(out), deleted
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint64).view(np.int64)
+def _kept(line: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
+    """The words left of a line, each with the blanks before it."""
+    out, at = [], 0
+    for word, g in zip(words, gone):
+        stop = line.index(word, at) + len(word)
+        if not g:
+            out.append(line[at:stop])
+        at = stop
+    return b"".join(out).strip()
 
 
+PRINT = pa.struct([("gram", pa.int64()), ("at", pa.int32())])
 LINED = "doc_id long, text_hash long, prints array<struct<gram:long,at:int>>"
 
 
-def _lined(batches: Iterator[pd.DataFrame], gram: int, run: int) -> Iterator[pd.DataFrame]:
+def _lined(batches: Iterator[pa.RecordBatch], gram: int, stretch: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = []
-        for text in batch["text"]:
-            grams, at = word_fingerprints(hashed_words(text or ""), gram, run)
-            prints.append([{"gram": g, "at": p} for g, p in zip(_signed(grams).tolist(), at.tolist())])
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "prints": prints})
+        texts = batch.column(2).to_pylist()
+        begin = held = 0
+        for i in range(len(texts) + 1):
+            if i == len(texts) or (held and held + len(texts[i]) > STREAM_BYTES):
+                units = Units(texts[begin:i])
+                grams, at = units.fingerprints(gram, stretch)
+                starts = units.start[at]
+                doc = np.searchsorted(units.doc_end, starts, side="right")
+                first = np.concatenate([[0], units.doc_end[:-1]]).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=i - begin))]).astype(np.int32)
+                inner = [pa.array(grams.view(np.int64)), pa.array((starts - first[doc]).astype(np.int32))]
+                prints = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(inner, fields=list(PRINT)))
+                yield pa.RecordBatch.from_arrays([batch.column(c)[begin:i] for c in (0, 1)] + [prints], names=["doc_id", "text_hash", "prints"])
+                begin, held = i, 0
+            if i < len(texts):
+                held += len(texts[i])
 
 
 RUNS = "doc_id long, text_hash long, runs array<struct<start:int,end:int>>"
 
 
-def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         runs = [
-            [{"start": s, "end": e} for s, e in repeated_runs([(h["at"], h["first_at"]) for h in hits], hashed_words(a), hashed_words(b))]
-            for hits, a, b in zip(batch["hits"], batch["text"], batch["first_text"])
+            [{"start": s, "end": e} for s, e in matches([(h["at"], h["first_at"]) for h in hits], hashed_words(a), hashed_words(b))]
+            for hits, a, b in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)])
         ]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "runs": runs})
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind)], names=["doc_id", "text_hash", "runs"])
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, stretch: int = STRETCH_WORDS) -> DataFrame:
     """The documents without later repeated runs of words; ``deleted_words`` tells how much went.
 
     Documents are in the order of their ids (null first), then of their texts' hashes.
-    Every run of ``run`` words or more that stands earlier in the corpus, or in the
-    same document, is found wherever it starts and ends; what matches around a
-    fingerprint goes as well.  A document whose words all repeat keeps an empty text.  Rows that repeat whole are
-    one document and come out alike.  Null and empty texts stay as they are; a table
-    without rows gives none; other columns travel along, and one named
+    Every run of fifty words or more that stands earlier in the corpus, or in the same
+    document, has a fingerprint that meets that fingerprint's first place; what matches
+    around it over thirty words or more goes.  A document whose words all repeat keeps
+    an empty text.  Rows that repeat whole are one document and come out alike.  Null
+    and empty texts stay as they are; texts of any length are read whole, a long one
+    alone; a table without rows gives none; other columns travel along, and one named
     ``deleted_words`` is replaced.
     """
     names = docs.columns
-    key = F.xxhash64(F.lit(5), "text")
-    read = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    rows = read.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_hash"), "text")
+    rows = pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(5), "text").alias("text_hash"), F.col("text").cast("binary").alias("text")
+    )
     # Rows that repeat whole have one key and the same prints; their hits are told once.
-    lined = stored(rows.mapInPandas(lambda batches: _lined(batches, gram, run), LINED).where(F.size("prints") > 0), "lined")
+    lined = stored(rows.mapInArrow(lambda batches: _lined(batches, gram, stretch), LINED).where(F.size("prints") > 0), "lined")
     prints = lined.select("doc_id", "text_hash", F.inline("prints"))
     # One small row for each fingerprint that has two places or more.
     first = stored(
@@ -230,15 +275,14 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -
         .agg(F.collect_set(F.struct("at", "first_at")).alias("hits")),
         "matched-places",
     )
-    # Runs end inside lines, so they are told on the texts, each fetched once.
+    # Runs end inside units, so they are told on the texts, each fetched once.
     wanted = stored(
         pairs.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
         .union(pairs.select("first_id", "first_hash")).distinct(),
         "texts-wanted",
     )
-    small = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     texts = stored(
-        rows.join(small, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
+        rows.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
         .groupBy("w_id", "w_hash").agg(F.first("text").alias("text")),
         "texts-found",
     )
@@ -250,22 +294,27 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, run: int = RUN_WORDS) -
         .join(later, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash")))
         .select("doc_id", "text_hash", "hits", "text", "first_text")
     )
-    runs = (
-        matched.mapInPandas(_extended, RUNS).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-        .select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "runs")
+    runs = stored(
+        matched.mapInArrow(_extended, RUNS).where(F.size("runs") > 0)
+        .groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        .select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "runs"),
+        "runs",
     )
 
     @F.pandas_udf("text string, deleted_words long")
     def rewritten(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if r is None else without(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(text, runs)]
-        return pd.DataFrame(out, columns=["text", "deleted_words"])
+        out = [(b"", 0) if r is None else without(t, [(x["start"], x["end"]) for x in r]) for t, r in zip(text, runs)]
+        return pd.DataFrame({"text": [t.decode() for t, _ in out], "deleted_words": [n for _, n in out]})
 
-    whole = packed(docs, "doc_id", "text").withColumn("hash", key)
+    # Where the runs are small they go to the documents, so untouched texts never move.
+    at = next(i for i, name in enumerate(names) if name == "text")
+    text = F.col(f"row.c{at}")
+    whole = packed(docs, "doc_id").withColumn("hash", F.xxhash64(F.lit(5), text))
     return (
-        whole.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash")), "left")
-        .withColumn("new", rewritten(F.when(F.col("runs").isNotNull(), F.col("text")), "runs"))
+        whole.join(_small(runs), F.col("doc_id").cast("long").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash")), "left")
+        .withColumn("new", rewritten(F.when(F.col("runs").isNotNull(), text.cast("binary")), "runs"))
         .select(*unpacked(names, {
-            "text": F.when(F.col("runs").isNotNull(), F.col("new.text")).otherwise(F.col("text")),
+            "text": F.when(F.col("runs").isNotNull(), F.col("new.text")).otherwise(text),
             "deleted_words": F.coalesce("new.deleted_words", F.lit(0).cast("long")),
         }))
     )
