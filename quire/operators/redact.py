@@ -266,43 +266,47 @@ def mark_texts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("id", "doc_id", "page").agg(collapsed(joined).alias("text"))
 
 
+def _kept_pieces(item: Column, marks: Column) -> Column:
+    """The pieces of an item that its page's marks leave; whole where no mark meets it."""
+    piece = lambda n, text, x, width: F.struct(
+        item["seq"].alias("seq"), n.alias("piece"), text.alias("str"), x.alias("x"), item["y"].alias("y"), width.alias("width"), item["height"].alias("height")
+    )
+    box = g.rect(item["x"], item["y"] + item["height"] * DESCENT, item["width"], item["height"] * (ASCENT - DESCENT))
+    met = F.exists(marks, lambda m: (m["x"] <= g.right(box)) & (box["x"] <= g.right(m)) & (m["y"] <= g.top(box)) & (box["y"] <= g.top(m)))
+    whole = F.array(piece(F.lit(0), item["str"], item["x"], item["width"]))
+
+    def cut(glyphs: Column) -> Column:
+        gone = F.transform(glyphs, lambda c: F.exists(marks, lambda m: g.glyph_covered(g.rect(c["x"], c["y"], c["width"], c["height"]), m)))
+
+        def split(gone: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(gone, i), F.lit(True))  # noqa: E731  beyond both ends nothing is kept
+            every = F.sequence(F.lit(0), F.size(gone) - 1)
+            begins = F.filter(every, lambda i: ~at(i) & at(i - 1))
+            ends = F.filter(every, lambda i: ~at(i) & at(i + 1))
+            return F.transform(
+                F.arrays_zip(begins.alias("b"), ends.alias("e")),
+                lambda r, n: piece(
+                    n, F.substring(item["str"], r["b"] + 1, r["e"] - r["b"] + 1), F.get(glyphs, r["b"])["x"],
+                    (item["width"] / F.length(item["str"])) * (r["e"] - r["b"] + 1),
+                ),
+            )
+
+        return let(gone, split)
+
+    return F.when(met, let(item_glyphs(item), cut)).otherwise(whole)
+
+
 def redacted_items(pages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Items of marked pages with covered glyphs gone: ``doc_id, page, seq, str, x, y``.
+    """Items of marked pages with covered glyphs gone: ``doc_id, page, seq, piece, str, x, y, width, height``.
 
     Kept glyphs stay where they were drawn; an item cut in the middle becomes the
-    pieces on either side.
+    pieces on either side.  A page's marks come to its row, and the glyphs of the items
+    they meet are cut inside it, so no glyph moves.
     """
-    touched = pages.join(marks.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
-    gone = marked_glyphs(pages, marks).select("doc_id", "page", "run", "glyph").distinct()
-    kept = glyphs(touched).join(gone, ["doc_id", "page", "run", "glyph"], "left_anti")
-    gathered = kept.groupBy("doc_id", "page", "run").agg(
-        F.sort_array(F.collect_list(F.struct("glyph", "ch", "x", "y", "width", "height"))).alias("glyphs")
-    )
-    # A piece begins where the glyph before it went.
-    starts = F.filter(
-        "glyphs",
-        lambda c, i: (i == 0) | (F.element_at("glyphs", F.greatest(i, F.lit(1)))["glyph"] < c["glyph"] - 1),
-    )
-    cut = gathered.withColumn("starts", F.transform(starts, lambda c: c["glyph"]))
-    pieces = F.transform(
-        "starts",
-        lambda s, i: F.filter(
-            "glyphs",
-            lambda c: (c["glyph"] >= s)
-            & (c["glyph"] < F.coalesce(F.try_element_at("starts", i + 2), F.lit(2147483647))),
-        ),
-    )
-    return cut.select("doc_id", "page", F.col("run").alias("seq"), F.posexplode(pieces).alias("piece", "part")).select(
-        "doc_id",
-        "page",
-        "seq",
-        "piece",
-        F.array_join(F.transform("part", lambda c: c["ch"]), "").alias("str"),
-        F.element_at("part", 1)["x"].alias("x"),
-        (F.element_at("part", 1)["y"] - F.element_at("part", 1)["height"] * DESCENT / (ASCENT - DESCENT)).alias("y"),
-        F.aggregate("part", F.lit(0.0), lambda t, c: t + c["width"]).alias("width"),
-        (F.element_at("part", 1)["height"] / (ASCENT - DESCENT)).alias("height"),
-    )
+    box = g.rect(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    by_page = marks.groupBy("doc_id", "page").agg(F.collect_list(box).alias("marks"))
+    marked = pages.select("doc_id", "page", F.filter("items", lambda i: i["str"] != "").alias("items")).join(by_page, ["doc_id", "page"])
+    return marked.select("doc_id", "page", F.inline(F.flatten(F.transform("items", lambda i: _kept_pieces(i, F.col("marks"))))))
 
 
 def left_under_marks(items: DataFrame, marks: DataFrame) -> DataFrame:
@@ -355,16 +359,78 @@ def disposition(kind: Column, touched: Column, inside: Column, lossless: Column,
     )
 
 
-def closed_over_links(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """Hits with everything tied to them, either way, however far the chain goes.
+def closed_under_marks(hits: DataFrame, links: DataFrame, widgets: DataFrame) -> DataFrame:
+    """Hits with all that goes with them, however far the chain: ``doc_id, object, by``.
+
+    ``hits``: doc_id, object; ``links``: doc_id, object, other (a comment and its pop-up,
+    or its parent: each shows the other's text, so they go either way); ``widgets``:
+    doc_id, object, field (a widget takes its whole field, with the widgets of other
+    pages).  ``by`` is ``mark`` for a hit and ``tie`` for what is tied to one.
 
-    ``hits``: doc_id, object; ``links``: doc_id, object, other.
+    A field is a node of its own between its widgets, so a field of n widgets is n
+    edges.  Each round follows only what the round before found.
     """
     from quire.operators.trees import reachable
 
-    both = links.unionByName(links.select("doc_id", F.col("other").alias("object"), F.col("object").alias("other")))
-    edges = both.select("doc_id", F.col("object").alias("source"), F.col("other").alias("target"))
-    return reachable(hits.select("doc_id", F.col("object").alias("node")), edges, ["doc_id"]).withColumnRenamed("node", "object")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    tie = lambda df, a, b: df.select("doc_id", a.alias("source"), b.alias("target"))
+    one, other = name("o", "object"), name("o", "other")
+    edges = (
+        tie(links, one, other).unionByName(tie(links, other, one))
+        .unionByName(tie(widgets, one, name("f", "field"))).unionByName(tie(widgets, name("f", "field"), one)).distinct()
+    )
+    kind = dict(hits.dtypes)["object"]
+    found = reachable(hits.select("doc_id", one.alias("node")), edges, ["doc_id"]).where(F.startswith("node", F.lit("o")))
+    rows = found.select("doc_id", F.substring("node", 2, 1 << 30).cast(kind).alias("object"))
+    direct = hits.select("doc_id", "object").distinct().withColumn("by", F.lit("mark"))
+    return rows.join(direct, ["doc_id", "object"], "left").select("doc_id", "object", F.coalesce("by", F.lit("tie")).alias("by"))
+
+
+# Why a page cannot be cut and becomes a picture, in the order they are told.
+RASTER_REASONS = {
+    "unreadable": "Part of this page is stored in a way {app} cannot read, so it cannot show that nothing is left under the marks.",
+    "unmeasured": "Some text under a mark is drawn in a font that does not say where its characters sit.",
+    "uncut": "Some text under a mark is written in a way {app} cannot take apart safely.",
+    "group": "Part of the page under a mark is drawn as a reusable group, which {app} cannot cut into.",
+    "inline": "A picture written into the page itself lies partly under a mark.",
+    "picture": "A picture under a mark could not be read.",
+}
+STAGES = {"unreadable": 0, "unmeasured": 1, "uncut": 1, "group": 2, "inline": 2, "picture": 2}
+
+
+def plan_pages(marks: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """What each marked page would become: ``doc_id, page, mode, reasons``.
+
+    ``marks``: doc_id, page; ``pages``: doc_id, page_count (marks beyond a document's
+    pages are left out); ``findings``: doc_id, page, ord, reason (a key of
+    ``RASTER_REASONS``), of the parts of the page the marks meet.  A page with a reason
+    becomes a picture, the others are cut; each reason counts once, those of the page
+    first, then of its text, then of its graphics, each in the order they are met.
+    """
+    asked = marks.join(pages.select("doc_id", "page_count"), "doc_id").where("page between 1 and page_count").select("doc_id", "page").distinct()
+    stage = F.element_at(F.create_map(*[F.lit(x) for pair in STAGES.items() for x in pair]), F.col("reason"))
+    # One row for each reason of a page, wherever how many times it was met.
+    first = findings.groupBy("doc_id", "page", "reason").agg(F.min("ord").alias("ord")).withColumn("stage", stage)
+    told = first.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("stage", "ord", "reason"))).alias("told"))
+    return asked.join(told, ["doc_id", "page"], "left").select(
+        "doc_id", "page", F.when(F.col("told").isNull(), "native").otherwise("raster").alias("mode"),
+        F.coalesce(F.transform("told", lambda t: t["reason"]), F.array().cast("array<string>")).alias("reasons"),
+    )
+
+
+def plan_marks(marks: DataFrame, texts: DataFrame, pictures: DataFrame, annotations: DataFrame) -> DataFrame:
+    """What each mark would take: ``doc_id, page, mark, text, images, annotations``.
+
+    ``marks``: doc_id, page, mark; ``texts``: mark, doc_id, page, text; the other two:
+    doc_id, page, mark and object, a row for each meeting.  Counts come before joins.
+    """
+    keys = ["doc_id", "page", "mark"]
+    counted = lambda df, name: df.groupBy(*keys).agg(F.countDistinct("object").alias(name))
+    return (
+        marks.select(*keys).distinct().join(texts.select(*keys, "text"), keys, "left")
+        .join(counted(pictures, "images"), keys, "left").join(counted(annotations, "annotations"), keys, "left")
+        .select(*keys, F.coalesce("text", F.lit("")).alias("text"), *[F.coalesce(n, F.lit(0)).alias(n) for n in ("images", "annotations")])
+    )
 
 
 def fresh_plans(plans: DataFrame, revisions: DataFrame) -> DataFrame:

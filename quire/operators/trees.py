@@ -287,3 +287,34 @@ def first_per(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """First occurrence wins: the row with the lowest ``by`` of each key."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("row")).select(*keys, "row.*")
+
+
+def names_found(nodes: DataFrame, entries: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of wanted names in name trees: ``keys, name, value, steps``.
+
+    ``nodes``: keys, node, parent (null at the root), low and high (the least and the
+    greatest name below; null where a node does not say); ``entries``: keys, node, name,
+    value; ``wanted``: keys, name.  The descent opens only kids whose limits hold a wanted
+    name.  A name visits a node once, so a tree that leads back into itself ends too;
+    where a name is found twice the entry nearest the root counts, then the lowest node.
+    """
+    at = cut_lineage(
+        wanted.select(*keys, "name").distinct().join(nodes.where("parent is null").select(*keys, "node"), keys).withColumn("steps", F.lit(0))
+    )
+    seen, step = at, 0
+    kids = nodes.where("parent is not null").select(*keys, F.col("parent").alias("node"), F.col("node").alias("kid"), "low", "high")
+    holds = (F.col("low").isNull() | (F.col("low") <= F.col("name"))) & (F.col("high").isNull() | (F.col("name") <= F.col("high")))
+    while not at.isEmpty():
+        step += 1
+        below = at.join(kids, [*keys, "node"]).where(holds).select(*keys, "name", F.col("kid").alias("node")).distinct()
+        at = cut_lineage(below.join(seen, [*keys, "name", "node"], "left_anti").withColumn("steps", F.lit(step)))
+        seen = cut_lineage(seen.unionByName(at))
+    met = seen.join(entries.select(*keys, "node", "name", "value"), [*keys, "node", "name"])
+    return met.groupBy(*keys, "name").agg(F.min_by(F.struct("value", "steps"), F.struct("steps", "node")).alias("found")).select(*keys, "name", "found.*")
+
+
+def names_of(nodes: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """All entries that the roots of name trees lead to: ``keys, name, value``; loops end."""
+    edges = nodes.where("parent is not null").select(*keys, F.col("parent").alias("source"), F.col("node").alias("target"))
+    there = reachable(nodes.where("parent is null").select(*keys, "node"), edges, keys)
+    return entries.join(there, [*keys, "node"]).select(*keys, "name", "value")

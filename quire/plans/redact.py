@@ -9,7 +9,7 @@ from quire.plans import shared_sql as q
 from quire.plans.geometry import _RECTS_SQL, rects
 from quire.plans.registry import query
 from quire.plans.search import pages_of
-from quire.session import table
+from quire.session import cut_lineage, table
 
 
 @query(
@@ -118,6 +118,88 @@ def left_under_marks(spark, folder):
     return ops.left_under_marks(items, marks_of(spark, folder)).agg(F.count("*").alias("glyphs_left"))
 
 
+# Order lines as objects of a document's page; the first line of an order also as a mark.
+_OBJECTS = f"""{_RECTS_SQL}, ob AS (SELECT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 AS object, l_linenumber AS line, l_partkey AS p, l_suppkey AS s, ax AS x, ay AS y, aw AS w, ah AS h FROM r),
+    mk AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey % 1000 AS mark, bx, by_, bw, bh FROM r WHERE l_linenumber <= 2),
+    met AS (SELECT DISTINCT doc_id, object, mark, p, s, line, x >= bx - 0.5 AND y >= by_ - 0.5 AND x + w <= bx + bw + 0.5 AND y + h <= by_ + bh + 0.5 AS inside
+      FROM (SELECT *, least(x + w, bx + bw) - greatest(x, bx) AS ow, least(y + h, by_ + bh) - greatest(y, by_) AS oh FROM ob JOIN mk USING (doc_id))
+      WHERE ow >= 0 AND oh >= 0 AND (ow * oh > 0 OR w * h = 0 OR bw * bh = 0))"""
+
+
+def marked_objects(spark, folder):
+    """Objects, the marks of the first two lines, and where they meet."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    r = cut_lineage(rects(spark, folder).select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 10000000 + p * 1000 + s % 1000).alias("object"),
+        F.col("l_linenumber").alias("line"), p.alias("p"), s.alias("s"), "a", "b",
+    ))
+    marks = r.where("line <= 2").select("doc_id", "page", F.col("object").alias("mark"), F.col("b").alias("box")).distinct()
+    objects = r.select("doc_id", "page", "object", "line", "p", "s", F.col("a").alias("box"))
+    met = ops.objects_under(objects.select("doc_id", "page", "object", "box"), marks).distinct()
+    return objects, marks, cut_lineage(met.join(objects.drop("box").distinct(), ["doc_id", "page", "object"]))
+
+
+@query(
+    "closed_under_marks",
+    "J3 J4 J5",
+    f"""WITH RECURSIVE {_OBJECTS}, o AS (SELECT DISTINCT doc_id, object, line, p, s FROM ob),
+    -- a line's object and the next line's are a comment and its pop-up; every third is a widget of one of two fields
+    e AS (SELECT a.doc_id, a.object AS x, b.object AS y FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.line = a.line + 1 AND a.p % 4 = 0
+      UNION SELECT a.doc_id, b.object, a.object FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.line = a.line + 1 AND a.p % 4 = 0
+      UNION SELECT a.doc_id, a.object, b.object FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.p % 3 = 0 AND b.p % 3 = 0 AND a.s % 2 = b.s % 2),
+    w AS (SELECT DISTINCT doc_id, object FROM met UNION SELECT e.doc_id, e.y FROM w JOIN e ON e.doc_id = w.doc_id AND e.x = w.object)
+    SELECT doc_id, object, CASE WHEN EXISTS (SELECT 1 FROM met m WHERE m.doc_id = w.doc_id AND m.object = w.object) THEN 'mark' ELSE 'tie' END AS by FROM w""",
+)
+def closed_under_marks(spark, folder):
+    objects, _, met = marked_objects(spark, folder)
+    o = objects.select("doc_id", "object", "line", "p", "s").distinct()
+    after = o.select("doc_id", (F.col("line") - 1).alias("line"), F.col("object").alias("other"))
+    links = o.where("p % 4 = 0").join(after, ["doc_id", "line"]).select("doc_id", "object", "other")
+    widgets = o.where("p % 3 = 0").select("doc_id", "object", (F.col("s") % 2).alias("field"))
+    return ops.closed_under_marks(met.select("doc_id", "object"), links, widgets)
+
+
+# What an object under a mark is, by its numbers: text (of two ways), a group, a picture of two kinds, or a comment.
+_REASON = """CASE WHEN p % 7 = 0 AND s % 2 = 0 THEN 'unmeasured' WHEN p % 7 = 1 AND s % 3 = 0 THEN 'uncut' WHEN p % 7 = 2 AND NOT inside THEN 'group' WHEN p % 7 = 3 AND NOT inside THEN 'inline' WHEN p % 7 = 4 AND NOT inside AND s % 4 = 0 THEN 'picture' END"""
+
+
+@query(
+    "redaction_plan_pages",
+    "Q4 A19 J22",
+    f"""WITH {_OBJECTS}, f AS (SELECT doc_id, object AS ord, {_REASON} AS reason FROM met UNION ALL SELECT o_orderkey, 0, 'unreadable' FROM orders WHERE o_orderkey % 17 = 0),
+    one AS (SELECT doc_id, reason, min(ord) AS ord, CASE reason WHEN 'unreadable' THEN 0 WHEN 'unmeasured' THEN 1 WHEN 'uncut' THEN 1 ELSE 2 END AS stage FROM f WHERE reason IS NOT NULL GROUP BY ALL),
+    t AS (SELECT doc_id, string_agg(reason, ', ' ORDER BY stage, ord, reason) AS reasons FROM one GROUP BY 1)
+    SELECT d.doc_id, 1::BIGINT AS page, CASE WHEN reasons IS NULL THEN 'native' ELSE 'raster' END AS mode, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT doc_id FROM mk) d LEFT JOIN t USING (doc_id)""",
+)
+def redaction_plan_pages(spark, folder):
+    _, marks, met = marked_objects(spark, folder)
+    found = met.select("doc_id", "page", F.col("object").alias("ord"), F.expr(_REASON).alias("reason")).where("reason is not null")
+    orders = table(spark, folder, "orders")
+    unreadable = orders.where("o_orderkey % 17 = 0").select(
+        F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).cast("bigint").alias("ord"), F.lit("unreadable").alias("reason")
+    )
+    pages = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page_count"))
+    plan = ops.plan_pages(marks, pages, found.unionByName(unreadable))
+    return plan.select("doc_id", "page", "mode", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@query(
+    "redaction_plan_marks",
+    "Q4 A19 J3 J6",
+    f"""WITH {_OBJECTS}, c AS (SELECT doc_id, mark, string_agg(chr((65 + p % 26)::INT), '' ORDER BY object) FILTER (WHERE p % 7 < 2) AS text, count(DISTINCT object) FILTER (WHERE p % 7 IN (3, 4)) AS images, count(DISTINCT object) FILTER (WHERE p % 7 > 4) AS annotations
+      FROM (SELECT DISTINCT doc_id, mark, object, p FROM met) GROUP BY ALL)
+    SELECT m.doc_id, m.mark, coalesce(text, '') AS text, coalesce(images, 0) AS images, coalesce(annotations, 0) AS annotations FROM (SELECT DISTINCT doc_id, mark FROM mk) m LEFT JOIN c USING (doc_id, mark)""",
+)
+def redaction_plan_marks(spark, folder):
+    _, marks, met = marked_objects(spark, folder)
+    kind = F.col("p") % 7
+    letters = met.where(kind < 2).select("doc_id", "page", "mark", "object", F.char((65 + F.col("p") % 26).cast("int")).alias("ch")).distinct()
+    texts = letters.groupBy("doc_id", "page", "mark").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("object", "ch"))), lambda c: c["ch"]), "").alias("text")
+    )
+    return ops.plan_marks(marks, texts, met.where(kind.isin(3, 4)), met.where(kind > 4)).drop("page")
+
+
 @query(
     "objects_under_marks",
     "J3 J6 J7 J22",

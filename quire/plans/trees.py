@@ -217,3 +217,48 @@ def layer_order(spark, folder):
         (line % 3).alias("depth"), (line * 1000000 + p * 100 + F.col("l_suppkey") % 100).alias("ord"),
     )
     return ops.first_per(rows, ["doc_id", "layer"], "ord")
+
+
+# Orders as the names of a name tree: eight to a leaf, four nodes to a node above, and in every
+# tree one node that leads back to the root.
+_NAMES = """n AS (SELECT o_custkey % 7 AS doc_id, lpad(o_orderkey::VARCHAR, 9, '0') AS name, o_custkey AS value, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS k FROM orders),
+want AS (SELECT doc_id, CASE WHEN value % 3 = 0 THEN name || 'x' ELSE name END AS name FROM n WHERE value % 2 = 0 OR value % 3 = 0)"""
+
+
+@query(
+    "name_tree_lookups",
+    "G9 J12",
+    f"""WITH {_NAMES} SELECT DISTINCT n.doc_id, n.name, n.value FROM n JOIN want USING (doc_id, name)""",
+)
+def name_tree_lookups(spark, folder):
+    nodes, entries = name_trees(spark, folder)
+    v = F.col("value")
+    wanted = entries.where((v % 2 == 0) | (v % 3 == 0)).select(
+        "doc_id", F.when(v % 3 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")).alias("name")
+    )
+    return ops.names_found(nodes, entries, wanted, ["doc_id"]).select("doc_id", "name", "value")
+
+
+@query("name_tree_entries", "G9", f"WITH {_NAMES} SELECT doc_id, name, value FROM n")
+def name_tree_entries(spark, folder):
+    return ops.names_of(*name_trees(spark, folder), ["doc_id"])
+
+
+def name_trees(spark, folder):
+    """Nodes of name trees, five levels and a root, with the limits of their names; and the entries of the leaves."""
+    order = Window.partitionBy("doc_id").orderBy("o_orderkey")
+    names = table(spark, folder, "orders").select(
+        (F.col("o_custkey") % 7).alias("doc_id"), "o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name"), F.col("o_custkey").alias("value")
+    )
+    placed = cut_lineage(names.withColumn("k", F.row_number().over(order) - 1))
+    node = lambda level: F.when(F.lit(level == 6), F.lit("root")).otherwise(F.concat(F.lit(f"{level}-"), F.floor(F.col("k") / (8 * 4 ** (level - 1))).cast("string")))
+    levels = [
+        placed.groupBy("doc_id", node(level).alias("node"), node(level + 1).alias("parent")).agg(F.min("name").alias("low"), F.max("name").alias("high"))
+        for level in range(1, 6)
+    ]
+    root = placed.select("doc_id", F.lit("root").alias("node"), *[F.lit(None).cast("string").alias(n) for n in ("parent", "low", "high")]).distinct()
+    loop = root.select("doc_id", "node", F.lit("1-0").alias("parent"), "low", "high")
+    nodes = root.unionByName(loop)
+    for level in levels:
+        nodes = nodes.unionByName(level)
+    return cut_lineage(nodes), placed.select("doc_id", node(1).alias("node"), "name", "value")
