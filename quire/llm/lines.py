@@ -16,16 +16,17 @@ extended both ways on the words, beyond the units at its ends, and a later match
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.runs import common_prefix
 from quire.llm.shared import packed, pick, stored, unpacked
+from quire.llm.suffixes import Hashed
 
 RUN_WORDS = 50
 LEAST_WORDS = 30
@@ -34,8 +35,6 @@ LONG, CUT_WINDOW = 10, 7
 # stretch must hold a gram that goes on to the end of its last unit.
 STRETCH_WORDS = RUN_WORDS - 2 * LONG
 GRAM_WORDS = STRETCH_WORDS - LONG - 2
-# Words whose hashes a worker remembers.
-REMEMBERED = 100_000
 # Bytes of text whose units are worked out at once; a longer text is taken alone.
 STREAM_BYTES = 1 << 20
 # Up to so many rows (about 50 MB at most), keys and runs are broadcast.
@@ -68,23 +67,26 @@ def _spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return _mixed((sums[end] - sums[begin]) * _BACKS[begin])
 
 
-class _Hashes(dict):
-    """Hashes of words; the lowest bit tells whether a word ends a sentence."""
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SENTENCE_END = np.zeros(256, dtype=bool)
+_SENTENCE_END[[ord(c) for c in ".!?"]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        made = xxhash.xxh3_64_intdigest(word) & ~1 | word.endswith((b".", b"!", b"?"))
-        if len(self) < REMEMBERED:
-            self[word] = made
-        return made
 
+def words_in(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, begin and end of every word; words are parted by a blank and the bytes 9 to 13.
 
-_HASHES = _Hashes()
+    The lowest bit of a hash tells whether the word ends a sentence.
+    """
+    edge = np.diff(np.concatenate([[True], _BLANK[raw], [True]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    hashes = Hashed(raw).of(begin, end) if len(begin) else np.empty(0, np.uint64)
+    return (hashes & ~np.uint64(1)) | _SENTENCE_END[raw[end - 1]], begin, end
 
 
 def hashed_words(text: bytes) -> np.ndarray:
-    """Hash of every word; words are parted by a blank and the bytes 9 to 13."""
-    words = text.split()
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    """Hash of every word."""
+    return words_in(np.frombuffer(text, dtype=np.uint8))[0]
 
 
 def least_of_each(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -107,22 +109,14 @@ class Units:
     """The words of several texts and where their units end."""
 
     def __init__(self, texts: list[bytes]):
-        hashes, ends, sizes = [], [], []
-        for text in texts:
-            words, counts = [], []
-            for line in text.split(b"\n"):
-                words += line.split()
-                counts.append(len(words))
-            h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-            end = (h & np.uint64(1)).astype(bool)
-            counts = np.array(counts)
-            end[counts[counts > 0] - 1] = True
-            hashes.append(h)
-            ends.append(end)
-            sizes.append(len(words))
-        self.words = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.doc_end = np.cumsum(sizes)
-        end = np.concatenate(ends) if ends else np.empty(0, bool)
+        raw = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+        self.words, begin, stop = words_in(raw)
+        self.doc_end = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))
+        end = (self.words & np.uint64(1)).astype(bool)
+        lines = np.cumsum(raw == 10)
+        if len(begin):
+            end[:-1] |= lines[begin[1:]] > lines[stop[:-1] - 1]
+            end[-1] = True
         self._cut_long(end)
         self.end = np.flatnonzero(end) + 1
         self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)[: len(self.end)]
@@ -154,20 +148,47 @@ class Units:
         return values[at], at
 
 
-def matches(hits: list[tuple[int, int]], a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Stretches [start, end) of ``a`` of ``least`` words or more that match ``b`` around the hits (place in a, place in b)."""
+_STEP = np.arange(32)
+
+
+def _common(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, way: int) -> np.ndarray:
+    """How many words ``a`` from each p and ``b`` from each q have in common, on or back, all looked at together.
+
+    Both sides are padded by a step at each end with words that differ.
+    """
+    total, open_, look = np.zeros(len(p), dtype=np.int64), np.arange(len(p)), way * _STEP
+    while len(open_):
+        at = way * total[open_]
+        differ = a[(p[open_] + at)[:, None] + look] != b[(q[open_] + at)[:, None] + look]
+        same = differ.argmax(axis=1)
+        on = ~differ[np.arange(len(same)), same]
+        total[open_] += np.where(on, len(look), same)
+        open_ = open_[on]
+    return total
+
+
+def _padded(words: np.ndarray, edge: int) -> np.ndarray:
+    out = np.full(len(words) + 2 * len(_STEP), edge, dtype=np.uint64)
+    out[len(_STEP) : len(_STEP) + len(words)] = words
+    return out
+
+
+def matches(hits: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """Stretches [start, end) of ``a`` of ``least`` words or more that match ``b`` around the hits (rows: place in a, place in b)."""
     found: list[tuple[int, int]] = []
-    reached: dict[int, int] = {}  # by how far the places are apart: where the last match ends
-    a_back, b_back = a[::-1], b[::-1]
-    for p, q in sorted(hits):
-        if reached.get(p - q, 0) > p:
-            continue
-        end = p + common_prefix(a[p:], b[q:])
-        start = p - common_prefix(a_back[len(a) - p :], b_back[len(b) - q :])
-        reached[p - q] = end
-        if end - start >= least:
-            found.append((start, end))
-    return found
+    a, b, pad = _padded(a, 0), _padded(b, 2**64 - 1), len(_STEP)
+    hits = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 1]))]
+    while len(hits):
+        # Of the hits that are equally far apart the first is extended; what it covers is done.
+        apart = hits[:, 0] - hits[:, 1]
+        first = np.flatnonzero(np.diff(apart, prepend=apart[0] - 1))
+        p, q = hits[first, 0], hits[first, 1]
+        end = p + _common(a, b, p + pad, q + pad, 1)
+        start = p - _common(a, b, p + pad - 1, q + pad - 1, -1)
+        long = end - start >= least
+        found += zip(start[long].tolist(), end[long].tolist())
+        hits = hits[hits[:, 0] >= np.repeat(end, np.diff(np.append(first, len(hits))))]
+    return sorted(found)
 
 
 def without(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -228,13 +249,22 @@ def _lined(batches: Iterator[pa.RecordBatch], gram: int, stretch: int) -> Iterat
 RUNS = "doc_id long, text_hash long, runs array<struct<start:int,end:int>>"
 
 
+@lru_cache(maxsize=64)
+def _remembered(text: bytes) -> np.ndarray:
+    return hashed_words(text)
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of each pair of texts; pairs of one text come one after another."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        runs = [
-            [{"start": s, "end": e} for s, e in matches([(h["at"], h["first_at"]) for h in hits], hashed_words(a), hashed_words(b))]
-            for hits, a, b in zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)])
-        ]
+        hits = batch.column(2)
+        places = np.stack([hits.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(hits).to_numpy(zero_copy_only=False))])
+        runs = []
+        for i, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            found = matches(places[cuts[i] : cuts[i + 1]], _remembered(a), _remembered(b))
+            runs.append([{"start": s, "end": e} for s, e in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind)], names=["doc_id", "text_hash", "runs"])
 
 

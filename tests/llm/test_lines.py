@@ -25,7 +25,7 @@ def units(text):
         if len(unit) <= lines.LONG:
             cut.append(unit)
             continue
-        h = [lines._HASHES[w] for w in unit]
+        h = [word_hash(w) for w in unit]
         pair = [mixed(x * lines._ODD + y) >> 26 for x, y in zip(h, h[1:])]
         behind = set()
         for i in range(len(pair) - lines.CUT_WINDOW + 1):
@@ -36,6 +36,10 @@ def units(text):
     return [u for u in cut if u]
 
 
+def word_hash(word):
+    return int(lines.hashed_words(word)[0])
+
+
 def mixed(x):
     x %= 2**64
     x ^= x >> 31
@@ -53,7 +57,7 @@ def poly(values):
 def grams(parts):
     """(the gram's words, first word) of each stretch's least gram, by looking at every gram of every stretch."""
     n = len(parts)
-    hashes = [poly([lines._HASHES[w] for w in p]) for p in parts]
+    hashes = [poly([word_hash(w) for w in p]) for p in parts]
     begin = [sum(map(len, parts[:i])) for i in range(n)]
 
     def end(i, size):
@@ -184,6 +188,18 @@ def test_passages_that_start_and_end_inside_sentences_go(spark):
     assert [(rows[i + 1]["deleted_words"], rows[i + 1]["text"]) for i in range(len(own))] == own
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab.!\u00e9\x0b\x85 \n\t", max_size=60))
+def test_words_and_their_hashes(text):
+    raw = text.encode()
+    hashes = lines.hashed_words(raw)
+    found = raw.split()
+    assert len(hashes) == len(found)
+    for h, w in zip(hashes.tolist(), found):
+        assert h == word_hash(w) and bool(h & 1) == w.endswith((b".", b"!", b"?"))
+    assert len(set(hashes.tolist())) == len(set(found))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 2**32), st.integers(50, 80), st.booleans())
 def test_shared_runs_share_a_fingerprint(seed, n, sentences):
