@@ -254,3 +254,89 @@ def reading_order(spark, folder):
     )
     found = ops.reading_order(tags, content, geometry)
     return found.select("doc_id", "number", "tag", "page", *[F.round(c, 4).alias(c) for c in ("x", "y", "width", "height")])
+
+
+# Order lines dealt over the tables of documents by their part, and two categories chosen for each document.
+_SANITIZE = """k AS (SELECT l_orderkey AS doc_id, l_partkey AS p, l_suppkey AS s FROM lineitem),
+held AS (SELECT doc_id, CASE WHEN p % 9 = 0 AND s % 3 > 0 THEN 'metadata' WHEN p % 9 = 1 THEN 'xmpMetadata' WHEN p % 9 = 2 THEN 'attachments' WHEN p % 9 = 3 AND s % 5 = 0 THEN 'documentJavaScript' WHEN p % 9 = 3 AND s % 5 IN (1, 4) THEN 'launchActions'
+   WHEN p % 9 = 4 AND (s % 64 & 34) <> 0 THEN 'hiddenAnnotations' WHEN p % 9 = 5 AND (s % 2 = 0 OR s % 7 = 0) THEN 'formData' WHEN p % 9 = 6 THEN 'thumbnails' WHEN p % 9 = 7 AND s % 2 = 0 THEN 'hiddenLayers' WHEN p % 9 = 8 THEN 'alternateImages' END AS category FROM k),
+c AS (SELECT ['metadata','xmpMetadata','attachments','documentJavaScript','launchActions','hiddenAnnotations','formData','thumbnails','hiddenLayers','alternateImages'] AS cs),
+d AS (SELECT o_orderkey AS doc_id, unnest([cs[o_orderkey % 10 + 1], cs[(o_orderkey // 10 + 3) % 10 + 1]]) AS category, o_custkey % 3 = o_orderkey % 3 AS fresh FROM orders, c),
+n AS (SELECT doc_id, category, count(*) AS before FROM held WHERE category IS NOT NULL GROUP BY 1, 2)"""
+
+
+def hidden_tables(spark, folder):
+    """Nine tables of documents, each a ninth of the order lines."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 10000000 + p * 1000 + s % 1000).alias("ord"), p, s
+    )
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    kinds = F.array(*[F.lit(t) for t in ("JavaScript", "Launch", "GoTo", "URI", "SubmitForm")])
+    columns = {
+        "metadata": [text("n", s % 4).alias("name"), F.when(s % 3 > 0, text("v", p)).otherwise(" ").alias("value")],
+        "xmp": [F.when(s % 2 == 0, s).alias("page")],
+        "attachments": [text("file", p).alias("file_name")],
+        "actions": [F.element_at(kinds, (s % 5 + 1).cast("int")).alias("type"), text("place ", s).alias("place")],
+        "annotations": [p.alias("id"), (s % 64).cast("int").alias("flags")],
+        "fields": [
+            text("f", p).alias("name"), F.when(s % 2 == 0, text("v", s)).alias("value"), F.when(s % 7 == 0, "d").alias("default_value"), F.lit("On").alias("state"),
+        ],
+        "thumbnails": [s.alias("page")],
+        "layers": [text("layer ", p).alias("layer"), (s % 2 == 0).alias("hidden")],
+        "alternates": [p.alias("picture")],
+    }
+    return {name: rows.where(p % 9 == n).select("doc_id", "ord", *cs) for n, (name, cs) in enumerate(columns.items())}
+
+
+def sanitize_decisions(spark, folder):
+    """Two categories of each order, and the revision each was chosen at; the latest revision of each order."""
+    k = F.col("o_orderkey")
+    cs = F.array(*[F.lit(c) for c in ops.CATEGORIES])
+    pick = lambda n: F.element_at(cs, (n % 10 + 1).cast("int"))
+    orders = table(spark, folder, "orders")
+    decisions = orders.select(
+        k.alias("doc_id"), F.explode(F.array(pick(k), pick(F.floor(k / 10) + 3))).alias("category"), (F.col("o_custkey") % 3).alias("revision")
+    )
+    return decisions, orders.select(k.alias("doc_id"), (k % 3).alias("revision"))
+
+
+@query(
+    "sanitized_tables",
+    "Q6 Q7 A6 A25 A26 A27 2.12",
+    f"""WITH {_SANITIZE}, gone AS (SELECT DISTINCT doc_id, category FROM d WHERE fresh),
+    shown AS (SELECT l_orderkey AS doc_id, 'fields' AS category, count(*) AS before, count(*) AS after FROM lineitem WHERE l_partkey % 9 = 5 GROUP BY 1)
+    SELECT n.doc_id, n.category, before, CASE WHEN g.doc_id IS NULL THEN before ELSE 0 END AS after FROM n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.category = n.category
+    UNION ALL SELECT * FROM shown""",
+)
+def sanitized_tables(spark, folder):
+    """Findings of each category before and after; fields stay when they are emptied."""
+    from quire.operators import sanitize as rules
+
+    tables = hidden_tables(spark, folder)
+    after, _ = rules.sanitize(tables, *sanitize_decisions(spark, folder))
+    counted = lambda found, name: found.groupBy("doc_id", "category").agg(F.count("*").alias(name))
+    kept = lambda held: held["fields"].select("doc_id", F.lit("fields").alias("category"))
+    both = lambda held: rules.findings(held).select("doc_id", "category").unionByName(kept(held))
+    return counted(both(tables), "before").join(counted(both(after), "after"), ["doc_id", "category"], "left").select(
+        "doc_id", "category", "before", F.coalesce("after", F.lit(0)).alias("after")
+    )
+
+
+@query(
+    "sanitize_refusals",
+    "Q6 F24",
+    f"""WITH {_SANITIZE}, r AS (SELECT d.*, n.before FROM d LEFT JOIN n USING (doc_id, category))
+    SELECT doc_id, category, 'The document changed after this was planned.' AS error, CAST(NULL AS BIGINT) AS left_ FROM r WHERE NOT fresh
+    UNION ALL SELECT 0, 'all', NULL, 0""",
+)
+def sanitize_refusals(spark, folder):
+    """Decisions taken at another revision, and one row that counts what is left of the others: nothing."""
+    from quire.operators import sanitize as rules
+
+    decisions, revisions = sanitize_decisions(spark, folder)
+    after, refused = rules.sanitize(hidden_tables(spark, folder), decisions, revisions)
+    left = rules.left_over(after, decisions, refused).agg(F.count("*").alias("left_"))
+    return refused.select("doc_id", "category", "error", F.lit(None).cast("bigint").alias("left_")).unionByName(
+        left.select(F.lit(0).cast("bigint").alias("doc_id"), F.lit("all").alias("category"), F.lit(None).cast("string").alias("error"), "left_")
+    )
