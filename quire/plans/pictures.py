@@ -26,8 +26,9 @@ def stored(spark, folder):
 
 
 def placements(spark, folder):
-    p = F.col("l_partkey")
-    return table(spark, folder, "lineitem").where("l_returnflag = 'A' AND l_quantity > 45").select(
+    """Every order line draws the picture of twice its part's number, so pictures of odd numbers are never drawn."""
+    p = F.col("l_partkey") * 2
+    return table(spark, folder, "lineitem").select(
         (p % 20).alias("doc_id"), p.alias("ref"), (F.col("l_quantity") * 4).alias("a"), F.col("l_linenumber").cast("double").alias("b"),
         (F.col("l_tax") * 100).alias("c"), (F.col("l_quantity") * 3).alias("d"),
     )
@@ -36,7 +37,7 @@ def placements(spark, folder):
 _PICS = """pc AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS ref, p_size * 40 AS width, floor(p_retailprice) AS height, p_size * 1000::BIGINT AS stored_bytes, floor(p_retailprice)::BIGINT * 20 AS new_bytes, p_partkey % 2 = 0 AS photo,
   CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 3 END AS channels,
   CASE WHEN p_brand IN ('Brand#1','Brand#2','Brand#3','Brand#4') OR p_size <= 0 OR p_partkey % 11 = 0 THEN 'untouchable' WHEN p_type = 'ECONOMY' THEN 'jpeg' WHEN p_type = 'SMALL' THEN 'lossless' WHEN p_type = 'PROMO' OR p_partkey % 4 = 0 THEN 'untouchable' ELSE 'lossless' END AS kind FROM part),
-sz AS (SELECT l_partkey AS ref, max(sqrt(pow(l_quantity * 4, 2) + pow(l_linenumber, 2))) AS w, max(sqrt(pow(l_tax * 100, 2) + pow(l_quantity * 3, 2))) AS h FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1),
+sz AS (SELECT l_partkey * 2 AS ref, max(sqrt(pow(l_quantity * 4, 2) + pow(l_linenumber, 2))) AS w, max(sqrt(pow(l_tax * 100, 2) + pow(l_quantity * 3, 2))) AS h FROM lineitem GROUP BY 1),
 dp AS (SELECT pc.*, CASE WHEN w > 0 AND h > 0 THEN least(width / (w / 72), height / (h / 72)) END AS dpi FROM pc LEFT JOIN sz USING (ref)),
 de AS (SELECT *, kind <> 'untouchable' AND coalesce(dpi > 225, false) AS rs, kind = 'jpeg' AS j, kind = 'lossless' AS lo FROM dp),
 tr AS (SELECT *, kind <> 'untouchable' AND NOT (lo AND NOT photo AND NOT rs) AS tried FROM de),
@@ -66,7 +67,7 @@ def optimize_analysis(spark, folder):
 @query(
     "undrawn_pictures",
     "J16 J17",
-    """SELECT p_partkey % 20 AS doc_id, p_partkey AS ref FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)""",
+    """SELECT p_partkey % 20 AS doc_id, p_partkey AS ref FROM part WHERE p_partkey NOT IN (SELECT l_partkey * 2 FROM lineitem)""",
 )
 def undrawn_pictures(spark, folder):
     return ops.unmeasured(stored(spark, folder), placements(spark, folder))
