@@ -55,6 +55,89 @@ def job_states(events: DataFrame) -> DataFrame:
     return sessions.job_states(events)
 
 
+class LiveSession:
+    """A session until it closes; what is left open is told when nothing more is heard of it."""
+
+    def __init__(self):
+        self.opened = self.touched = None
+        self.dirty = self.over = False
+
+    def step(self, row: dict):
+        self.touched = row["at_us"]
+        if row["dirty"] is not None:
+            self.dirty = bool(row["dirty"])
+        if row["event"] == "open":
+            self.opened, self.over = row["at_us"], False
+        closed = row["event"] == "close" and self.opened is not None
+        self.over = self.opened is None or closed
+        out = [("closed", self.opened, self.touched, self.dirty)] if closed else []
+        if closed:
+            self.opened = None
+        return out
+
+    def finish(self):
+        return [("recoverable", self.opened, self.touched, self.dirty)] if self.opened is not None else []
+
+    def dump(self):
+        return [self.opened, self.touched, self.dirty]
+
+    def load(self, body):
+        self.opened, self.touched, self.dirty = body
+
+
+def session_ends(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """How each session ended: closed, or left open for ``idle_ms``: ``session_id, ended, opened_us, last_us, dirty``.
+
+    ``events``: session_id, at_us, event (open, touch, close), dirty (nullable).  A closed
+    session leaves the state at once, and so does what comes in for one never opened.
+    """
+    return stateful_fold(
+        events.select("session_id", "at_us", "event", "dirty"), ["session_id"], ["at_us"], LiveSession,
+        "session_id long, ended string, opened_us long, last_us long, dirty boolean", idle_ms,
+    )
+
+
+class LiveJob:
+    """A job until it ends, with its last known progress."""
+
+    ends = {"succeed": "succeeded", "fail": "failed", "cancel": "cancelled"}
+
+    def __init__(self):
+        self.started = self.completed = self.total = None
+        self.over = False
+
+    def step(self, row: dict):
+        if self.over:
+            return []
+        self.started = row["at_us"] if self.started is None else self.started
+        self.completed = self.completed if row["completed"] is None else row["completed"]
+        self.total = self.total if row["total"] is None else row["total"]
+        self.over = row["event"] in ("succeed", "fail") or (row["event"] == "cancel" and bool(row["cancellable"]))
+        return [(self.ends[row["event"]], self.started, row["at_us"], self.completed, self.total)] if self.over else []
+
+    def finish(self):
+        return [("running", self.started, None, self.completed, self.total)]
+
+    def dump(self):
+        return [self.started, self.completed, self.total]
+
+    def load(self, body):
+        self.started, self.completed, self.total = body
+
+
+def job_ends(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Each job once, when it ends, or as running when nothing was heard of it for ``idle_ms``.
+
+    ``events``: job_id, at_us, event (start, progress, succeed, fail, cancel), completed,
+    total, cancellable -> ``job_id, state, started_us, finished_us, completed, total``.
+    An ended job leaves the state; an identifier that comes again is a new job.
+    """
+    return stateful_fold(
+        events.select("job_id", "at_us", "event", "completed", "total", "cancellable"), ["job_id"], ["at_us"], LiveJob,
+        "job_id long, state string, started_us long, finished_us long, completed long, total long", idle_ms,
+    )
+
+
 class LiveRevisions(RevisionLog):
     def dump(self):
         return {"entries": self.entries, "at": self.at, "last": self.last}
@@ -120,11 +203,12 @@ def file_watch(gap_ms: int, quiet_ms: int) -> type[FileWatch]:
 def file_changes(events: DataFrame, gap_ms: int = 250, quiet_ms: int = 2000, idle_ms: int | None = None) -> DataFrame:
     """File changes worth telling.  ``events``: doc_id, at_us, size_bytes, own_write.
 
-    A burst is settled by the next event after the gap, or by the idle timeout.
+    A burst is settled by the next event after the gap, or by a timer: after ``idle_ms``
+    (the gap, unless said otherwise) without an event the last burst is told too.
     """
     return stateful_fold(
         events.select("doc_id", "at_us", "size_bytes", "own_write"), ["doc_id"], ["at_us"], file_watch(gap_ms, quiet_ms),
-        "doc_id long, at_us long, n long, change string, size_bytes long", idle_ms,
+        "doc_id long, at_us long, n long, change string, size_bytes long", gap_ms if idle_ms is None else idle_ms,
     )
 
 

@@ -24,9 +24,10 @@ def stateful_fold(
     """Step a state object through each key's events of every micro-batch.
 
     The object has ``step(row)``, ``finish()``, ``dump()`` and ``load(body)``.  Events of one
-    micro-batch are put in ``order``; later batches come later.  With ``idle_ms`` a
-    key unheard of for that long (processing time) is finished and its state let
-    go, so state does not grow with every key ever seen.
+    micro-batch are put in ``order``; later batches come later.  A key leaves the state
+    when its object says that it is ``over``, and with ``idle_ms`` also when nothing was
+    heard of it for that long (processing time): a timer then finishes it, without any
+    later event.  So state does not grow with every key ever seen.
     """
     names = [part.split()[0] for part in schema.split(", ")]
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
@@ -42,9 +43,13 @@ def stateful_fold(
             batch = pd.concat(list(frames)).sort_values(order, kind="stable")
             records = batch.astype(object).where(batch.notna(), None).to_dict("records")
             rows = [out for record in records for out in machine.step(record)]
-            state.update((json.dumps(machine.dump()),))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
+            if getattr(machine, "over", False):
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((json.dumps(machine.dump()),))
+                if idle_ms is not None:
+                    state.setTimeoutDuration(idle_ms)
         if rows:
             yield pd.DataFrame([tuple(key) + tuple(r) for r in rows], columns=names, dtype=object)
 

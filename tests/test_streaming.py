@@ -162,3 +162,81 @@ def test_scrubbed_stream(spark, event_files):
     _, stream = both(spark, event_files)
     lines = run(flows.scrubbed_log(stream.select(F.concat(F.lit("token="), "event_type").alias("line"))))
     assert {r[0] for r in lines.select("line").distinct().collect()} == {"token=***"}
+
+
+def run_with_state(frame):
+    """What a run gives, and how many keys its state holds at the end."""
+    name = f"out_{next(NAMES)}"
+    query = (
+        frame.writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    return frame.sparkSession.table(name), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_closed_sessions_leave_the_state(spark, event_files):
+    kinds = F.create_map(*[F.lit(v) for p in {"view": "touch", "purchase": "open", "click": "touch", "signup": "open", "error": "close"}.items() for v in p])
+
+    def log(df):
+        return df.select(
+            F.col("user_id").alias("session_id"), "at", "at_us", kinds[F.col("event_type")].alias("event"), F.when(F.col("value") > 50, F.col("value") > 90).alias("dirty")
+        )
+
+    batch, stream = both(spark, event_files)
+    told, held = run_with_state(flows.session_ends(log(stream)))
+    open_ = sessions.open_sessions(log(batch))
+    assert held == open_.count() > 0
+    expected = {}
+    for r in log(batch).orderBy("session_id", "at_us").collect():
+        state = expected.setdefault(r.session_id, {"open": None, "ends": []})
+        if r.event == "open":
+            state["open"] = r.at_us
+        elif r.event == "close" and state["open"] is not None:
+            state["ends"].append((r.session_id, state["open"], r.at_us))
+            state["open"] = None
+    assert rows(told.select("session_id", "opened_us", "last_us")) == sorted((e for s in expected.values() for e in s["ends"]), key=repr)
+
+
+def test_ended_jobs_leave_the_state(spark, event_files):
+    kinds = F.create_map(*[F.lit(v) for p in {"view": "progress", "purchase": "start", "click": "progress", "signup": "succeed", "error": "cancel"}.items() for v in p])
+
+    def log(df):
+        # An identifier is one job: what comes after its end is left out.
+        jobs = df.select(
+            F.col("user_id").alias("job_id"), "at", "at_us",
+            F.when((F.col("event_id") % 9 > 0) & F.col("event_type").isin("signup", "error"), "progress").otherwise(kinds[F.col("event_type")]).alias("event"),
+            F.floor("value").alias("completed"),
+            F.when(F.col("value") > 40, F.lit(100).cast("long")).alias("total"), (F.col("user_id") % 2 == 0).alias("cancellable"),
+        )
+        return jobs
+
+    batch = log(spark.read.parquet(event_files))
+    closes = (F.col("event") == "succeed") | ((F.col("event") == "cancel") & F.col("cancellable"))
+    first = batch.where(closes).groupBy("job_id").agg(F.min("at").alias("end"))
+    once = batch.join(first, "job_id", "left").where("end is null or at <= end").drop("end")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    once.orderBy("at").coalesce(1).write.mode("overwrite").option("maxRecordsPerFile", once.count() // 4 + 1).parquet(f"{folder}/e")
+    told, held = run_with_state(flows.job_ends(flows.table_stream(spark, f"{folder}/e", once.schema)))
+    states = sessions.job_states(once)
+    done = states.where("state <> 'running'")
+    assert held == states.where("state = 'running'").count() > 0
+    assert rows(told) == rows(done.select("job_id", "state", F.unix_micros("started_at"), F.unix_micros("finished_at"), "completed", "total"))
+
+
+def test_the_last_burst_is_told_by_a_timer(spark, tmp_path):
+    import time
+
+    events = spark.createDataFrame([(1, 1_000, 5, False), (1, 2_000, 7, False), (2, 1_000, None, False)], "doc_id long, at_us long, size_bytes long, own_write boolean")
+    events.write.parquet(f"{tmp_path}/e")
+    stream = flows.table_stream(spark, f"{tmp_path}/e", events.schema, 10)
+    name = f"out_{next(NAMES)}"
+    query = (
+        flows.file_changes(stream, gap_ms=50).writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(processingTime="100 milliseconds").start()
+    )
+    until = time.time() + 90
+    while time.time() < until and spark.table(name).count() < 2:
+        time.sleep(0.5)
+    query.stop()
+    assert rows(spark.table(name)) == [(1, 2000, 2, "modified", 7), (2, 1000, 1, "deleted", None)]
