@@ -43,6 +43,25 @@ def comments(
     return shown.withColumn("time", time).orderBy(*order)
 
 
+def comment_places(annotations: DataFrame) -> DataFrame:
+    """Where each comment of a document stands in its three orders: ``by_page, newest, by_author``.
+
+    Equal times keep the order of ``id``.
+    """
+    from quire.operators.scale import placed_in_order
+
+    time = F.coalesce(F.unix_micros("created_at"), F.unix_micros("modified_at"), F.lit(0))
+    out = annotations.withColumn("author", author(F.col("author"))).withColumn("time", time).withColumn("recent", -time)
+    for name, order in (("by_page", ["page", "time", "id"]), ("newest", ["recent", "id"]), ("by_author", ["author", "page", "id"])):
+        out = placed_in_order(out, ["doc_id"], order, name)
+    return out.drop("recent")
+
+
+def kinds_of(annotations: DataFrame) -> DataFrame:
+    """Kinds of comments of each document that a filter can offer."""
+    return annotations.select("doc_id", "kind").distinct()
+
+
 def authors_of(annotations: DataFrame) -> DataFrame:
     return annotations.select("doc_id", author(F.col("author")).alias("author")).distinct()
 

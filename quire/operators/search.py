@@ -93,6 +93,18 @@ def search_pages(
     return hits
 
 
+def first_hits(hits: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` hits in (document, page, offset) order, with ``truncated``: were there more?
+
+    One hit beyond the cap answers that; no more than cap + 1 rows leave each task.
+    """
+    order = ["doc_id", "page", "start"]
+    some = hits.orderBy(*order).limit(cap + 1)
+    everything = Window.partitionBy(F.lit(0))
+    numbered = some.withColumn("_place", F.row_number().over(everything.orderBy(*order))).withColumn("_met", F.count("*").over(everything))
+    return numbered.where(F.col("_place") <= cap).withColumn("truncated", F.col("_met") > cap).drop("_place", "_met")
+
+
 def rects_by_item_join(hits: DataFrame, items: DataFrame) -> DataFrame:
     """The boxes of hits when items are a table of their own (interval overlap).
 

@@ -197,3 +197,24 @@ def picture_headers(spark, folder):
     made = table(spark, folder, "part").select(F.col("p_partkey").alias("ref"), content.alias("content"))
     size = files.png_size(F.col("content"))
     return made.select("ref", size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query(
+    "jpeg_headers",
+    "S6",
+    """SELECT p_partkey::VARCHAR AS path, CASE WHEN p_brand <> 'Brand#1' THEN floor(p_retailprice)::BIGINT END AS width, CASE WHEN p_brand <> 'Brand#1' THEN (p_size * 40)::BIGINT END AS height FROM part""",
+)
+def jpeg_headers(spark, folder):
+    """Parts as JPEG files: segments to skip, then a frame header with their size; one brand is no JPEG."""
+
+    def two(value):
+        return F.unhex(F.lpad(F.hex(value.cast("bigint")), 4, "0"))
+
+    # A start, a segment of its own length, a marker without one, and the first frame (progressive for some).
+    start = F.when(F.col("p_brand") == "Brand#1", F.unhex(F.lit("474946383961"))).otherwise(F.unhex(F.lit("FFD8")))
+    frame = F.when(F.col("p_partkey") % 2 == 0, F.unhex(F.lit("FFC2001108"))).otherwise(F.unhex(F.lit("FFC0001108")))
+    content = F.concat(
+        start, F.unhex(F.lit("FFE00006414243FF")), F.unhex(F.lit("FFFFC40003AA")), frame, two(F.col("p_size") * 40), two(F.floor("p_retailprice")), F.unhex(F.lit("03" + "00" * 12))
+    )
+    made = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+    return files.jpeg_sizes(made)

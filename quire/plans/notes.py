@@ -35,6 +35,22 @@ def comments_view(spark, folder):
     return shown.select("doc_id", "page", "kind", "author", "contents", F.unix_seconds("time").alias("seconds"))
 
 
+@query(
+    "comment_places",
+    "T1 Q19",
+    f"""WITH {_NOTES} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page, seconds) AS by_page, row_number() OVER (PARTITION BY doc_id ORDER BY seconds DESC, page) AS newest,
+      row_number() OVER (PARTITION BY doc_id ORDER BY author, page) AS by_author FROM a""",
+)
+def comment_places(spark, folder):
+    placed = ops.comment_places(annotations(spark, folder).withColumn("id", F.col("page")))
+    return placed.select("doc_id", "page", "by_page", "newest", "by_author")
+
+
+@query("comment_kinds", "A10", f"WITH {_NOTES} SELECT DISTINCT doc_id, kind FROM a")
+def comment_kinds(spark, folder):
+    return ops.kinds_of(annotations(spark, folder))
+
+
 @query("comment_authors", "A10", f"WITH {_NOTES} SELECT DISTINCT doc_id, author FROM a")
 def comment_authors(spark, folder):
     return ops.authors_of(annotations(spark, folder))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import redact as ops
+from quire.operators.search import first_hits
 from quire.plans import shared_sql as q
 from quire.plans.geometry import _RECTS_SQL, rects
 from quire.plans.registry import query
@@ -40,6 +41,18 @@ def redaction_phrases(spark, folder):
     return ops.find_phrases(pages_of(spark, folder), phrases).select("phrase_id", "doc_id", "page", "start", "text")
 
 
+@query(
+    "capped_matches",
+    "T4 Q3",
+    f"""WITH {q.PAGES}, rt AS (SELECT doc_id, page, regexp_replace(ltrim(replace(text, chr(10), ' ')), '[\\s\\x{{a0}}]+', ' ', 'g') AS t FROM page_text),
+    s AS (SELECT doc_id, page, unnest({q.starts("lower(t)", "'que'")}) AS start FROM rt WHERE contains(lower(t), 'que')),
+    o AS (SELECT *, row_number() OVER (ORDER BY doc_id, page, start) AS n, count(*) OVER () AS met FROM s)
+    SELECT doc_id, page, start, met > 100 AS truncated FROM o WHERE n <= 100""",
+)
+def capped_matches(spark, folder):
+    return first_hits(ops.find_text(pages_of(spark, folder), "que"), 100).select("doc_id", "page", "start", "truncated")
+
+
 @query("redaction_bars", "Q3 L4 J11")
 def redaction_bars(spark, folder):
     found = ops.find_text(pages_of(spark, folder), "tion de", match_case=True)

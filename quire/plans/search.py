@@ -136,10 +136,10 @@ def search_summary(spark, folder):
 @query(
     "capped_hits",
     "T3 Q1",
-    f"""WITH {q.PAGES}, {_HIT} SELECT doc_id, page, start FROM hit ORDER BY doc_id, page, start LIMIT 50""",
+    f"""WITH {q.PAGES}, {_HIT}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id, page, start) AS n, count(*) OVER () AS met FROM hit) SELECT doc_id, page, start, met > 50 AS truncated FROM o WHERE n <= 50""",
 )
 def capped_hits(spark, folder):
-    return s.search_pages(pages_of(spark, folder), "que le", cap=50).select("doc_id", "page", "start")
+    return s.first_hits(s.search_pages(pages_of(spark, folder), "que le"), 50).select("doc_id", "page", "start", "truncated")
 
 
 @query(

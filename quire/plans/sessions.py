@@ -47,7 +47,24 @@ def revision_retention(spark, folder):
     return ops.kept_revisions(revisions)
 
 
-@query("revision_pointer", "W20 M6 W10")
+@query(
+    "revision_pointer",
+    "W20 M6 W10",
+    # One event after another: what is kept, where the pointer stands in it, and the last number given.
+    """WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'undo' WHEN 'signup' THEN 'redo' WHEN 'error' THEN 'goto' ELSE 'push' END AS event,
+        floor(value * 1000000)::BIGINT AS size, floor(value)::BIGINT AS target, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    s AS (SELECT DISTINCT session_id, 0::BIGINT AS n, NULL::BIGINT AS seq, []::STRUCT(r BIGINT, size BIGINT)[] AS kept, 0::BIGINT AS spot, -1::BIGINT AS last FROM e
+      UNION ALL
+      SELECT session_id, n, seq, CASE WHEN event = 'push' THEN list_slice(grown, cut + 1, len(grown)) ELSE kept END,
+        CASE event WHEN 'push' THEN len(grown) - cut WHEN 'undo' THEN CASE WHEN spot > 1 THEN spot - 1 ELSE spot END WHEN 'redo' THEN CASE WHEN spot < len(kept) THEN spot + 1 ELSE spot END
+          ELSE coalesce(nullif(list_position(list_transform(kept, lambda x: x.r), target), 0), spot) END,
+        CASE WHEN event = 'push' THEN last + 1 ELSE last END
+      FROM (
+        SELECT *, coalesce(list_min(list_filter(range(len(grown)), lambda c: c = len(grown) - 1 OR (len(grown) - c <= 30 AND list_sum(list_transform(list_slice(grown, c + 1, len(grown)), lambda x: x.size)) <= 536870912))), 0) AS cut
+        FROM (SELECT s.session_id, e.n, e.seq, e.event, e.target, s.kept, s.spot, s.last, list_append(list_slice(s.kept, 1, s.spot), {'r': s.last + 1, 'size': e.size}) AS grown
+              FROM s JOIN e ON e.session_id = s.session_id AND e.n = s.n + 1)))
+    SELECT session_id, seq, kept[spot].r AS current, spot > 1 AS can_undo, spot < len(kept) AS can_redo FROM s WHERE n > 0""",
+)
 def revision_pointer(spark, folder):
     kinds = {"view": "push", "purchase": "push", "click": "undo", "signup": "redo", "error": "goto"}
     named = F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair])
