@@ -221,3 +221,41 @@ def without_tagged(operations: DataFrame, tags: list[str]) -> DataFrame:
     return (
         stepped.withColumn("inside", inside).where("inside = 0 and step is null").select("doc_id", "page", "seq", "operator", "tag")
     )
+
+
+GONE_PICTURE = "That picture is no longer on the page."
+
+
+def placement_edits(placements: DataFrame, log: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pictures of pages after they were placed anew, deleted or added, in drawing order, and the edits refused.
+
+    ``placements``: doc_id, page, picture, ord and x, y, width, height, rotation; ``log``: the
+    same with kind.  A picture keeps its place in the drawing order when it is moved; one
+    added comes on top.  A box without an area is refused.
+    """
+    fields = ["x", "y", "width", "height", "rotation"]
+    flat = F.when((F.col("width") <= 0) | (F.col("height") <= 0), F.lit("A picture needs a width and a height."))
+    bare = F.when((F.col("kind") == ADD) & (F.col("width").isNull() | F.col("height").isNull()), F.lit("A picture needs a width and a height."))
+    after, refused = keyed_edits(
+        placements, _on_pages(log, pages), ["doc_id", "page", "picture"], fields, "That picture is already on the page.", GONE_PICTURE,
+        F.coalesce(_page_problem(), flat, bare),
+    )
+    # What was there first is drawn first, whatever moved since; then what was added, in time.
+    began = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.asc_nulls_last("ord"), "touched"))
+    return after.select("doc_id", "page", "picture", began.alias("place"), *fields), refused
+
+
+def setting_edits(settings: DataFrame, changes: DataFrame, targets: DataFrame, gone: str) -> tuple[DataFrame, DataFrame]:
+    """Settings by name after changes (the last word counts, a blank clears), and the changes refused.
+
+    ``settings``: doc_id, kind, name, value (field tooltips, tab orders of pages, layers
+    shown at first, whether a title is displayed); ``changes``: the same with ord;
+    ``targets``: doc_id, kind, name of what can be set.  A change of what is not there is
+    refused with ``gone``, and the others of the same log still count.
+    """
+    keys = ["doc_id", "kind", "name"]
+    known = targets.select(*keys).distinct().withColumn("there", F.lit(True))
+    asked = changes.join(known, keys, "left")
+    last = asked.where("there").groupBy(*keys).agg(F.max_by(F.trim(F.coalesce("value", F.lit(""))), "ord").alias("new"))
+    after = settings.join(last, keys, "full").select(*keys, F.coalesce("new", "value").alias("value")).where("value <> ''")
+    return after, asked.where("there is null").select(*keys, "ord", F.lit(gone).alias("error"))

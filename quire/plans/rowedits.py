@@ -211,3 +211,67 @@ def tagged_blocks(spark, folder):
         F.when((p % 7).isin(0, 3), pick(("Header", "Span", "Footer", "Artifact"), 4)).alias("tag"),
     )
     return ops.without_tagged(operations, ["Header", "Footer"])
+
+
+_PLACED = f"""{_LINES}, k AS (SELECT *, 'im' || s % 3 AS picture, CASE WHEN p % 17 = 0 AND line > 3 THEN 7 ELSE s % 3 % 2 + 1 END AS page FROM l),
+base AS (SELECT doc_id, page, picture, ord AS place, qty::DOUBLE AS x, 20.0::DOUBLE AS width, 10.0::DOUBLE AS height FROM k WHERE line <= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, page, picture ORDER BY ord) = 1),
+ev AS (SELECT doc_id, page, picture, ord, ['add', 'update', 'delete', 'update'][p % 4 + 1] AS kind, CASE WHEN p % 3 > 0 THEN price::DOUBLE END AS x, CASE WHEN p % 4 = 0 OR p % 5 = 0 THEN (p % 5)::DOUBLE END AS width, CASE WHEN p % 4 = 0 THEN 3.0::DOUBLE END AS height,
+  CASE WHEN page > 2 THEN 'That page is not in this document any more.' WHEN (p % 4 = 0 OR p % 5 = 0) AND p % 5 = 0 THEN 'A picture needs a width and a height.' END AS msg FROM k WHERE line > 1),
+{_replay("doc_id, page, picture", ["x", "width", "height"], "'That picture is already on the page.'", "'That picture is no longer on the page.'")}"""
+
+
+@query(
+    "placement_edits",
+    "2.12 H35",
+    f"""WITH RECURSIVE {_PLACED}
+    SELECT doc_id, page::BIGINT AS page, picture, x, width, height, NULL::BIGINT AS ord, NULL::VARCHAR AS error FROM last WHERE alive
+    UNION ALL SELECT doc_id, page, picture, NULL, NULL, NULL, ord, error FROM r WHERE error IS NOT NULL""",
+)
+def placement_edits(spark, folder):
+    p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.when((p % 17 == 0) & (line > 3), 7).otherwise(s % 3 % 2 + 1).alias("page"),
+        F.concat(F.lit("im"), (s % 3).cast("string")).alias("picture"), F.expr(_KEY).alias("ord"), p, line, "l_quantity", "l_extendedprice",
+    )
+    number = lambda v: F.lit(v).cast("double")
+    base = rows.where("l_linenumber <= 2").groupBy("doc_id", "page", "picture").agg(
+        F.min("ord").alias("ord"), F.min_by("l_quantity", "ord").cast("double").alias("x")
+    ).select("*", number(0).alias("y"), number(20).alias("width"), number(10).alias("height"), number(0).alias("rotation"))
+    kinds = F.array(*[F.lit(k) for k in ("add", "update", "delete", "update")])
+    log = rows.where("l_linenumber > 1").select(
+        "doc_id", "page", "picture", "ord", F.element_at(kinds, (p % 4 + 1).cast("int")).alias("kind"),
+        F.when(p % 3 > 0, F.col("l_extendedprice").cast("double")).alias("x"), number(None).alias("y"),
+        F.when((p % 4 == 0) | (p % 5 == 0), (p % 5).cast("double")).alias("width"), F.when(p % 4 == 0, number(3)).alias("height"), number(None).alias("rotation"),
+    )
+    counts = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(2).alias("page_count"))
+    after, refused = ops.placement_edits(base, log, counts)
+    return after.select("doc_id", "page", "picture", "x", "width", "height").unionByName(
+        refused.select("doc_id", "page", "picture", "ord", "error"), allowMissingColumns=True
+    )
+
+
+@query(
+    "setting_edits",
+    "2.12",
+    f"""WITH {_LINES}, k AS (SELECT *, ['tooltip', 'tabOrder', 'layer', 'displayTitle'][p % 4 + 1] AS kind, 'n' || s % 5 AS name FROM l),
+    target AS (SELECT DISTINCT doc_id, kind, name FROM k WHERE line <= 3),
+    base AS (SELECT doc_id, kind, name, 'old' AS value FROM k WHERE line <= 3 AND s % 2 = 0 GROUP BY ALL),
+    ch AS (SELECT doc_id, kind, name, ord, CASE WHEN p % 3 = 0 THEN NULL WHEN p % 3 = 1 THEN ' new ' || p ELSE '  ' END AS value, (doc_id, kind, name) IN (SELECT (doc_id, kind, name) FROM target) AS there FROM k WHERE line > 2),
+    l2 AS (SELECT doc_id, kind, name, arg_max(trim(coalesce(value, '')), ord) AS new FROM ch WHERE there GROUP BY ALL)
+    SELECT coalesce(b.doc_id, l2.doc_id) AS doc_id, coalesce(b.kind, l2.kind) AS kind, coalesce(b.name, l2.name) AS name, coalesce(new, b.value) AS value, NULL::BIGINT AS ord, NULL::VARCHAR AS error
+      FROM base b FULL JOIN l2 ON b.doc_id = l2.doc_id AND b.kind = l2.kind AND b.name = l2.name WHERE coalesce(new, b.value) <> ''
+    UNION ALL SELECT doc_id, kind, name, NULL, ord, 'That is not in this document any more.' FROM ch WHERE NOT there""",
+)
+def setting_edits(spark, folder):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    kinds = F.array(*[F.lit(k) for k in ("tooltip", "tabOrder", "layer", "displayTitle")])
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.element_at(kinds, (p % 4 + 1).cast("int")).alias("kind"), F.concat(F.lit("n"), (s % 5).cast("string")).alias("name"),
+        F.expr(_KEY).alias("ord"), p, s, "l_linenumber",
+    )
+    targets = rows.where("l_linenumber <= 3")
+    settings = targets.where(s % 2 == 0).select("doc_id", "kind", "name", F.lit("old").alias("value")).distinct()
+    value = F.when(p % 3 == 1, F.concat(F.lit(" new "), p.cast("string"))).when(p % 3 == 2, "  ")
+    changes = rows.where("l_linenumber > 2").select("doc_id", "kind", "name", "ord", value.alias("value"))
+    after, refused = ops.setting_edits(settings, changes, targets, "That is not in this document any more.")
+    return after.unionByName(refused, allowMissingColumns=True)
