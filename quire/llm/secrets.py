@@ -25,7 +25,7 @@ HEX = "[0-9a-f]{24,}"
 # Long runs of the characters that keys are written in.
 RUN = "[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 6
-SALTS = 8
+HOT = 1000
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int, least: int = 0) -> Column:
@@ -157,11 +157,16 @@ def secrets_by_ownership(
     gives none; other columns are not looked at.
     """
     found = scan(docs, repository, owner)
-    # Values of one place's owner and repository need no row: their counts are 1.
-    common = ownership(found).where("repositories > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = found.select("row", F.inline("marks")).withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    # Values of one place need no row: their counts are 1.
+    counted = stored(ownership(found).where("places > 1"), "secret-owners")
+    # At most HOT values hold more than one HOT-th of all places each; those go to the
+    # places, and no other value is more than that share of the join.
+    most = (counted.agg(F.sum("places")).first()[0] or 0) // HOT
+    hot, rest = counted.where(F.col("places") > most), counted.where(F.col("places") <= most)
+    placed = found.select("row", F.inline("marks")).join(F.broadcast(hot), "hash", "left")
+    met, open_ = placed.where("places is not null"), placed.where("places is null").drop("owners", "repositories", "places")
     judged = (
-        placed.join(common, ["hash", "salt"], "left")
+        met.unionByName(open_.join(rest, "hash", "left"))
         .withColumns({
             "owners": F.coalesce("owners", F.lit(1)), "repositories": F.coalesce("repositories", F.lit(1)),
             "places": F.coalesce("places", F.lit(1)),
@@ -170,7 +175,7 @@ def secrets_by_ownership(
             "verdict",
             F.when(F.col("owners") >= copied_owners, "example").when((F.col("owners") == 1) & F.col("live"), "owned").otherwise("unclear"),
         )
-        .where(f"kind < 3 or verdict = 'owned'")
+        .where("kind < 3 or verdict = 'owned'")
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict", "owners", "repositories", "places"))).alias("spans"))
     )

@@ -32,7 +32,7 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id`` and ``vector`` (floor of ``scale`` times each component).
 
     Rows without an id, and vectors that are null, empty or hold a null or non-finite
-    component, take no part.  Rows of one id count as one, with their least vector.
+    component, take no part.  Rows that share an id are vectors of their own.
     """
     x = F.col("embedding")
     sound = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -42,7 +42,6 @@ def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
             F.col("vec_id").cast("long").alias("vec_id"),
             F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long")).alias("vector"),
         )
-        .groupBy("vec_id").agg(F.min("vector").alias("vector"))
     )
 
 
@@ -120,13 +119,15 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, bloc
 
     Queries are the ids divisible by ``every``; a query's own id is no candidate, and
     vectors of another length are none.  Fewer than ``k`` candidates give fewer rows;
-    ties go to the smaller id; an empty table gives none; other columns are not
-    looked at.
+    ties go to the smaller id.  Every row is a candidate, those that share an id too; of
+    queries that share one the best of all their rows are told.  An empty table gives no
+    rows; other columns are not looked at.
     """
-    vectors = stored(integer_vectors(rows, scale), "vectors").withColumn("width", F.size("vector"))
+    numbered = integer_vectors(rows, scale).withColumn("row", F.monotonically_increasing_id())
+    vectors = stored(numbered, "vectors").withColumn("width", F.size("vector"))
     n = vectors.count()
     blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n / every / query_block))
-    spot = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(parts)).cast("int")
+    spot = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "row"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     queries = vectors.where(F.col("vec_id") % every == 0)
     # The stated queries against all rows, in blocks: each pair of blocks is one group.

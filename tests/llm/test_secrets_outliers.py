@@ -133,3 +133,10 @@ def test_outliers_of_odd_rows(spark):
     assert len(rows) == len(odd_rows())
     check_counts([r for r in rows if r["doc_id"] is not None], texts)
     assert outliers.robust_rules(no_docs(spark)).count() == 0
+
+
+def test_copies_in_one_repository_are_counted(spark):
+    """Five places of one owner and repository are five places, in the values sent and in those joined."""
+    texts = ["password=Zx81kQ7pLm22"] * 5 + ["token: Aq9Zr4Tn8Wd1"] + ["nothing"]
+    rows = secrets.secrets_by_ownership(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [[(s["places"], s["repositories"], s["owners"]) for s in r["spans"]] for r in rows] == [[(5, 1, 1)]] * 5 + [[(1, 1, 1)], []]

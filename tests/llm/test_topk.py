@@ -64,5 +64,21 @@ def test_odd_rows(spark):
         (7, [], 1, "v", 9), (8, [1.0, 1.0, 1.0], 1, "v", 9), (1, [0.5, 0.5], 1, "v", 9), (50, [9.0], 1, "v", 9), (9, [-0.001, 0.0], 1, "v", 9),
     ]
     out = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(map(tuple, out)) == [(0, 1, 1, 32768), (0, 2, 2, 32768), (0, 3, 9, -256)]
+    # The id 1 is there twice: every row is a candidate.
+    assert sorted(map(tuple, out)) == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 2, 32768), (0, 4, 9, -256)]
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_share_an_id_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from quire.llm.queries import SQL
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(v) for v in rng.integers(-4, 5, 6) / 4]) for i in [*range(120), *[7] * 40, 50, 50, 100]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op3_no_random_access_topk"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(SQL["op3_no_random_access_topk"]).fetchall())
+    assert any(r["vec_id"] == 7 for r in got)
