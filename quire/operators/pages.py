@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ranges
 from quire.functions.numbers import page_label
-from quire.operators.scale import running_total
+from quire.operators.scale import running_total, total_before
 
 LABEL_STRETCH = 4096
 
@@ -245,11 +245,11 @@ def with_label_range(label_ranges: DataFrame, changes: DataFrame) -> DataFrame:
 def numbered(pages: DataFrame, prefix: str, digits: int, suffix: str, start: int) -> DataFrame:
     """Stamped numbers running through all documents in (doc_id, page) order.
 
-    ``pages``: doc_id, page, page_count.  Only one row per document is totalled;
-    a page's number is its document's start plus its place.
+    ``pages``: doc_id, page, page_count.  Only one row per document is totalled,
+    by sampled ranges of the ids; a page's number is its document's start plus its place.
     """
-    documents = pages.select("doc_id", "page_count").distinct().withColumn("all", F.lit(0))
-    starts = running_total(documents, ["all"], "doc_id", F.col("page_count"), "before").select("doc_id", "before")
+    documents = pages.select("doc_id", "page_count").distinct()
+    starts = total_before(documents, [], ["doc_id"], F.col("page_count"), "before").select("doc_id", "before")
     number = (F.lit(start) + F.col("before") + F.col("page") - 1).cast("string")
     # Padding must never cut a longer number.
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(digits)), F.lit("0"))

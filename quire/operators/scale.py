@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import cut_lineage
+from quire.session import cut_lineage, discard
 
 STRETCH = 16384
 
@@ -59,24 +59,33 @@ def runs(df: DataFrame, keys: list[str], number: str, stretch: int = STRETCH) ->
     )
 
 
-def placed_in_order(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``name``: the place (from 1) of each row among those of its ``keys``, by ``order``.
+def total_before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the same ``keys`` (all rows without keys) before each, by ``order``.
 
-    The order may be of any kind.  Rows are dealt by sampled ranges of (keys, order),
-    so a group that holds a third of all rows lies in many tasks; a place is the rows
-    of the group in the ranges before plus the place in the row's own.  Rows equal in
-    keys and order share a range.
+    The order may be of any kind, dense or not.  Rows are dealt by sampled ranges of (keys,
+    order), so a group that holds a third of all rows, or all of them, lies in many
+    tasks; a sum is that of the group in the ranges before plus that in the row's own.
+    Rows equal in keys and order share a range; only one row for each range and group
+    meets the others of its group.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*keys, *order]
-    dealt = cut_lineage(cut_lineage(df).repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
-    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    valued = cut_lineage(df.withColumn("_value", value.cast("bigint")))
+    dealt = cut_lineage(valued.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
+    discard(valued)
+    group = [F.col(k) for k in keys] or [F.lit(0)]
+    ahead = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-        .select(*keys, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+        dealt.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+        .select(*keys, "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
     )
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        dealt.withColumn("_inside", inside).join(before, [*keys, "_range"])
-        .withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+        dealt.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(before, [*keys, "_range"])
+        .withColumn(name, F.col("_before") + F.col("_inside")).drop("_value", "_range", "_inside", "_before")
     )
+
+
+def placed_in_order(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``name``: the place (from 1) of each row among those of its ``keys``, by ``order``, as ``total_before`` deals them."""
+    return total_before(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
