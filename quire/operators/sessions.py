@@ -165,8 +165,11 @@ def job_states(events: DataFrame) -> DataFrame:
     )
 
 
-def bursts(events: DataFrame, keys: list[str], at: str, gap_ms: int) -> DataFrame:
-    """Events joined while they follow within a gap: ``keys, first_at, last_at, n`` and the last row."""
+def bursts(events: DataFrame, keys: list[str], at: str, gap_ms: int, ties: list[str] | None = None) -> DataFrame:
+    """Events joined while they follow within a gap: ``keys, first_at, last_at, n`` and the last row.
+
+    Of rows at the last time the one with the least ``ties`` (whole numbers) is told.
+    """
     order = Window.partitionBy(*keys).orderBy(at)
     quiet = F.unix_millis(F.col(at)) - F.unix_millis(F.lag(at).over(order))
     rest = [c for c in events.columns if c not in keys]
@@ -176,22 +179,23 @@ def bursts(events: DataFrame, keys: list[str], at: str, gap_ms: int) -> DataFram
         .groupBy(*keys, "_burst")
         .agg(
             F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"),
-            F.max_by(F.struct(*rest), at).alias("last"),
+            F.max_by(F.struct(*rest), F.struct(at, *[-F.col(t) for t in ties or []])).alias("last"),
         )
         .drop("_burst")
     )
 
 
-def file_changes(events: DataFrame, gap_ms: int = 250, quiet_ms: int = 2000) -> DataFrame:
+def file_changes(events: DataFrame, gap_ms: int = 250, quiet_ms: int = 2000, ties: list[str] | None = None) -> DataFrame:
     """Changes worth telling: bursts settled, own writes ignored, unchanged facts silent.
 
     ``events``: doc_id, at, size_bytes (null when the file is gone), own_write.  A
     burst is looked at once, ``gap_ms`` after its last event, with the facts then;
-    nothing is said within ``quiet_ms`` of an own write or when nothing changed.
+    nothing is said within ``quiet_ms`` of an own write or when nothing changed.  An own
+    write counts for all events of its time; the facts are those of the least ``ties``.
     """
-    order = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     seen = events.withColumn("own_at", F.max(F.when(F.col("own_write"), F.col("at"))).over(order))
-    settled = bursts(seen, ["doc_id"], "at", gap_ms).select(
+    settled = bursts(seen, ["doc_id"], "at", gap_ms, ties).select(
         "doc_id", F.col("last_at").alias("at"), "n", "last.size_bytes", "last.own_at"
     )
     checked = F.unix_millis("at") + gap_ms

@@ -138,9 +138,9 @@ HOUR = 3600 * 1000
 def file_changes(spark, folder):
     log = events(spark, folder).select(
         F.col("user_id").alias("doc_id"), "at", F.when(F.col("event_type") != "error", F.floor(F.col("value") / 10)).alias("size_bytes"),
-        (F.col("event_type") == "signup").alias("own_write"),
+        (F.col("event_type") == "signup").alias("own_write"), "event_id",
     )
-    found = ops.file_changes(log, gap_ms=2 * HOUR, quiet_ms=5 * HOUR)
+    found = ops.file_changes(log, gap_ms=2 * HOUR, quiet_ms=5 * HOUR, ties=["event_id"])
     return found.select("doc_id", F.unix_micros("at").alias("at_us"), "n", "change", "size_bytes")
 
 
