@@ -215,36 +215,55 @@ def page_classes(pages: DataFrame) -> DataFrame:
     ).where("textless or unreadable")
 
 
-def glyphs(pages: DataFrame) -> DataFrame:
-    """The flat glyph table: ``doc_id, page, run, glyph, ch, x, y, width, height``."""
-    per_item = F.transform(F.filter("items", lambda i: i["str"] != ""), item_glyphs)
-    runs = pages.select("doc_id", "page", F.explode(per_item).alias("glyphs"))
-    return runs.select("doc_id", "page", F.posexplode("glyphs").alias("glyph", "g")).select(
-        "doc_id", "page", F.col("g.run").alias("run"), "glyph", "g.ch", "g.x", "g.y", "g.width", "g.height"
-    )
-
-
 def _banded(df: DataFrame, low: Column, high: Column) -> DataFrame:
     """Rows once per horizontal band they cross, so that overlaps become equal keys."""
     return df.withColumn("band", F.explode(F.sequence(F.floor(low / BAND), F.floor(high / BAND))))
 
 
+def _meets(item: Column, mark: Column) -> Column:
+    """Whether a mark reaches the box of an item's glyphs, whichever way the item runs."""
+    far, low, high = item["x"] + item["width"], item["y"] + item["height"] * DESCENT, item["y"] + item["height"] * ASCENT
+    return (
+        (mark["x"] <= F.greatest(item["x"], far)) & (F.least(item["x"], far) <= g.right(mark))
+        & (mark["y"] <= F.greatest(low, high)) & (F.least(low, high) <= g.top(mark))
+    )
+
+
+def _with_marks(pages: DataFrame, marks: DataFrame, *columns: Column) -> DataFrame:
+    """Pages that have marks: ``doc_id, page, items, marks``; a page's marks come to its row."""
+    by_page = marks.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    drawn = F.transform(
+        F.filter("items", lambda i: i["str"] != ""), lambda i: F.struct(*[i[n].alias(n) for n in ("seq", "str", "x", "y", "width", "height")])
+    )
+    return pages.select("doc_id", "page", drawn.alias("items")).join(by_page, ["doc_id", "page"])
+
+
 def marked_glyphs(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Glyphs each mark takes: ``id`` with the glyph's columns.
 
-    ``marks``: id, doc_id, page, x, y, width, height (one row per rectangle).
-    Only pages with marks give up their glyphs; glyphs and marks meet on (document,
-    page, band), so neither side is compared whole.
+    ``marks``: id, doc_id, page, x, y, width, height (one row per rectangle).  A page's
+    marks come to its row; only items that a mark meets are set as glyphs, inside the
+    row, and only glyphs that a mark takes leave it.
     """
-    touched = pages.join(marks.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
-    box = g.rect(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    left = _banded(glyphs(touched).withColumn("box", box), F.col("y"), F.col("y") + F.col("height"))
-    right = _banded(
-        marks.select("id", "doc_id", "page", box.alias("mark"), "y", "height"), F.col("y"), F.col("y") + F.col("height")
-    ).drop("y", "height")
-    hits = left.join(right, ["doc_id", "page", "band"]).where(g.glyph_covered(F.col("box"), F.col("mark")))
-    columns = ["id", "doc_id", "page", "run", "glyph", "ch", "x", "y", "width", "height"]
-    return hits.select(*columns).distinct()
+    met = _with_marks(pages, marks, F.col("id"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
+    kept = ["run", "glyph", "ch", "x", "y", "width", "height"]
+
+    def taken(item: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.filter("marks", lambda m: _meets(item, m)),
+                lambda m: F.transform(
+                    F.filter(
+                        F.transform(item_glyphs(item), lambda c, i: c.withField("glyph", i)),
+                        lambda c: g.glyph_covered(g.rect(c["x"], c["y"], c["width"], c["height"]), m),
+                    ),
+                    lambda c: F.struct(m["id"].alias("id"), *[c[n].alias(n) for n in kept]),
+                ),
+            )
+        )
+
+    hits = met.select("doc_id", "page", F.inline(F.flatten(F.transform("items", taken))))
+    return hits.select("id", "doc_id", "page", *kept).distinct()
 
 
 def mark_texts(hits: DataFrame) -> DataFrame:
@@ -271,8 +290,7 @@ def _kept_pieces(item: Column, marks: Column) -> Column:
     piece = lambda n, text, x, width: F.struct(
         item["seq"].alias("seq"), n.alias("piece"), text.alias("str"), x.alias("x"), item["y"].alias("y"), width.alias("width"), item["height"].alias("height")
     )
-    box = g.rect(item["x"], item["y"] + item["height"] * DESCENT, item["width"], item["height"] * (ASCENT - DESCENT))
-    met = F.exists(marks, lambda m: (m["x"] <= g.right(box)) & (box["x"] <= g.right(m)) & (m["y"] <= g.top(box)) & (box["y"] <= g.top(m)))
+    met = F.exists(marks, lambda m: _meets(item, m))
     whole = F.array(piece(F.lit(0), item["str"], item["x"], item["width"]))
 
     def cut(glyphs: Column) -> Column:
@@ -303,9 +321,7 @@ def redacted_items(pages: DataFrame, marks: DataFrame) -> DataFrame:
     pieces on either side.  A page's marks come to its row, and the glyphs of the items
     they meet are cut inside it, so no glyph moves.
     """
-    box = g.rect(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    by_page = marks.groupBy("doc_id", "page").agg(F.collect_list(box).alias("marks"))
-    marked = pages.select("doc_id", "page", F.filter("items", lambda i: i["str"] != "").alias("items")).join(by_page, ["doc_id", "page"])
+    marked = _with_marks(pages, marks, F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     return marked.select("doc_id", "page", F.inline(F.flatten(F.transform("items", lambda i: _kept_pieces(i, F.col("marks"))))))
 
 
