@@ -393,10 +393,10 @@ def closed_under_marks(hits: DataFrame, links: DataFrame, widgets: DataFrame) ->
     one, other = name("o", "object"), name("o", "other")
     edges = (
         tie(links, one, other).unionByName(tie(links, other, one))
-        .unionByName(tie(widgets, one, name("f", "field"))).unionByName(tie(widgets, name("f", "field"), one)).distinct()
+        .unionByName(tie(widgets, one, name("f", "field"))).unionByName(tie(widgets, name("f", "field"), one))
     )
     kind = dict(hits.dtypes)["object"]
-    found = reachable(hits.select("doc_id", one.alias("node")), edges, ["doc_id"]).where(F.startswith("node", F.lit("o")))
+    found = reachable(hits.select("doc_id", one.alias("node")), edges, ["doc_id"], both_ways=True).where(F.startswith("node", F.lit("o")))
     rows = found.select("doc_id", F.substring("node", 2, 1 << 30).cast(kind).alias("object"))
     direct = hits.select("doc_id", "object").distinct().withColumn("by", F.lit("mark"))
     return rows.join(direct, ["doc_id", "object"], "left").select("doc_id", "object", F.coalesce("by", F.lit("tie")).alias("by"))

@@ -12,26 +12,32 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage, discard
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+def reachable(
+    seeds: DataFrame, edges: DataFrame, keys: list[str], most: int | None = None, both_ways: bool = False
+) -> DataFrame:
     """Nodes reachable from seeds: ``keys, node``; ``edges``: keys, source, target.
 
     Each round joins only the nodes found in the round before, so an edge is
-    followed once; ``most`` bounds the rounds.
+    followed once; ``most`` bounds the rounds.  Edges are worked out once and each round
+    writes only what it found.  Where every edge goes ``both_ways``, a node next to one
+    round's is in that round, the one before or the one after, so a round looks no
+    further back.
     """
+    spark = seeds.sparkSession
     frontier = cut_lineage(seeds.select(*keys, "node").distinct())
-    found = frontier
-    rounds = 0
-    while not frontier.isEmpty() and (most is None or rounds < most):
+    edges = cut_lineage(edges.select(*keys, F.col("source").alias("node"), "target"))
+    rounds = [frontier.step_path]
+    written = lambda paths: spark.read.schema(frontier.schema).parquet(*paths)
+    while not frontier.isEmpty() and (most is None or len(rounds) <= most):
         step = (
-            frontier.join(edges.withColumnRenamed("source", "node"), [*keys, "node"])
+            frontier.join(edges, [*keys, "node"])
             .select(*keys, F.col("target").alias("node"))
             .distinct()
-            .join(found, [*keys, "node"], "left_anti")
+            .join(written(rounds[-2:] if both_ways else rounds), [*keys, "node"], "left_anti")
         )
         frontier = cut_lineage(step)
-        found = cut_lineage(found.unionByName(frontier))
-        rounds += 1
-    return found
+        rounds.append(frontier.step_path)
+    return written(rounds)
 
 
 def unreachable(nodes: DataFrame, seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
