@@ -176,6 +176,16 @@ def filled_template(template: Column | str, tokens: dict[str, Column]) -> Column
     return value
 
 
+def unevenly_spaced(value: Column) -> Column:
+    """Whether words are parted by anything but single spaces."""
+    return value.rlike(r"[\t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]|  |^ | $") | (value == "")
+
+
+def blank_led_words(value: Column) -> Column:
+    """The words of a text, each with the blanks before it."""
+    return F.regexp_extract_all(value, F.lit(f"{BLANK}*{SOLID}+"), F.lit(0))
+
+
 def tokens_with_offsets(value: Column) -> Column:
     """``array<struct<text,start>>`` of the runs of non-blank characters.
 
@@ -208,7 +218,6 @@ def tokens_with_offsets(value: Column) -> Column:
             ),
         )
 
-    odd = value.rlike(r"[\t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]|  |^ | $") | (value == "")
-    pieces = F.regexp_extract_all(value, F.lit(f"{BLANK}*{SOLID}+"), F.lit(0))
+    odd, pieces = unevenly_spaced(value), blank_led_words(value)
     bound = lambda array, body: F.flatten(F.transform(F.array(array), body))
     return F.when(odd, bound(pieces, ragged)).otherwise(bound(F.split(value, " "), plain))

@@ -9,20 +9,21 @@ from quire.plans import shared_sql as q
 from quire.plans.registry import query
 from quire.plans.search import pages_of
 from quire.session import spread, table
-from quire.sources.paginate import word_pages
+from quire.sources.paginate import word_rows
 
 
 def wavering_words(spark, folder):
-    """Words of every page, each a little off its baseline, some set larger."""
-    def moved(w):
-        k = w["seq"]
-        return F.struct(
-            k.alias("seq"), w["str"].alias("str"), w["x"].alias("x"),
-            (w["y"] + F.pmod(k * 7 + F.floor(k / 1000), F.lit(9)) * 0.75).alias("y"), w["width"].alias("width"),
-            F.when(F.floor(k / 1000) % 17 == 3, 16.0).otherwise(w["height"]).alias("height"),
-        )
+    """Words of every page as rows, each a little off its baseline, some set larger."""
+    k = F.col("seq")
+    return word_rows(pages_of(spark, folder)).select(
+        "doc_id", "page", "page_row", "seq", "str", "x",
+        (F.col("y") + F.pmod(k * 7 + F.floor(k / 1000), F.lit(9)) * 0.75).alias("y"), "width",
+        F.when(F.floor(k / 1000) % 17 == 3, 16.0).otherwise(F.col("height")).alias("height"),
+    )
+
 
-    return word_pages(pages_of(spark, folder)).select("doc_id", "page", F.transform("items", moved).alias("items"))
+def word_lines(spark, folder, members=False):
+    return layout.line_pages(wavering_words(spark, folder), members)
 
 
 WORDS_SQL = q.ITEMS + f""",
@@ -71,10 +72,10 @@ block AS (SELECT doc_id, page, block::BIGINT AS block, {q.collapsed("string_agg(
     f"""WITH {WORD_LINES} SELECT doc_id, page, line::BIGINT AS line, text, round(y, 3) AS y, round("left", 3) AS "left", round("right", 3) AS "right", height, items FROM line""",
 )
 def layout_lines(spark, folder):
-    found = layout.lines(wavering_words(spark, folder))
+    found = layout.line_rows(word_lines(spark, folder), "items")
     return found.select(
         "doc_id", "page", "line", "text", F.round("y", 3).alias("y"), F.round("left", 3).alias("left"),
-        F.round("right", 3).alias("right"), "height", F.size("items").alias("items"),
+        F.round("right", 3).alias("right"), "height", "items",
     )
 
 
@@ -84,7 +85,7 @@ def layout_lines(spark, folder):
     f"""WITH {WORD_LINES},{BLOCKS_SQL} SELECT doc_id, page, block, text, height, round("left", 3) AS "left", round("right", 3) AS "right", lines, heading FROM block""",
 )
 def layout_blocks(spark, folder):
-    return layout.blocks(layout.lines(wavering_words(spark, folder))).select(
+    return layout.blocks(word_lines(spark, folder)).select(
         "doc_id", "page", "block", "text", "height", F.round("left", 3).alias("left"),
         F.round("right", 3).alias("right"), "lines", "heading",
     )
@@ -98,7 +99,7 @@ def layout_blocks(spark, folder):
       greatest(6, floor(height + 0.5))::BIGINT AS font_size, heading AS bold FROM block""",
 )
 def layout_slides(spark, folder):
-    boxes = layout.slide_boxes(layout.blocks(layout.lines(wavering_words(spark, folder))), 841.89)
+    boxes = layout.slide_boxes(layout.blocks(word_lines(spark, folder)), 841.89)
     return boxes.select(
         "doc_id", "page", "block", *[F.round(c, 6).alias(c) for c in "xywh"], "font_size", "bold"
     )
@@ -110,7 +111,7 @@ def layout_slides(spark, folder):
     f"""WITH {WORD_LINES} SELECT doc_id, page, md5({q.trimmed("string_agg(text, chr(10) ORDER BY line)")}) AS text FROM line GROUP BY 1, 2""",
 )
 def layout_page_text(spark, folder):
-    found = layout.page_text(layout.lines(wavering_words(spark, folder)))
+    found = layout.page_text(word_lines(spark, folder))
     return found.select("doc_id", "page", F.md5("text").alias("text"))
 
 
@@ -129,7 +130,7 @@ def layout_page_text(spark, folder):
     FROM strip JOIN gap USING (doc_id, page, line) GROUP BY 1, 2""",
 )
 def layout_spaced_text(spark, folder):
-    found = layout.spaced_page_text(layout.lines(wavering_words(spark, folder)))
+    found = layout.spaced_page_text(word_lines(spark, folder, members=True))
     return found.select("doc_id", "page", F.md5("text").alias("text"))
 
 
@@ -167,6 +168,10 @@ def order_sheets(spark, folder):
     )
 
 
+def sheet_lines(spark, folder):
+    return layout.line_pages(layout.gathered_rows(order_sheets(spark, folder)))
+
+
 SHEETS_SQL = """
 cell AS (
   SELECT l_orderkey AS doc_id, 700.0 - l_linenumber * 18 AS y, (floor(l_extendedprice * 100)::BIGINT * 1000 + l_partkey % 1000) * 10 + ci AS seq, 10.0 AS height,
@@ -201,7 +206,7 @@ filled AS (SELECT doc_id, page, line, "column", coalesce(told.text, '') AS text
     UNION ALL SELECT doc_id, page, line, 0, text, NULL FROM line ANTI JOIN col USING (doc_id, page)""",
 )
 def table_cells(spark, folder):
-    return layout.sheet_rows(layout.lines(layout.page_rows(order_sheets(spark, folder))))
+    return layout.sheet_rows(sheet_lines(spark, folder))
 
 
 @query(
@@ -214,4 +219,4 @@ def table_cells(spark, folder):
     UNION ALL SELECT doc_id, page, 'table', line, false, NULL, text FROM tabled""",
 )
 def word_paragraphs(spark, folder):
-    return layout.document_paragraphs(layout.lines(layout.page_rows(order_sheets(spark, folder))))
+    return layout.document_paragraphs(sheet_lines(spark, folder))

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import drawable
+from quire.functions.text import BLANKS as TEXT_BLANKS
+from quire.functions.text import blank_led_words, drawable, unevenly_spaced
 
 # Paper in points, portrait.
 PAPER = {
@@ -231,19 +232,32 @@ def text_items(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.inline("items"))
 
 
-def word_pages(pages: DataFrame) -> DataFrame:
-    """The pages with one item per word, as a scanner or another producer would draw them."""
-    from quire.functions.text import tokens_with_offsets
+def word_rows(pages: DataFrame) -> DataFrame:
+    """One row per word, as a scanner or another producer would draw them.
 
-    def words(item: Column) -> Column:
-        advance = item["width"] / F.length(item["str"])
-        return F.transform(
-            tokens_with_offsets(item["str"]),
-            lambda t, i: F.struct(
-                (item["seq"] * 1000 + i).cast("int").alias("seq"), t["text"].alias("str"),
-                (item["x"] + t["start"] * advance).alias("x"), item["y"].alias("y"),
-                (F.length(t["text"]) * advance).alias("width"), item["height"].alias("height"),
-            ),
+    ``doc_id, page, page_row, seq, str, x, y, width, height``: the words of a page row stay
+    one after another.  Lines leave the row before their words are cut, so all of it is
+    plain projection.  A word's place is told by the text before it; with single spaces,
+    which is nearly all text, that is what comes before the space.
+    """
+    at, piece = F.col("at"), F.col("piece")
+    word = F.when(F.col("odd"), F.ltrim(piece, F.lit(TEXT_BLANKS))).otherwise(piece)
+    before = F.when(
+        F.col("odd"),
+        F.length(F.array_join(F.slice(blank_led_words(F.col("whole")), 1, at + 1), "")) - F.length("str"),
+    ).otherwise(F.when(at == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("whole"), F.lit(" "), at)) + 1))
+    advance = F.col("width") / F.length("whole")
+    return (
+        pages.select("doc_id", "page", "items", F.monotonically_increasing_id().alias("page_row"))
+        .select("doc_id", "page", "page_row", F.inline("items"))
+        .select(
+            "doc_id", "page", "page_row", "seq", F.col("str").alias("whole"), "x", "y", "width", "height",
+            unevenly_spaced(F.col("str")).alias("odd"),
         )
-
-    return pages.withColumn("items", F.flatten(F.transform("items", words)))
+        .select("*", F.posexplode(F.when(F.col("odd"), blank_led_words(F.col("whole"))).otherwise(F.split("whole", " "))).alias("at", "piece"))
+        .select("*", word.alias("str"))
+        .select(
+            "doc_id", "page", "page_row", (F.col("seq") * 1000 + at).cast("int").alias("seq"), "str",
+            (F.col("x") + before * advance).alias("x"), "y", (F.length("str") * advance).alias("width"), "height",
+        )
+    )
