@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.numbers import half_up_to, plain_number
 from quire.functions.text import html_escaped
+from quire.operators.layout import gathered_lines
 
 BYTE_ORDER_MARK = "\ufeff"
 PAGE_BREAK = "\n\f\n"
@@ -56,25 +57,29 @@ def text_documents(page_texts: DataFrame, piece_pages: int = PIECE_PAGES) -> Dat
 
 
 def html_sections(lines: DataFrame, width: float, height: float) -> DataFrame:
-    """One positioned section per page: a span per line, measured from the top left."""
+    """One positioned section per page: a span per line, measured from the top left.
+
+    ``lines``: page rows with their lines, whose sections are made inside the row, or line rows.
+    """
 
     def near(value):
         return plain_number(half_up_to(value, 2))
 
-    span = F.concat(
-        F.lit('<span style="left:'), near(F.col("left")),
-        F.lit("pt;top:"), near(F.lit(height) - F.col("y") - F.col("height")),
-        F.lit("pt;font-size:"), near(F.col("height")), F.lit('pt">'),
-        html_escaped(F.col("text")), F.lit("</span>"),
-    )
-    spans = F.transform(F.sort_array(F.collect_list(F.struct("line", span.alias("span")))), lambda s: s["span"])
+    def span(line):
+        return F.concat(
+            F.lit('<span style="left:'), near(line["left"]),
+            F.lit("pt;top:"), near(F.lit(height) - line["y"] - line["height"]),
+            F.lit("pt;font-size:"), near(line["height"]), F.lit('pt">'),
+            html_escaped(line["text"]), F.lit("</span>"),
+        )
+
+    pages = gathered_lines(lines, ["text", "y", "left", "height"])
     head = F.concat(
         F.lit(f'<section class="page" style="width:{width:g}pt;height:{height:g}pt" aria-label="Page '),
         F.col("page").cast("string"), F.lit('">'),
     )
-    return lines.groupBy("doc_id", "page").agg(F.array_join(spans, "\n").alias("spans")).select(
-        "doc_id", "page", F.concat(head, F.lit("\n"), F.col("spans"), F.lit("\n</section>")).alias("section")
-    )
+    spans = F.array_join(F.transform("lines", span), "\n")
+    return pages.select("doc_id", "page", F.concat(head, F.lit("\n"), spans, F.lit("\n</section>")).alias("section"))
 
 
 def write_parts(df: DataFrame, path: str, part: str = "part") -> None:

@@ -54,3 +54,8 @@ def test_lines_and_paragraphs_of_pages_are_not_shuffled_again(spark):
         assert plan.count("Exchange") <= 1 and "Window" not in plan, name  # the documents are spread, nothing more
     plan = QUERIES["table_cells"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_sections_of_pages_are_made_inside_the_row(spark):
+    plan = QUERIES["html_sink"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
