@@ -195,11 +195,8 @@ def _median(values: Column) -> Column:
     )
 
 
-def blocks(page_lines: DataFrame) -> DataFrame:
-    """Paragraphs: ``doc_id, page, block, text, height, left, right, top_y, lines, heading``.
-
-    Worked out inside the page row; nothing is shuffled when ``page_lines`` are page rows.
-    """
+def paragraphs(lines: Column) -> Column:
+    """The paragraphs of a page's lines: an array, worked out inside the row; no lines have none."""
 
     def starts(lines: Column) -> Column:
         """Places (from 1) where a paragraph begins, and one past the end."""
@@ -241,25 +238,25 @@ def blocks(page_lines: DataFrame) -> DataFrame:
         )
 
     facts = F.struct(
-        F.col("lines").alias("lines"), starts(F.col("lines")).alias("at"),
-        _median(F.transform("lines", lambda r: r["height"])).alias("body"),
+        lines.alias("lines"), starts(lines).alias("at"), _median(F.transform(lines, lambda r: r["height"])).alias("body")
     )
-    return (
-        gathered_lines(page_lines, ["text", "y", "left", "right", "height"])
-        .where(F.size("lines") > 0)
-        .select(*PAGE, F.inline(let(facts, shared)))
-        .select(
-            *PAGE,
-            "block",
-            collapsed(F.col("joined")).alias("text"),
-            "height",
-            "left",
-            "right",
-            "top_y",
-            "lines",
-            ((F.col("height") > F.col("body") * HEADING_SHARE) & (F.col("lines") <= HEADING_LINES)).alias("heading"),
-        )
+    found = F.transform(
+        let(facts, shared),
+        lambda b: F.struct(
+            b["block"].alias("block"), collapsed(b["joined"]).alias("text"), *[b[c].alias(c) for c in ("height", "left", "right", "top_y", "lines")],
+            ((b["height"] > b["body"] * HEADING_SHARE) & (b["lines"] <= HEADING_LINES)).alias("heading"),
+        ),
     )
+    return F.when(F.size(lines) > 0, found)
+
+
+def blocks(page_lines: DataFrame) -> DataFrame:
+    """Paragraphs: ``doc_id, page, block, text, height, left, right, top_y, lines, heading``.
+
+    Worked out inside the page row; nothing is shuffled when ``page_lines`` are page rows.
+    """
+    pages = gathered_lines(page_lines, ["text", "y", "left", "right", "height"])
+    return pages.select(*PAGE, F.inline(paragraphs(F.col("lines"))))
 
 
 def column_starts(items: Column, height: Column) -> Column:
@@ -433,27 +430,28 @@ def document_paragraphs(page_lines: DataFrame) -> DataFrame:
 
     ``doc_id, page, part, ord, heading, half_points, text``
     """
-    pages = shaped_pages(page_lines)
-    outside = pages.select(*PAGE, F.inline(F.filter("lines", lambda r: ~r["in_table"])))
-    body = blocks(outside.drop("in_table")).select(
-        *PAGE,
-        F.lit("block").alias("part"),
-        F.col("block").cast("int").alias("ord"),
-        "heading",
-        half_up(F.col("height") * 2).cast("int").alias("half_points"),
-        "text",
+    pages = shaped_pages(page_lines).select(
+        *PAGE, "columns",
+        paragraphs(F.filter("lines", lambda r: ~r["in_table"])).alias("body"),
+        F.filter("lines", lambda r: r["in_table"]).alias("rows"),
     )
-    table = pages.select(
-        *PAGE, "columns", F.explode(F.filter("lines", lambda r: r["in_table"])).alias("row")
-    ).select(
-        *PAGE,
-        F.lit("table").alias("part"),
-        F.col("row.line").alias("ord"),
-        F.lit(False).alias("heading"),
-        F.lit(None).cast("int").alias("half_points"),
-        F.array_join(cells(F.col("row.items"), F.col("columns")), "\t").alias("text"),
+    body = F.transform(
+        "body",
+        lambda b: F.struct(
+            F.lit("block").alias("part"), b["block"].cast("int").alias("ord"), b["heading"].alias("heading"),
+            half_up(b["height"] * 2).cast("int").alias("half_points"), b["text"].alias("text"),
+        ),
+    )
+    table = F.transform(
+        "rows",
+        lambda r: F.struct(
+            F.lit("table").alias("part"), r["line"].alias("ord"), F.lit(False).alias("heading"),
+            F.lit(None).cast("int").alias("half_points"), F.array_join(cells(r["items"], F.col("columns")), "\t").alias("text"),
+        ),
     )
-    return body.unionByName(table)
+    # Both parts leave the row together, so the lines are read once.
+    parts = F.when(F.col("body").isNull(), table).otherwise(F.concat(body, table))
+    return pages.select(*PAGE, F.inline(parts))
 
 
 def slide_boxes(page_blocks: DataFrame, page_height: float) -> DataFrame:

@@ -59,3 +59,8 @@ def test_lines_and_paragraphs_of_pages_are_not_shuffled_again(spark):
 def test_sections_of_pages_are_made_inside_the_row(spark):
     plan = QUERIES["html_sink"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1
+
+
+def test_paragraphs_and_table_rows_read_the_lines_once(spark):
+    plan = QUERIES["word_paragraphs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
