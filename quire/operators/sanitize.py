@@ -60,6 +60,11 @@ def rules() -> dict[str, Rule]:
     }
 
 
+def bit(category: Column) -> Column:
+    """The bit of a category in a set of categories, which is one number."""
+    return F.coalesce(*[F.when(category == name, F.lit(1 << n)) for n, name in enumerate(rules())], F.lit(0))
+
+
 def findings(tables: dict[str, DataFrame]) -> DataFrame:
     """Hidden information of all tables: ``doc_id, category, ord, label``; a table that is not given has none."""
     found = [
@@ -77,13 +82,15 @@ def sanitize(tables: dict[str, DataFrame], decisions: DataFrame, revisions: Data
 
     ``decisions``: doc_id, category, revision (at which it was taken); ``revisions``:
     doc_id, revision.  A decision taken at another revision than the latest is refused and
-    changes nothing.  One frame of decisions is routed to every table: a row goes, or is
-    emptied, when its document and the category it holds were chosen.  A table of several
-    categories is joined once.
+    changes nothing.  One row of decisions for each document is routed to every table: a
+    row goes, or is emptied, when its document and the category it holds were chosen.  A
+    table of several categories is joined once.
     """
-    judged = fresh_plans(decisions.select("doc_id", F.col("category").alias("plan"), "revision"), revisions)
-    refused = judged.where("error is not null").select("doc_id", F.col("plan").alias("category"), "revision", "error")
-    chosen = judged.where("error is null").select("doc_id", F.col("plan").alias("_category")).distinct().withColumn("_chosen", F.lit(True))
+    refused = fresh_plans(decisions.select("doc_id", F.col("category").alias("plan"), "revision"), revisions).where("error is not null").select(
+        "doc_id", F.col("plan").alias("category"), "revision", "error"
+    )
+    plans = decisions.groupBy("doc_id", "revision").agg(F.bit_or(bit(F.col("category"))).alias("plan"))
+    chosen = fresh_plans(plans, revisions).where("error is null").groupBy("doc_id").agg(F.bit_or("plan").alias("_chosen"))
     after = {}
     for name, table in tables.items():
         mine = {category: rule for category, rule in rules().items() if rule.table == name}
@@ -91,12 +98,12 @@ def sanitize(tables: dict[str, DataFrame], decisions: DataFrame, revisions: Data
             after[name] = table
             continue
         held = F.coalesce(*[F.when(rule.found, F.lit(category)) for category, rule in mine.items()])
-        marked = table.withColumn("_category", held).join(chosen, ["doc_id", "_category"], "left")
-        hit = F.col("_chosen").isNotNull()
+        marked = table.join(chosen, "doc_id", "left")
+        hit = F.coalesce(F.col("_chosen").bitwiseAND(bit(held)) > 0, F.lit(False))
         emptied = {c: v for rule in mine.values() for c, v in rule.emptied.items()}
-        kept = marked if emptied else marked.where(~hit)
+        kept = marked.withColumn("_hit", hit) if emptied else marked.where(~hit)
         for column, value in emptied.items():
-            kept = kept.withColumn(column, F.when(hit, value).otherwise(F.col(column)))
+            kept = kept.withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column)))
         after[name] = kept.select(*table.columns)
     return after, refused
 

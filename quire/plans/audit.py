@@ -315,11 +315,12 @@ def sanitized_tables(spark, folder):
 
     tables = hidden_tables(spark, folder)
     after, _ = rules.sanitize(tables, *sanitize_decisions(spark, folder))
-    counted = lambda found, name: found.groupBy("doc_id", "category").agg(F.count("*").alias(name))
     kept = lambda held: held["fields"].select("doc_id", F.lit("fields").alias("category"))
-    both = lambda held: rules.findings(held).select("doc_id", "category").unionByName(kept(held))
-    return counted(both(tables), "before").join(counted(both(after), "after"), ["doc_id", "category"], "left").select(
-        "doc_id", "category", "before", F.coalesce("after", F.lit(0)).alias("after")
+    both = lambda held, b, a: rules.findings(held).select("doc_id", "category").unionByName(kept(held)).select(
+        "doc_id", "category", F.lit(b).alias("b"), F.lit(a).alias("a")
+    )
+    return both(tables, 1, 0).unionByName(both(after, 0, 1)).groupBy("doc_id", "category").agg(
+        F.sum("b").alias("before"), F.sum("a").alias("after")
     )
 
 
