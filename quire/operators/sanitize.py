@@ -110,5 +110,9 @@ def sanitize(tables: dict[str, DataFrame], decisions: DataFrame, revisions: Data
 
 def left_over(after: dict[str, DataFrame], decisions: DataFrame, refused: DataFrame) -> DataFrame:
     """The proof: findings of a category that was chosen and not refused.  Must be empty."""
-    done = decisions.select("doc_id", "category").distinct().join(refused.select("doc_id", "category"), ["doc_id", "category"], "left_anti")
-    return findings(after).join(done, ["doc_id", "category"], "left_semi")
+    asked = decisions.select("doc_id", bit(F.col("category")).alias("asked"), F.lit(0).alias("refused")).unionByName(
+        refused.select("doc_id", F.lit(0).alias("asked"), bit(F.col("category")).alias("refused"))
+    )
+    done = asked.groupBy("doc_id").agg(F.bit_or("asked").bitwiseAND(F.bitwise_not(F.bit_or("refused"))).alias("_done")).where("_done > 0")
+    found = findings(after)
+    return found.join(done, "doc_id").where(F.col("_done").bitwiseAND(bit(F.col("category"))) > 0).select(*found.columns)
