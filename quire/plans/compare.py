@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.functions import let
 from quire.operators import compare as ops
 from quire.plans import shared_sql as q
 from quire.plans.geometry import _RECTS_SQL, rects
 from quire.plans.registry import query
 from quire.plans.search import pages_of
 from quire.session import cut_lineage, spread, table
-from quire.sources.paginate import paginate
+from quire.sources.paginate import page_counts, paginate
+
+
+def least_runs(batches: Iterator[pa.RecordBatch], words: int = 5, most: int = 8) -> Iterator[pa.RecordBatch]:
+    """The least MD5 hashes of a text's distinct runs of words, a row for each."""
+    for batch in batches:
+        ids, counts, keys = [], [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            cut = text.split(" ")
+            # Runs as the words after each other; a text of fewer words is one run.
+            runs = {" ".join(run) for run in zip(*[cut[n:] for n in range(words)])} if len(cut) >= words else {text}
+            found = nsmallest(most, {md5(run.encode(), usedforsecurity=False).digest() for run in runs})
+            ids += [doc_id] * len(found)
+            counts += [len(found)] * len(found)
+            keys += found
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "n", "key"])
 
 
 def revision_pairs(spark, folder):
@@ -22,14 +41,8 @@ def revision_pairs(spark, folder):
     it; a document is a revision of the one that at least half of its keys vote for, the
     most first.  A star, never all pairs.
     """
-    def runs_of(words):
-        run = lambda i: F.md5(F.array_join(F.slice(words, i, F.lit(5)), " "))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), run)
-
-    runs = let(F.split("text", " "), runs_of)
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    keys = documents.where("text is not null").select("doc_id", F.slice(F.array_sort(F.array_distinct(runs)), 1, 8).alias("keys"))
-    keyed = cut_lineage(keys.select("doc_id", F.size("keys").alias("n"), F.explode("keys").alias("key")))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").where("text is not null")
+    keyed = cut_lineage(documents.mapInArrow(least_runs, "doc_id long, n int, key binary"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("original"), F.count("*").alias("holders")).where("holders > 1")
     votes = keyed.join(first, "key").where("doc_id > original").groupBy("doc_id", "n", "original").agg(F.count("*").alias("votes"))
     chosen = votes.where("2 * votes >= n").groupBy("doc_id").agg(F.max_by("original", F.struct("votes", -F.col("original"))).alias("original"))
@@ -52,8 +65,8 @@ pp AS (SELECT pair_id, pos - least(1, 1 - off) + 1 AS "index", original, CASE WH
 
 @query("page_pairs", "J1", f"WITH {q.LINES}, {_PAIRS_SQL} SELECT * FROM pp")
 def page_pairs(spark, folder):
-    counts = pages_of(spark, folder).where("page = 1").select("doc_id", "page_count")
-    return ops.page_pairs(revision_pairs(spark, folder), counts)
+    pairs = cut_lineage(revision_pairs(spark, folder))
+    return ops.page_pairs(pairs, cut_lineage(page_counts(paired_documents(spark, folder, pairs))))
 
 
 @query(
@@ -94,17 +107,17 @@ def page_size_differences(spark, folder):
     return ops.size_differences(both, page_sizes(pages)).select("pair_id", "index", "kind", "summary")
 
 
-def paired_pages(spark, folder, pairs):
-    """Only documents with a counterpart are laid out, and once: pairing, sizes and
-    both sides' words all read the same pages."""
+def paired_documents(spark, folder, pairs):
+    """Only documents with a counterpart are laid out."""
     ids = pairs.select(F.col("original").alias("doc_id")).unionByName(pairs.select(F.col("revised").alias("doc_id")))
     documents = table(spark, folder, "documents").select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
-    return cut_lineage(paginate(spread(documents, "doc_id")))
+    return spread(documents, "doc_id")
 
 
 def differences(spark, folder):
     pairs = cut_lineage(revision_pairs(spark, folder)).withColumn("offset", F.lit(0))
-    pages = paired_pages(spark, folder, pairs)
+    # Once: pairing, sizes and both sides' words all read the same pages.
+    pages = cut_lineage(paginate(paired_documents(spark, folder, pairs)))
     return ops.compare_documents(pairs, pages, page_sizes(pages))
 
 

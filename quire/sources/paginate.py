@@ -148,9 +148,8 @@ def wrapped_text(text: Column, columns: int) -> Column:
     )
 
 
-def page_lines(documents: DataFrame, setup: PageSetup = A4) -> DataFrame:
-    """``doc_id, page_count, page, lines``: one row per page, no shuffle."""
-    per_page = setup.lines_per_page
+def _wrapped(documents: DataFrame, setup: PageSetup) -> DataFrame:
+    """``doc_id, all_lines, page_count``: one row per document."""
     return (
         documents.select(
             "doc_id",
@@ -160,8 +159,21 @@ def page_lines(documents: DataFrame, setup: PageSetup = A4) -> DataFrame:
         .select(
             "doc_id",
             "all_lines",
-            F.greatest(F.ceil(F.size("all_lines") / per_page), F.lit(1)).cast("int").alias("page_count"),
+            F.greatest(F.ceil(F.size("all_lines") / setup.lines_per_page), F.lit(1)).cast("int").alias("page_count"),
         )
+    )
+
+
+def page_counts(documents: DataFrame, setup: PageSetup = A4) -> DataFrame:
+    """``doc_id, page_count``: the pages ``paginate`` makes, without making them."""
+    return _wrapped(documents, setup).select("doc_id", "page_count")
+
+
+def page_lines(documents: DataFrame, setup: PageSetup = A4) -> DataFrame:
+    """``doc_id, page_count, page, lines``: one row per page, no shuffle."""
+    per_page = setup.lines_per_page
+    return (
+        _wrapped(documents, setup)
         .withColumn("page", F.explode(F.sequence(F.lit(1), F.col("page_count"))))
         .select(
             "doc_id",
