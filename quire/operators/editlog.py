@@ -192,24 +192,35 @@ def metadata_edits(base: DataFrame, changes: DataFrame) -> DataFrame:
     return merged.where("value <> ''")
 
 
+def _title(entry: str | list) -> str:
+    return entry if isinstance(entry, str) else entry[0]
+
+
 class OutlineEdits:
-    """One document's outline as nested lists, edited by path."""
+    """One document's outline as nested lists, edited by path.
+
+    Most entries have none below, so such an entry is its title alone; another is a list
+    of its title and the entries below it.
+    """
 
     def __init__(self):
-        self.top: list[dict] = []
+        self.top: list[str | list] = []
 
-    def _at(self, path: str | None) -> list[dict]:
+    def _at(self, path: str | None) -> list[str | list]:
         entries = self.top
         for step in path.split(".") if path else []:
             if not step.isdigit() or int(step) >= len(entries):
                 raise Refused("That bookmark is not in this document any more.")
-            entries = entries[int(step)]["children"]
+            entry = entries[int(step)]
+            if isinstance(entry, str):
+                entry = entries[int(step)] = [entry, []]
+            entries = entry[1]
         return entries
 
-    def _entry(self, row: dict) -> tuple[list[dict], int]:
+    def _entry(self, row: dict) -> tuple[list[str | list], int]:
         above, _, last = (row["path"] or "").rpartition(".")
         siblings = self._at(above)
-        if not last.isdigit() or int(last) >= len(siblings) or siblings[int(last)]["title"] != row["expected"]:
+        if not last.isdigit() or int(last) >= len(siblings) or _title(siblings[int(last)]) != row["expected"]:
             raise Refused("That bookmark is not in this document any more.")
         return siblings, int(last)
 
@@ -226,11 +237,14 @@ class OutlineEdits:
         if kind in ("open", "addBookmark"):
             siblings = self._at(row["parent"])
             place = len(siblings) if row["index"] is None else max(0, min(int(row["index"]), len(siblings)))
-            siblings.insert(place, {"title": title, "children": []})
+            siblings.insert(place, title)
             return
         siblings, place = self._entry(row)
         if kind == "updateBookmark":
-            siblings[place]["title"] = title
+            if isinstance(siblings[place], str):
+                siblings[place] = title
+            else:
+                siblings[place][0] = title
         elif kind == "deleteBookmark":
             del siblings[place]
         elif kind == "moveBookmark":
@@ -246,16 +260,17 @@ class OutlineEdits:
             target.insert(to, entry)
 
     def finish(self):
-        rows = []
-
-        def walk(entries, above):
-            for n, entry in enumerate(entries):
-                path = f"{above}.{n}" if above else str(n)
-                rows.append((path, entry["title"], None, None))
-                walk(entry["children"], path)
-
-        walk(self.top, "")
-        return rows
+        open_lists = [("", enumerate(self.top))]
+        while open_lists:
+            above, entries = open_lists[-1]
+            n, entry = next(entries, (None, None))
+            if n is None:
+                open_lists.pop()
+                continue
+            path = f"{above}{n}"
+            yield path, _title(entry), None, None
+            if not isinstance(entry, str):
+                open_lists.append((f"{path}.", enumerate(entry[1])))
 
 
 OUTLINE_LOG = ("doc_id", "ord", "kind", "path", "expected", "parent", "index", "title")

@@ -7,10 +7,12 @@ state: a very long history costs time, never memory.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+PIECE = 10000
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
@@ -20,7 +22,7 @@ def ordered_fold(
     """Run a state object over each key's rows in order.
 
     ``new_state()`` makes an object with ``step(row)`` and ``finish()``, both giving
-    the tuples to emit (without the keys, which are put in front).  Rows travel as
+    the tuples to emit (without the keys, which are put in front), as lists or generators.  Rows travel as
     Arrow, so a missing number stays missing and a large one stays exact.
     """
     fields = [tuple(part.split()) for part in schema.split(", ")]
@@ -32,22 +34,23 @@ def ordered_fold(
             [pa.array(column, type=field.type) for column, field in zip(columns, layout)], schema=layout
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         current, state = None, None
         for batch in batches:
-            out: list[tuple] = []
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
                 if key != current:
                     if state is not None:
-                        out += [current + tuple(r) for r in state.finish()]
+                        yield from (current + tuple(r) for r in state.finish())
                     current, state = key, new_state()
-                out += [key + tuple(r) for r in state.step(row)]
-            if out:
-                yield framed(out)
+                yield from (key + tuple(r) for r in state.step(row))
         if state is not None:
-            last = [current + tuple(r) for r in state.finish()]
-            if last:
-                yield framed(last)
+            yield from (current + tuple(r) for r in state.finish())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a state tells at its end may be as long as its history, so it leaves in pieces.
+        rows = told(batches)
+        while out := list(islice(rows, PIECE)):
+            yield framed(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
