@@ -230,36 +230,88 @@ def _meets(item: Column, mark: Column) -> Column:
 
 
 def _with_marks(pages: DataFrame, marks: DataFrame, *columns: Column) -> DataFrame:
-    """Pages that have marks: ``doc_id, page, items, marks``; a page's marks come to its row."""
+    """Pages that have marks: ``doc_id, page, items, marks``; a page's marks come to its row.
+
+    Marks are far smaller than the pages they lie on, so a task looks its pages up among
+    its marks and no page row is sorted.
+    """
     by_page = marks.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*columns)).alias("marks"))
     drawn = F.transform(
         F.filter("items", lambda i: i["str"] != ""), lambda i: F.struct(*[i[n].alias(n) for n in ("seq", "str", "x", "y", "width", "height")])
     )
-    return pages.select("doc_id", "page", drawn.alias("items")).join(by_page, ["doc_id", "page"])
+    return pages.select("doc_id", "page", drawn.alias("items")).join(by_page.hint("shuffle_hash"), ["doc_id", "page"])
+
+
+def _set_evenly(item: Column) -> Column:
+    """What all glyphs of an item share: how many they are, and the rest of their boxes."""
+    return F.struct(
+        F.length(item["str"]).alias("n"), (item["width"] / F.length(item["str"])).alias("advance"),
+        (item["y"] + item["height"] * DESCENT).alias("y"), (item["height"] * (ASCENT - DESCENT)).alias("height"),
+    )
+
+
+def _glyph_box(item: Column, shared: Column, i: Column) -> Column:
+    """The box of an item's glyph at place ``i``, as ``item_glyphs`` sets it."""
+    return g.rect(item["x"] + i * shared["advance"], shared["y"], shared["advance"], shared["height"])
+
+
+def _taken(item: Column, shared: Column, mark: Column) -> Column:
+    """Places of an item's glyphs that a mark takes.
+
+    A glyph goes only if its middle, or its share of the text size, is between the mark's
+    ends.  Glyphs stand evenly, so the ends tell which can go, and, where the mark holds the
+    middle of the line, which do; only those at the ends are measured.  Where glyphs are
+    too narrow for that beside numbers as large, all are.
+    """
+    advance, last = shared["advance"], shared["n"] - 1
+    covered = lambda i: g.glyph_covered(_glyph_box(item, shared, i), mark)
+    known = lambda c: F.abs(c) < 1e300  # noqa: E731  neither NaN nor infinite
+    told = (advance != 0) & known(advance) & (F.abs(item["x"]) <= F.abs(advance) * 1e12) & known(mark["x"]) & known(g.right(mark))
+    at = lambda x: F.greatest(F.lit(-9.0), F.least((x - item["x"]) / advance, last + 9.0))
+    held = lambda n: F.greatest(F.lit(0), F.least(n.cast("int"), last))
+    slack, middle = 0.01, shared["y"] + shared["height"] / 2
+
+    def ranges(ends: Column) -> Column:
+        begin, end = F.least(ends["a"], ends["b"]), F.greatest(ends["a"], ends["b"])
+        low = held(F.ceil(begin - (1 - g.GLYPH_SHARE + slack)))
+        return F.struct(
+            low.alias("low"), F.greatest(low, held(F.floor(end - (g.GLYPH_SHARE - slack)))).alias("high"), F.ceil(begin - (0.5 - slack)).cast("int").alias("first"),
+            F.when((middle >= mark["y"]) & (middle <= g.top(mark)), F.floor(end - (0.5 + slack)).cast("int")).otherwise(-1).alias("last"),
+        )
+
+    def found(r: Column) -> Column:
+        """From the first to the last that surely go, and one beside each; or those measured."""
+        first = F.greatest(F.lit(0), F.when(covered(r["first"] - 1), r["first"] - 1).otherwise(r["first"]))
+        end = F.least(last, F.when(covered(r["last"] + 1), r["last"] + 1).otherwise(r["last"]))
+        some = (r["first"] <= r["last"]) & (r["first"] <= last) & (r["last"] >= 0)
+        return F.when(some, F.sequence(first, end)).otherwise(F.filter(F.sequence(r["low"], r["high"]), covered))
+
+    ends = F.struct(at(mark["x"]).alias("a"), at(g.right(mark)).alias("b"))
+    return F.when(told, let(let(ends, ranges), found)).otherwise(F.filter(F.sequence(F.lit(0), last), covered))
 
 
 def marked_glyphs(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """Glyphs each mark takes: ``id`` with the glyph's columns.
 
     ``marks``: id, doc_id, page, x, y, width, height (one row per rectangle).  A page's
-    marks come to its row; only items that a mark meets are set as glyphs, inside the
+    marks come to its row; only glyphs that a mark can reach are looked at, inside the
     row, and only glyphs that a mark takes leave it.
     """
     met = _with_marks(pages, marks, F.col("id"), F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     kept = ["run", "glyph", "ch", "x", "y", "width", "height"]
 
+    def glyph(item: Column, shared: Column, mark: Column, i: Column) -> Column:
+        box = _glyph_box(item, shared, i)
+        return F.struct(
+            mark["id"].alias("id"), item["seq"].alias("run"), i.alias("glyph"), F.substring(item["str"], i + 1, F.lit(1)).alias("ch"),
+            *[box[n].alias(n) for n in ("x", "y", "width", "height")],
+        )
+
     def taken(item: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.filter("marks", lambda m: _meets(item, m)),
-                lambda m: F.transform(
-                    F.filter(
-                        F.transform(item_glyphs(item), lambda c, i: c.withField("glyph", i)),
-                        lambda c: g.glyph_covered(g.rect(c["x"], c["y"], c["width"], c["height"]), m),
-                    ),
-                    lambda c: F.struct(m["id"].alias("id"), *[c[n].alias(n) for n in kept]),
-                ),
-            )
+        under = F.filter("marks", lambda m: _meets(item, m))
+        return let(
+            _set_evenly(item),
+            lambda shared: F.flatten(F.transform(under, lambda m: F.transform(_taken(item, shared, m), lambda i: glyph(item, shared, m, i)))),
         )
 
     hits = met.select("doc_id", "page", F.inline(F.flatten(F.transform("items", taken))))
@@ -286,32 +338,34 @@ def mark_texts(hits: DataFrame) -> DataFrame:
 
 
 def _kept_pieces(item: Column, marks: Column) -> Column:
-    """The pieces of an item that its page's marks leave; whole where no mark meets it."""
+    """The pieces of an item that its page's marks leave; whole where no mark meets it.
+
+    What is left lies between the places taken, so only glyphs near a mark are looked at.
+    """
     piece = lambda n, text, x, width: F.struct(
         item["seq"].alias("seq"), n.alias("piece"), text.alias("str"), x.alias("x"), item["y"].alias("y"), width.alias("width"), item["height"].alias("height")
     )
     met = F.exists(marks, lambda m: _meets(item, m))
     whole = F.array(piece(F.lit(0), item["str"], item["x"], item["width"]))
 
-    def cut(glyphs: Column) -> Column:
-        gone = F.transform(glyphs, lambda c: F.exists(marks, lambda m: g.glyph_covered(g.rect(c["x"], c["y"], c["width"], c["height"]), m)))
+    def cut(shared: Column) -> Column:
+        gone = F.sort_array(F.array_distinct(F.flatten(
+            F.transform(F.filter(marks, lambda m: _meets(item, m)), lambda m: _taken(item, shared, m))
+        )))
 
-        def split(gone: Column) -> Column:
-            at = lambda i: F.coalesce(F.get(gone, i), F.lit(True))  # noqa: E731  beyond both ends nothing is kept
-            every = F.sequence(F.lit(0), F.size(gone) - 1)
-            begins = F.filter(every, lambda i: ~at(i) & at(i - 1))
-            ends = F.filter(every, lambda i: ~at(i) & at(i + 1))
+        def between(gone: Column) -> Column:
+            gaps = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("b"), F.concat(gone, F.array(shared["n"])).alias("e"))
             return F.transform(
-                F.arrays_zip(begins.alias("b"), ends.alias("e")),
+                F.filter(gaps, lambda r: r["e"] - r["b"] > 1),
                 lambda r, n: piece(
-                    n, F.substring(item["str"], r["b"] + 1, r["e"] - r["b"] + 1), F.get(glyphs, r["b"])["x"],
-                    (item["width"] / F.length(item["str"])) * (r["e"] - r["b"] + 1),
+                    n, F.substring(item["str"], r["b"] + 2, r["e"] - r["b"] - 1), item["x"] + (r["b"] + 1) * shared["advance"],
+                    shared["advance"] * (r["e"] - r["b"] - 1),
                 ),
             )
 
-        return let(gone, split)
+        return let(gone, between)
 
-    return F.when(met, let(item_glyphs(item), cut)).otherwise(whole)
+    return F.when(met, let(_set_evenly(item), cut)).otherwise(whole)
 
 
 def redacted_items(pages: DataFrame, marks: DataFrame) -> DataFrame:
