@@ -48,32 +48,50 @@ def unreachable(nodes: DataFrame, seeds: DataFrame, edges: DataFrame, keys: list
 def chained(links: DataFrame, keys: list[str]) -> DataFrame:
     """Place in a linked list: ``keys, node, head, place``; ``links``: keys, node, next.
 
-    Every node jumps twice as far back in each round, so a list of a million
-    entries takes twenty joins, not a million, and the rounds end when nothing moves
-    or a list of all rows would be through.  Nodes of a closed loop have neither head
-    nor place.
+    Nodes of a closed loop have neither head nor place; the rest is as in ``ranked``.
     """
     back = links.where("next is not null").select(*keys, F.col("next").alias("node"), F.col("node").alias("before"))
-    state = cut_lineage(
-        links.select(*keys, "node")
-        .join(back, [*keys, "node"], "left")
-        .select(
-            *keys, "node", F.coalesce("before", "node").alias("head"),
-            F.col("before").isNotNull().cast("bigint").alias("place"),
+    return ranked(links.select(*keys, "node").join(back, [*keys, "node"], "left"), keys)
+
+
+def ranked(nodes: DataFrame, keys: list[str], told: tuple[str, ...] = (), own: tuple[str, ...] = ()) -> DataFrame:
+    """Place in a linked list: ``keys, node, head, place``, what the head has ``told`` and the node's ``own`` columns.
+
+    ``nodes``: keys, node, before (null at the head of a list) and those columns.
+    Every node jumps twice as far back in each round, so a list of a million entries takes
+    twenty joins, not a million.  A node that has met its head is written once and jumps no
+    more; it stays for others to land on only while one does.  So a round reads and writes
+    the longer lists alone, and short lists cost what they would without long ones beside
+    them.  The rounds end when no node is left, or a list of all nodes would be through;
+    nodes of a closed loop have neither head nor place.
+    """
+    spark = nodes.sparkSession
+    place = F.col("before").isNotNull().cast("bigint")
+    state = cut_lineage(nodes.select(
+        *keys, "node", F.coalesce("before", "node").alias("head"), place.alias("place"), (place == 0).alias("done"), (place == 0).alias("fresh"),
+        *[F.when(place == 0, F.col(c)).alias(c) for c in told], *own,
+    ))
+    columns = state.columns
+    most = state.count().bit_length() + 1
+    steps = [state]
+    for _ in range(most):
+        if state.where("not done").isEmpty():
+            break
+        there = state.select(*keys, F.col("node").alias("head"), F.struct(*[c for c in columns if c not in keys]).alias("there"))
+        met = F.col("there.done")
+        lands = F.struct(
+            F.col("node"), F.col("there.head").alias("head"), (F.col("place") + F.col("there.place")).alias("place"), met.alias("done"), met.alias("fresh"),
+            *[F.col(f"there.{c}").alias(c) for c in told], *own,
         )
+        stays = F.struct(*[(F.lit(False) if c == "fresh" else F.col(f"there.{c}")).alias(c) for c in columns if c not in keys])
+        jumps = state.where("not done").select(*keys, "node", "head", "place", *own).join(there, [*keys, "head"])
+        state = cut_lineage(jumps.select(*keys, F.explode(F.when(met, F.array(lands, stays)).otherwise(F.array(lands))).alias("row")).select(*keys, "row.*").select(*columns))
+        steps.append(state)
+    settled = spark.read.schema(state.schema).parquet(*[step.step_path for step in steps]).where("fresh")
+    circling = state.where("not done").select(
+        *keys, "node", *[F.lit(None).cast(kind).alias(c) for c, kind in state.dtypes if c in ("head", "place", *told)], *own
     )
-    for _ in range(state.count().bit_length() + 1):
-        ahead = state.select(*keys, F.col("node").alias("head"), F.col("head").alias("further"), F.col("place").alias("more"))
-        before, state = state, cut_lineage(
-            state.join(ahead, [*keys, "head"]).select(
-                *keys, "node", F.col("further").alias("head"), (F.col("place") + F.col("more")).alias("place"),
-                (F.col("more") > 0).alias("moved"),
-            )
-        )
-        discard(before)
-        if state.where("moved").isEmpty():
-            break
-    return state.select(*keys, "node", *[F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("head", "place")])
+    return settled.select(*keys, "node", "head", "place", *told, *own).unionByName(circling)
 
 
 def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,26 +100,29 @@ def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
     ``nodes``: keys, node, first, next (nullable), is_root (the first top entry).
     Result: keys, node, parent, level, path (``0.2.1``) and the path as numbers, ``order``.
     Siblings are ranked by pointer jumping, and so are the paths put together.  An entry two links lead to keeps the first link met
-    (a first-child link, else the lowest node), so a damaged tree stays a tree.
+    (a first-child link, else the lowest node), so a damaged tree stays a tree.  Nodes are read once: each says what it
+    leads to, and what is said of an entry is gathered in one grouping.
     """
-    child_of = nodes.where("first is not null").groupBy(*keys, F.col("first").alias("node")).agg(F.min("node").alias("parent"))
-    roots = nodes.where("is_root").select(*keys, "node")
-    headed = child_of.select(*keys, "node").unionByName(roots).distinct()
-    nexts = (
-        nodes.where("next is not null")
-        .groupBy(*keys, F.col("next").alias("after"))
-        .agg(F.min("node").alias("node"))
-        .join(headed.withColumnRenamed("node", "after"), [*keys, "after"], "left_anti")
-        .select(*keys, "node", F.col("after").alias("next"))
+    kind = dict(nodes.dtypes)["node"]
+
+    def said(node, own=False, top=None, leads=None, parent=None, before=None):
+        flags = [F.lit(own).alias("own"), F.lit(top).cast("boolean").alias("top"), F.lit(leads).cast("boolean").alias("leads")]
+        return F.struct(F.col(node).cast(kind).alias("node"), *flags, F.lit(parent).cast(kind).alias("parent"), F.lit(before).cast(kind).alias("before"))
+
+    node = F.col("node")
+    three = F.array(said("node", True, F.col("is_root"), F.col("first").isNotNull()), said("first", parent=node), said("next", before=node))
+    met = (
+        nodes.select(*keys, F.explode(three).alias("said")).where("said.node is not null").select(*keys, "said.*")
+        .groupBy(*keys, "node")
+        .agg(*[F.max(c).alias(c) for c in ("own", "top", "leads")], F.min("parent").alias("parent"), F.min("before").alias("before"))
+        .where("own")
     )
-    links = nodes.select(*keys, "node").join(nexts, [*keys, "node"], "left")
-    ranked = chained(links, keys).join(
-        child_of.withColumnRenamed("node", "head"), [*keys, "head"], "left"
+    heads = F.col("parent").isNotNull() | F.coalesce("top", F.lit(False))
+    linked = met.select(
+        *keys, "node", F.when(~heads, F.col("before")).alias("before"), F.coalesce("top", F.lit(False)).alias("top"), "parent", "leads"
     )
-    ranked = cut_lineage(ranked.join(roots.select(*keys, F.col("node").alias("head"), F.lit(True).alias("top")), [*keys, "head"], "left"))
-    start = ranked.where("top or parent is not null").select(
-        *keys, "node", F.when(F.col("top").isNull(), F.col("parent")).alias("parent"), F.array("place").alias("order"),
-        F.col("top").isNotNull().alias("done"),
+    start = ranked(linked, keys, ("top", "parent"), ("leads",)).where("top or parent is not null").select(
+        *keys, "node", F.when(~F.col("top"), F.col("parent")).alias("parent"), F.array("place").alias("order"), F.col("top").alias("done"), "leads"
     )
     return climbed(start, keys).select(
         *keys, "node", "parent", F.size("order").alias("level"),
@@ -112,26 +133,37 @@ def outline_rows(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def climbed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Every entry's whole ``order``, from pieces and parent links, by pointer doubling.
 
-    ``rows``: keys, node, parent, order (the piece of the entry itself) and done (it is
-    a top entry).  In each round an entry takes over what the entry it points at has
-    gathered, and points where that points: depth 100 takes seven rounds.  Entries of a
-    depth between two powers of two arrive in one round, so a round without arrivals is
-    the last; what has not arrived then hangs on no top entry and is left out.
+    ``rows``, which are read several times: keys, node, parent, order (the piece of the
+    entry itself), done (it is a top entry) and leads (others may be under it).  In each
+    round an entry takes over what the entry it points at has gathered, and points where
+    that points: depth 100 takes seven rounds.  An entry that has arrived is written once.
+    Entries are met with those alone that one may still point at: at first those that lead
+    to others, then those that these pointed at.  Entries of a depth between two powers of
+    two arrive in one round, so a round without arrivals is the last; what has not arrived
+    then hangs on no top entry and is left out.
     """
-    state = cut_lineage(rows.select(*keys, "node", "parent", F.col("parent").alias("above"), "order", "done", F.lit(True).alias("fresh")))
-    while True:
-        target = state.select(
+    columns = [*keys, "node", "parent", "above", "order", "done", "leads"]
+    state = rows.withColumn("above", F.when(~F.col("done"), F.col("parent"))).select(*columns)
+    found, targets = [state.where("done")], state.where("leads")
+    while not state.where("not done").isEmpty():
+        there = targets.select(
             *keys, F.col("node").alias("above"), F.col("above").alias("further"), F.col("order").alias("gathered"), F.col("done").alias("arrives")
         )
-        moved = state.where(~F.col("done")).join(target, [*keys, "above"]).select(
-            *keys, "node", "parent", F.col("further").alias("above"), F.concat("gathered", "order").alias("order"),
-            F.col("arrives").alias("done"), F.lit(True).alias("fresh"),
-        )
-        there = state.where("done").withColumn("fresh", F.lit(False))
-        before, state = state, cut_lineage(there.unionByName(moved))
-        discard(before)
-        if state.where("done and fresh").isEmpty():
-            return state.where("done").select(*keys, "node", "parent", "order")
+        state = cut_lineage(state.where("not done").join(there, [*keys, "above"]).select(
+            *keys, "node", "parent", F.col("further").alias("above"), F.concat("gathered", "order").alias("order"), F.col("arrives").alias("done"), "leads"
+        ))
+        arrived = state.where("done")
+        if arrived.isEmpty():
+            break
+        found.append(arrived)
+        if state.where("not done").isEmpty():
+            break
+        pointed = targets.where("not done").select(*keys, F.col("above").alias("node")).distinct()
+        targets = cut_lineage(targets.where("done").unionByName(state.where("leads")).join(pointed, [*keys, "node"], "left_semi").select(*columns))
+    whole = found[0]
+    for arrived in found[1:]:
+        whole = whole.unionByName(arrived)
+    return whole.select(*keys, "node", "parent", "order")
 
 
 def ancestors(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,14 +54,13 @@ def path_rows(spark, folder):
     f"WITH {_FOREST} SELECT doc_id, node, parent, level::BIGINT AS level, path FROM t",
 )
 def outline_rows(spark, folder):
-    f = forest(spark, folder)
     siblings = Window.partitionBy("doc_id", "up").orderBy("node")
-    firsts = f.where("up is not null").groupBy("doc_id", F.col("up").alias("node")).agg(F.min("node").alias("first"))
-    nodes = (
-        f.withColumn("next", F.lead("node").over(siblings))
-        .withColumn("is_root", F.col("up").isNull() & (F.row_number().over(siblings) == 1))
-        .join(firsts, ["doc_id", "node"], "left")
-        .select("doc_id", "node", "first", "next", "is_root")
+    placed = cut_lineage(
+        forest(spark, folder).select("doc_id", "node", "up", F.lead("node").over(siblings).alias("next"), (F.row_number().over(siblings) == 1).alias("leading"))
+    )
+    firsts = placed.where("leading and up is not null").select("doc_id", F.col("up").alias("node"), F.col("node").alias("first"))
+    nodes = placed.join(firsts, ["doc_id", "node"], "left").select(
+        "doc_id", "node", "first", "next", (F.col("up").isNull() & F.col("leading")).alias("is_root")
     )
     return ops.outline_rows(nodes, ["doc_id"]).select("doc_id", "node", "parent", "level", "path")
 
